@@ -119,9 +119,9 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     return f"""
 WITH t(k, name, pairs) AS (VALUES {values}),
 u AS (SELECT doc_id, unnest(list_distinct(list_transform(list_concat([text], string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10))),
-        x -> trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))))) AS unit FROM documents),
+        lambda x: trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))))) AS unit FROM documents),
 w AS (SELECT doc_id, unit, string_split(unit, ' ') AS words FROM u),
-p AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1])) AS pairs FROM w WHERE len(words) BETWEEN 2 AND 1000),
+p AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM w WHERE len(words) BETWEEN 2 AND 1000),
 s AS (SELECT doc_id, unit, max({{'dice': 2.0::DOUBLE * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)), 'k': -t.k, 'name': t.name}}) AS best FROM p, t WHERE list_has_any(p.pairs, t.pairs) GROUP BY doc_id, unit),
 h AS (SELECT doc_id, max(best) AS best, count(*) AS n FROM s WHERE best.dice >= {threshold} GROUP BY doc_id)
 SELECT d.doc_id, h.best.name AS license, h.best.dice AS dice, coalesce(h.n, 0)::BIGINT AS n_matches FROM documents d LEFT JOIN h USING (doc_id)"""

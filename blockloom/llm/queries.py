@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, token_count
+from . import licenses, mixing, quality, token_count, token_store
 from .shared import documents
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), ["doc_id"])
 
@@ -33,6 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_store": op6_token_store,
     "op7_quality": op7_quality,
     "op8_token_count": op8_token_count,
     "op9_licenses": op9_licenses,
