@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, token_count, token_store
+from . import decontaminate, licenses, mixing, near_dup, quality, token_count, token_store
 from .shared import documents
 
 
@@ -16,6 +16,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -37,6 +45,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_dup": op4_near_dup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_store": op6_token_store,
     "op7_quality": op7_quality,
     "op8_token_count": op8_token_count,
