@@ -242,7 +242,8 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows = scanned(docs, key, text)
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k)))
+    counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(key, *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
 
 
