@@ -182,3 +182,13 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     for block in _item_blocks(benchmark, item, item_text):
         rows = _pass(rows, rows.columns, f"c{names.index(text)}", block, "hits").where("hits is null").drop("hits")
     return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+
+
+ORACLE_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words),
+items AS (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM items),
+n AS (SELECT item_id, count(*) AS size FROM q GROUP BY item_id)
+SELECT d.doc_id, q.item_id, count(*) AS shared, n.size, count(*)::DOUBLE / n.size AS containment
+FROM d JOIN q USING (s) JOIN n ON n.item_id = q.item_id GROUP BY d.doc_id, q.item_id, n.size HAVING count(*) >= 0.8 * n.size"""

@@ -70,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op9_licenses": licenses.oracle_sql(),
 }

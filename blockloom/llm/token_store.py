@@ -355,8 +355,8 @@ def _hashes(b: pa.RecordBatch) -> np.ndarray:
 
 
 def digest(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes docs, reads every text back by its key: key, start, n_tokens, ids_crc32."""
+    """Writes docs, reads every text back by its key: key, start, n_tokens, ids_crc32, occurrence."""
     store = TokenStore.write(docs, tokenizer, key=key, text=text)
     manifest = docs.sparkSession.read.parquet(f"{store.path}/manifest").select("key", "occurrence")
     rows = store.read(manifest, occurrence="occurrence", ids=False)
-    return rows.select(F.col("key").alias(key), "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+    return rows.select(F.col("key").alias(key), "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"), "occurrence")
