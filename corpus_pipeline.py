@@ -1,10 +1,12 @@
-"""The corpus pipeline: five stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import mixing, quality
+from blockloom.llm import decontaminate, mixing, near_dup, quality, token_store
+from blockloom.llm.queries import vocabulary
+from blockloom.llm.shared import write_shared
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,18 +14,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filtered(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return near_dup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights; a document repeats if its source must."""
     return mixing.mix_rows(docs)
 
 
-STAGES = [("quality", quality_rules), ("mixing", mix)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids are written as shards, indexed, and read back by key."""
+    return token_store.digest(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("near_dup", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("token_ids", token_ids),
+]
+#: Hash sampling, quantile sketches and the tokenizer have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from blockloom.llm.shared import write_shared
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = write_shared(stage(spark, docs, sf_dir), f"stage-{name}")
