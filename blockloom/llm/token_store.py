@@ -28,6 +28,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -42,7 +43,9 @@ from .textgrid import blocks, mix, span_hashes
 
 END_ID = 0
 PART_KEYS = 1_000_000
-CACHE = 600_000
+#: Distinct cuts that a worker remembers, and those that wait to be merged.
+CACHE = 3_000_000
+MERGE_AT = 200_000
 #: Bytes of a shard's ids that are held before they are written.
 WRITE_BYTES = 8 << 20
 
@@ -68,22 +71,47 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        # sorted hashes with (place in flat) << 24 | length; new ones gather in the second pair before they are merged
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = [empty, empty]
         self.flat, self.used = np.empty(1 << 20, self.kind), 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, ids in zip(hashes, self.encode(texts)):
-            n = len(ids)
-            if self.used + n > len(self.flat):
-                grown = np.empty(max(2 * len(self.flat), self.used + n), self.kind)
-                grown[: self.used] = self.flat[: self.used]
-                self.flat = grown
-            self.flat[self.used : self.used + n] = ids
-            self.known[h] = self.used << 24 | n
-            self.used += n
+    @staticmethod
+    def _merged(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([x[0], y[0]])
+        order = np.argsort(keys, kind="stable")  # linear for two sorted runs
+        return keys[order], np.concatenate([x[1], y[1]])[order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Values of sorted hashes, -1 where unknown."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, values in self.known:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, values[at], out)
+        return out
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Encodes new cuts, in the order of their sorted hashes."""
+        lists = self.encode(texts)
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), self.kind, int(n.sum()))
+        if self.used + len(ids) > len(self.flat):
+            grown = np.empty(max(2 * len(self.flat), self.used + len(ids)), self.kind)
+            grown[: self.used] = self.flat[: self.used]
+            self.flat = grown
+        self.flat[self.used : self.used + len(ids)] = ids
+        values = (self.used + np.cumsum(n) - n) << 24 | n
+        self.used += len(ids)
+        old, new = self.known
+        new = self._merged(new, (hashes, values))
+        if len(new[0]) > MERGE_AT:
+            old, new = self._merged(old, new), (new[0][:0], new[1][:0])
+        self.known = [old, new]
+        return values
 
     def column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts: their ids with END_ID after each, and the number of ids of each text."""
@@ -95,20 +123,20 @@ class Encoder:
                 a, z = data[:-1], data[1:]
                 joint = ((a == 0xC2) & ((z == 0x85) | (z == 0xA0))) | ((a == 0xE1) & (z == 0x9A)) | ((a == 0xE2) & ((z == 0x80) | (z == 0x81))) | ((a == 0xE3) & (z == 0x80))
                 odd[np.searchsorted(b.offsets, np.flatnonzero(joint), "right") - 1] = True
-            cuts = np.unique(np.concatenate([b.ends, b.offsets]))
+            cuts = np.sort(np.concatenate([b.ends, b.offsets]), kind="stable")
+            cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]
             starts, ends = cuts[:-1], cuts[1:]
             row = np.searchsorted(b.offsets, starts, "right") - 1
             plain = ~odd[row]
             starts, ends, row = starts[plain], ends[plain], row[plain]
             hashes, first, where = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            if len(self.known) > CACHE:
+            if sum(len(keys) for keys, _ in self.known) > CACHE:
                 self.clear()
-            listed = hashes.tolist()
-            new = [i for i, h in enumerate(listed) if h not in self.known]
-            if new:
+            found = self._find(hashes)
+            new = np.flatnonzero(found < 0)
+            if len(new):
                 raw = data.tobytes()
-                self._learn([listed[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode("utf-8", "replace") for i in new])
-            found = np.array([self.known[h] for h in listed], np.int64)
+                found[new] = self._learn(hashes[new], [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             at, n = (found >> 24)[where], (found & 0xFFFFFF)[where]
             whole = {int(r): self.encode([data[b.offsets[r] : b.offsets[r + 1]].tobytes().decode("utf-8", "replace")])[0] for r in np.flatnonzero(odd)}
             sizes = np.bincount(row, weights=n, minlength=b.rows).astype(np.int64) if len(row) else np.zeros(b.rows, np.int64)
