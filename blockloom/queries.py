@@ -1,10 +1,414 @@
-"""The registered queries for the document operators, each with the SQL that checks it."""
+"""The registered queries for the document operators, each with the SQL that checks it.
+
+Pages are decoded as HTML and documents as Markdown, whole tables and whole texts.
+Structures that the tables lack (lists, tables, fences) are written as Markdown from the
+relational tables, so the rows that they were written from are the expected answer.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .operators import blocks as B
+from .operators import headings, pdf_layout, render
+from .sources import decode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function by its name, with its oracle."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The tables are single files with one row group; decoding wants as many tasks as there are cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.blocks(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html", "page_id", "html")
+
+
+def long(name: str) -> F.Column:
+    return F.col(name).cast("long").alias(name)
+
+
+# HTML: segments of text between block tags
+
+_BLOCK_TAGS = "p|div|section|article|header|footer|main|aside|blockquote|pre|figure|figcaption|hr|ul|ol|li|table|thead|tbody|tfoot|tr|td|th|h[1-6]"
+_PLAIN = r"""regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs')"""
+_UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_SEGMENTS = rf"""
+seg AS (SELECT page_id, unnest(string_split(regexp_replace({_PLAIN}, '<(/?)({_BLOCK_TAGS})(\s[^>]*)?>', chr(30) || '\1\2' || chr(31), 'gi'), chr(30))) AS raw, generate_subscripts(string_split(regexp_replace({_PLAIN}, '<(/?)({_BLOCK_TAGS})(\s[^>]*)?>', chr(30) || '\1\2' || chr(31), 'gi'), chr(30)), 1) AS i FROM pages),
+cut AS (SELECT page_id, i, CASE WHEN contains(raw, chr(31)) THEN lower(string_split(raw, chr(31))[1]) ELSE '' END AS tag, CASE WHEN contains(raw, chr(31)) THEN string_split(raw, chr(31))[2] ELSE raw END AS body FROM seg),
+txt AS (SELECT page_id, i, tag, trim(regexp_replace({_UNESCAPE.format("regexp_replace(regexp_replace(body, '<br[^>]*>', ' ', 'gi'), '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g')) AS text FROM cut)"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ordinal, text FROM txt WHERE text <> ''")
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered text blocks of every page."""
+    rows = B.top_level(pages(spark, sf_dir)).where("type in ('heading', 'paragraph')")
+    order = Window.partitionBy("doc_id").orderBy("ordinal")
+    return rows.select(F.col("doc_id").cast("long").alias("page_id"), (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "text")
+
+
+@query(f"WITH {_SEGMENTS} SELECT page_id, text, substr(tag, 2, 1)::BIGINT AS level FROM txt WHERE text <> '' AND regexp_matches(tag, '^h[1-6]$')")
+def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.top_level(pages(spark, sf_dir), "heading").select(F.col("doc_id").cast("long").alias("page_id"), "text", long("level"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT page_id, text FROM txt WHERE text <> '' AND tag = 'li'")
+def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.top_level(pages(spark, sf_dir)).where("list_id is not null").select(F.col("doc_id").cast("long").alias("page_id"), "text")
+
+
+@query(rf"""WITH a AS (SELECT page_id, unnest(regexp_extract_all({_PLAIN}, '<a href="([^"]*)">', 1)) AS href FROM pages) SELECT DISTINCT page_id, {_UNESCAPE.format("href")} AS href FROM a""")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = pages(spark, sf_dir).select(F.col("doc_id").cast("long").alias("page_id"), F.explode("runs").alias("run"))
+    return runs.where("run.link is not null").select("page_id", F.col("run.link").alias("href")).distinct()
+
+
+@query(rf"""WITH h AS (SELECT page_id, {_PLAIN} AS h FROM pages), b AS (SELECT page_id, CASE WHEN position('<b>' IN h) > 0 THEN substr(h, position('<b>' IN h)) ELSE '' END AS h FROM h)
+SELECT page_id, length(regexp_replace({_UNESCAPE.format("regexp_replace(h, '<[^>]*>', '', 'g')")}, '\s', '', 'g'))::BIGINT AS bold_chars FROM b""")
+def html_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bold characters of every page; a mark that is never closed holds on to the page's end."""
+    bold = F.aggregate(F.filter("runs", lambda r: F.array_contains(r["marks"], "bold")), F.lit(0), lambda s, r: s + F.length(F.regexp_replace(r["text"], r"\s", "")))
+    rows = pages(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.coalesce(bold, F.lit(0))).alias("bold_chars"))
+    return rows.select(F.col("doc_id").cast("long").alias("page_id"), "bold_chars")
+
+
+@query(f"WITH {_SEGMENTS}, k AS (SELECT CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' ELSE 'paragraph' END AS type FROM txt WHERE text <> '') SELECT type, count(*) AS n FROM k GROUP BY type")
+def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
+def html_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ranges of every block in its page."""
+    return pages(spark, sf_dir).select(F.col("doc_id").cast("long").alias("page_id"), "id", "span.byte_start", "span.byte_end")
+
+
+_MD = r"regexp_replace({}, '([\\`*_~\[\]<>|])', '\\\1', 'g')"
+
+
+@query(rf"""WITH {_SEGMENTS}, o AS (SELECT page_id, i, tag, text, sum(CASE WHEN tag = 'li' THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS g FROM txt WHERE text <> ''),
+m AS (SELECT page_id, i, CASE WHEN tag = 'li' THEN 'L' || g ELSE 'B' || i END AS part, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN repeat('#', substr(tag, 2, 1)::INT) || ' ' WHEN tag = 'li' THEN '- ' ELSE '' END AS head, text FROM o)
+SELECT page_id, string_agg(head || text, ' ' ORDER BY i) AS text FROM m GROUP BY page_id""")
+def markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as one line of Markdown: the rendered parts with marks, links and escapes taken off again."""
+    top = render.list_islands(B.top_level(pages(spark, sf_dir)))
+    hashes = F.when(F.col("type") == "heading", F.concat(F.repeat(F.lit("#"), "level"), F.lit(" "))).when(F.col("island").isNotNull(), F.lit("- ")).otherwise(F.lit(""))
+    parts = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.concat(hashes, F.col("text")).alias("md")))).alias("parts"))
+    return parts.select(F.col("doc_id").cast("long").alias("page_id"), F.array_join(F.transform("parts", lambda p: p["md"]), " ").alias("text"))
+
+
+@query()
+def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as Markdown."""
+    return render.to_markdown(pages(spark, sf_dir)).select(F.col("doc_id").cast("long").alias("page_id"), "markdown")
+
+
+@query("SELECT page_id, sha256(html) AS raw_sha256, length(html)::BIGINT AS chars FROM pages")
+def raw_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", C.sha256(F.encode("html", "UTF-8")).alias("raw_sha256"), F.length("html").cast("long").alias("chars"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY ALL")
+def blob_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-addressed store: each text once."""
+    return table(spark, sf_dir, "documents").groupBy(C.sha256(F.encode("text", "UTF-8")).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+
+
+_PATHS = ("a/b.md", "x.MARKDOWN", "p/.md", "q.html", "q.xhtml", "r.htm", "s.xlsx", "t.docx", "u.pptx", "v.pdf", "w.txt", "noext", "dir.md/file", "z.tar.pdf")
+
+
+@query("WITH p(path) AS (VALUES " + ", ".join(f"('{p}')" for p in _PATHS) + r"""), s AS (SELECT path, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS ext FROM p)
+SELECT path, CASE WHEN ext IN ('.md', '.markdown') THEN 'markdown' WHEN ext IN ('.html', '.htm', '.xhtml') THEN 'html' WHEN ext IN ('.xlsx', '.docx', '.pptx', '.pdf') THEN substr(ext, 2) END AS fmt FROM s""")
+def format_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", C.format_of("path").alias("fmt"))
+
+
+# Markdown
+
+_EMPHASIS = r"(?:\*\*\*(.+?)\*\*\*|___(.+?)___|\*\*(.+?)\*\*|__(.+?)__|\*([^\s*](?:.*?[^\s*])?)\*|~~(.+?)~~)"
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace(trim(text), '{_EMPHASIS}', '\1\2\3\4\5\6', 'gs')) AS text FROM documents WHERE trim(text) <> ''")
+def md_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown; their texts hold no block structure, so each is one paragraph."""
+    rows = decode.blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "markdown", "doc_id", "text")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown document for each region, from its nations."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("n_nationkey").cast("string")
+    each = nations.groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list(F.struct(
+        "n_nationkey", F.concat(F.lit("| "), key, F.lit(" | "), F.col("n_name"), F.lit(" |")).alias("row"), F.concat(F.lit("1. **"), F.col("n_name"), F.lit("**\n  - key "), key).alias("item"),
+        F.concat(F.col("n_name"), F.lit(" = "), key).alias("code")))).alias("x"))
+    lines = lambda f: F.array_join(F.transform("x", lambda v: v[f]), "\n")
+    text = F.concat(F.lit("# "), F.col("r_name"), F.lit("\n\n| key | name |\n|---|:-:|\n"), lines("row"), F.lit("\n\n"), lines("item"), F.lit("\n\n```sql\n"), lines("code"), F.lit("\n```\nEnd of ~~the~~ *"), F.col("r_name"), F.lit("*\n\nSub [link](http://x.y/z)\n===\n"))
+    return decode.blocks(each.select(F.col("r_regionkey").cast("string").alias("doc_id"), text.alias("content")), "markdown")
+
+
+@query("""SELECT n_regionkey::BIGINT AS region, rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS cell_row, 0::BIGINT AS cell_col, n_nationkey::VARCHAR AS text FROM nation
+UNION ALL SELECT n_regionkey::BIGINT, rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT, 1::BIGINT, n_name FROM nation
+UNION ALL SELECT r_regionkey::BIGINT, 0::BIGINT, c::BIGINT, t FROM region, (VALUES (0, 'key'), (1, 'name')) h(c, t)""")
+def md_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _written(spark, sf_dir).where("parent_uid is not null")
+    return cells.select(F.col("doc_id").cast("long").alias("region"), long("cell_row"), long("cell_col"), "text")
+
+
+@query("""SELECT n_regionkey::BIGINT AS region, n_name AS text, 0::BIGINT AS list_level, true AS list_ordered FROM nation UNION ALL SELECT n_regionkey::BIGINT, 'key ' || n_nationkey, 1::BIGINT, false FROM nation""")
+def md_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir).where("list_id is not null").select(F.col("doc_id").cast("long").alias("region"), "text", long("list_level"), "list_ordered")
+
+
+@query("SELECT r_regionkey::BIGINT AS region, r_name AS text, 1::BIGINT AS level FROM region UNION ALL SELECT r_regionkey::BIGINT, 'Sub link', 1::BIGINT FROM region")
+def md_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ATX and underlined headings."""
+    return _written(spark, sf_dir).where("type = 'heading'").select(F.col("doc_id").cast("long").alias("region"), "text", long("level"))
+
+
+@query("SELECT n_regionkey::BIGINT AS region, 'sql' AS language, string_agg(n_name || ' = ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+def md_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir).where("type = 'code'").select(F.col("doc_id").cast("long").alias("region"), "language", "text")
+
+
+@query("""SELECT n_regionkey::BIGINT AS region, n_name AS text, 'bold' AS marks, NULL::VARCHAR AS link FROM nation
+UNION ALL SELECT r_regionkey::BIGINT, 'the', 'strike', NULL FROM region UNION ALL SELECT r_regionkey::BIGINT, r_name, 'italic', NULL FROM region UNION ALL SELECT r_regionkey::BIGINT, 'link', '', 'http://x.y/z' FROM region""")
+def md_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _written(spark, sf_dir).select(F.col("doc_id").cast("long").alias("region"), F.explode("runs").alias("r")).where("size(r.marks) > 0 or r.link is not null")
+    return runs.select("region", "r.text", F.array_join("r.marks", ",").alias("marks"), "r.link")
+
+
+@query(r"""SELECT n_regionkey::BIGINT AS region, '# ' || r_name || chr(10) || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || m_name || ' |', chr(10) ORDER BY n_nationkey)
+|| chr(10) || chr(10) || string_agg(rn || '. **' || m_name || '**' || chr(10) || '  - key ' || n_nationkey, chr(10) ORDER BY n_nationkey) || chr(10) || chr(10) || '```sql' || chr(10) || string_agg(n_name || ' = ' || n_nationkey, chr(10) ORDER BY n_nationkey)
+|| chr(10) || '```' || chr(10) || chr(10) || 'End of ~~the~~ *' || r_name || '*' || chr(10) || chr(10) || '# Sub [link](http://x.y/z)' || chr(10) AS markdown
+FROM (SELECT *, replace(n_name, '_', '\_') AS m_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation) n JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey, r_name""")
+def markdown_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written documents, decoded and rendered again: tables, lists with numbers, fences, marks, links."""
+    return render.to_markdown(_written(spark, sf_dir)).select(F.col("doc_id").cast("long").alias("region"), "markdown")
+
+
+@query("""SELECT n_regionkey::BIGINT AS region, 'key | name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS table_plain,
+'| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS table_text FROM nation GROUP BY n_regionkey""")
+def table_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables as a model and as a text-only reader see them."""
+    return render.cell_text(_written(spark, sf_dir)).select(F.col("doc_id").cast("long").alias("region"), "table_plain", "table_text")
+
+
+@query("""SELECT n_regionkey::BIGINT AS region, '<table><tr><td>key</td><td>name</td></tr>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' AS html FROM nation GROUP BY n_regionkey""")
+def html_table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = render.with_tables(_written(spark, sf_dir)).where("type = 'table'")
+    return rows.select(F.col("doc_id").cast("long").alias("region"), F.col("table_html").alias("html"))
+
+
+@query("""SELECT r_regionkey::BIGINT AS region, 'Section: ' || r_name || chr(10) || 'Text after: ' || (SELECT min_by(n_name, n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS context FROM region""")
+def table_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table_context(_written(spark, sf_dir)).select(F.col("doc_id").cast("long").alias("region"), "context")
+
+
+@query(rf"SELECT doc_id, {_MD.format('text')} AS escaped FROM documents")
+def escape_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.escape_md("text").alias("escaped"))
+
+
+# Section paths
+
+@query("""WITH o AS (SELECT n_regionkey::BIGINT AS doc, n_nationkey::BIGINT AS ordinal, n_name AS text, (n_nationkey % 4 + 1) AS level FROM nation),
+p AS (SELECT a.doc, a.ordinal, b.ordinal AS bo, b.text, b.level FROM o a JOIN o b ON a.doc = b.doc AND b.ordinal < a.ordinal WHERE NOT EXISTS (SELECT 1 FROM o c WHERE c.doc = a.doc AND c.ordinal < a.ordinal AND c.ordinal > b.ordinal AND c.level <= b.level))
+SELECT o.doc, o.ordinal, string_agg(p.text, ' > ' ORDER BY bo) AS path FROM o LEFT JOIN p ON o.doc = p.doc AND o.ordinal = p.ordinal GROUP BY o.doc, o.ordinal""")
+def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that are open before each heading."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("doc_id"), F.col("n_nationkey").cast("int").alias("ordinal"), F.lit("heading").alias("type"), F.col("n_name").alias("text"), (F.col("n_nationkey") % 4 + 1).cast("int").alias("level"), F.lit(None).cast("string").alias("parent_uid"))
+    return B.with_heading_path(rows).select(F.col("doc_id").cast("long").alias("doc"), long("ordinal"), F.array_join("heading_path", " > ").alias("path"))
+
+
+@query("""WITH i AS (SELECT user_id, event_id, event_id % 3 AS level, event_id % 2 = 0 AS ord FROM events),
+r AS (SELECT a.*, (SELECT max(b.event_id) FROM i b WHERE b.user_id = a.user_id AND b.event_id < a.event_id AND b.level < a.level) AS reset FROM i a)
+SELECT user_id AS doc, event_id::BIGINT AS ordinal, sum(ord::INT) OVER (PARTITION BY user_id, level, coalesce(reset, -1) ORDER BY event_id)::BIGINT AS number FROM r""")
+def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of ordered items, counted per level and restarted below a shallower item."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), e.alias("ordinal"), F.lit(1).alias("island"), (e % 3).cast("int").alias("list_level"), (e % 2 == 0).alias("list_ordered"))
+    return render.numbered(rows).select(F.col("doc_id").alias("doc"), long("ordinal"), long("number"))
+
+
+# Heading clues and scores
+
+_FIRST = r"SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents"
+_CAPS = r"(length(regexp_replace(t, '\P{L}', '', 'g')) >= 2 AND NOT regexp_matches(t, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]'))"
+_WC = r"len(list_filter(string_split_regex(trim(t), '\s+'), lambda w: w <> ''))"
+
+
+@query(rf"""WITH f AS ({_FIRST}), w AS (SELECT *, list_filter(string_split_regex(trim(t), '\s+'), lambda w: length(w) > 3 AND regexp_matches(w, '^\p{{L}}')) AS big FROM f)
+SELECT doc_id, {_CAPS} AS caps, (NOT {_CAPS} AND len(big) >= 2 AND len(list_filter(big, lambda w: NOT regexp_matches(w, '^\p{{Lu}}'))) = 0) AS title, {_WC}::BIGINT AS words,
+length(regexp_replace(t, '[^.?!]', '', 'g'))::BIGINT AS sentences FROM w""")
+def heading_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text clues of the first line of every document."""
+    t = F.split("text", "\n")[0]
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", C.is_all_caps("t").alias("caps"), C.is_title_case("t").alias("title"), C.word_count("t").cast("long").alias("words"), F.regexp_count("t", F.lit("[.?!]")).cast("long").alias("sentences"))
+
+
+_LINES = ("1.2 Scope", "IV. Results", "Chapter two", "Part", "Figure 3: x", "12 March 2021", "10:30 am", "Mar 3rd", "plain", "2) Items", "Tablo 4", "May be", "1.2.3.4.5.6.7 deep")
+
+
+@query("WITH v(t) AS (VALUES " + ", ".join(f"('{x}')" for x in _LINES) + r"""), d AS (SELECT t, regexp_extract(t, '^\s*(\d+(?:\.\d+)*)[.)]?\s+\S', 1) AS num, regexp_matches(t, '(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)') AS month, regexp_matches(t, '\b\d{1,2}[:.]\d{2}') AS time, regexp_matches(t, '\b(19|20)\d{2}\b') AS year, regexp_matches(t, '(?i)\b\d{1,2}(st|nd|rd|th)\b') AS ordinal, len(string_split(t, ' ')) AS n FROM v)
+SELECT t, (CASE WHEN num <> '' THEN least(6, len(string_split(num, '.'))) WHEN regexp_matches(t, '^\s*([IVXLCDM]+)[.)]\s+\S') OR regexp_matches(t, '(?i)^\s*(chapter|section|part|appendix)\b') THEN 1 END)::BIGINT AS level, regexp_matches(t, '(?i)^\s*(figure|fig|table|tablo)\s*\d') AS caption, (month AND (year OR ordinal)) OR (time AND (year OR month OR n <= 3)) AS date FROM d""")
+def line_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbering, captions and dates."""
+    rows = spark.createDataFrame([(x,) for x in _LINES], "t string")
+    return rows.select("t", C.numbering_level("t").cast("long").alias("level"), C.is_caption("t").alias("caption"), C.looks_like_date("t").alias("date"))
+
+
+def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    flags = {"bold": k % 2 == 0, "center": k % 3 == 0, "keep_next": k % 5 == 0, "italic": k % 7 == 0, "underline": k % 11 == 0, "blank_before": k % 4 < 2, "blank_after": k % 4 < 3, "followed": k % 13 != 0}
+    return p.select(F.lit("d").alias("doc_id"), k.alias("ordinal"), F.col("p_size").alias("slide"), F.col("p_name").alias("text"), (F.col("p_size") / 30.0).alias("font_ratio"), F.lit(None).cast("int").alias("outline"), F.lit(None).cast("int").alias("style_level"), *(v.alias(n) for n, v in flags.items()))
+
+
+def _score_sql(w: headings.Weights, keep: bool) -> str:
+    k, r = "p_partkey", "(p_size / 30.0)"
+    flag = lambda cond, weight: f"CASE WHEN {cond} THEN {float(weight)} ELSE 0.0 END"
+    terms = [
+        flag(f"{k} % 2 = 0", w.bold), flag("caps", w.caps), flag("title AND wc <= 7", w.titlecase), flag(f"{k} % 3 = 0", w.center), flag(f"{k} % 7 = 0", w.italic), flag("wc <= 4", w.short + w.very_short), flag("wc > 4 AND wc <= 7", w.short),
+        flag(f"{k} % 4 < 2", w.isolation), flag(f"{k} % 11 = 0", w.underline), flag("right(t, 1) NOT IN ('.', '?', '!', ',', ';', ':')", w.no_punct), flag(f"{r} >= 1.4", w.xlarge_font), flag(f"{r} >= 1.15 AND {r} < 1.4", w.large_font), *([flag(f"{k} % 5 = 0", w.keep_next)] if keep else []),
+    ]
+    return rf"""(SELECT p_partkey, p_size, t, wc, {' + '.join(terms)} AS score FROM (SELECT p_partkey, p_size, p_name AS t, {_WC.replace('t)', 'p_name)')} AS wc, {_CAPS.replace('(t,', '(p_name,')} AS caps,
+(NOT {_CAPS.replace('(t,', '(p_name,')} AND len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 3)) >= 2 AND len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 3 AND NOT regexp_matches(w, '^\p{{Lu}}'))) = 0) AS title FROM part))"""
+
+
+@query(f"SELECT p_partkey, (CASE WHEN p_partkey % 13 <> 0 THEN score END)::DOUBLE AS score, coalesce(p_partkey % 13 <> 0 AND score >= 7, false) AS is_heading FROM {_score_sql(headings.DOCUMENT, True)}")
+def heading_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of a document scored by their looks."""
+    return headings.classified(_looks(spark, sf_dir)).select(F.col("ordinal").alias("p_partkey"), "score", "is_heading")
+
+
+@query(f"SELECT p_size::BIGINT AS slide, p_partkey, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY score DESC, p_partkey) AS rn FROM {_score_sql(headings.SLIDE, False)}) WHERE rn = 1 AND score >= 6")
+def slide_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best paragraph of each slide."""
+    return headings.slide_titles(_looks(spark, sf_dir)).select(F.col("slide").cast("long").alias("slide"), F.col("ordinal").alias("p_partkey"), "score")
+
+
+# Text comparison
+
+_TOKENS = r"list_filter(list_transform(string_split(replace(lower(regexp_replace(trim({}), '\s+', ' ', 'g')), 'ß', 'ss'), ' '), lambda w: regexp_replace(regexp_replace(w, '^[.,;:!?()\[\]{{}}\"''`«»]+', ''), '[.,;:!?()\[\]{{}}\"''`«»]+$', '')), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))"
+
+
+@query(f"SELECT doc_id, len(t)::BIGINT AS tokens, len(list_filter(t, lambda w: regexp_matches(w, '[0-9]')))::BIGINT AS criticals FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison tokens of every document, and those that must match exactly."""
+    t = C.tokens("text")
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.filter("t", lambda w: w.rlike("[0-9]"))).cast("long").alias("criticals"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS t FROM conversations),
+n AS (SELECT conv_id, turn, w, count(*) AS k FROM (SELECT conv_id, turn, unnest(t) AS w FROM c) GROUP BY ALL)
+SELECT a.conv_id, a.turn, CASE WHEN len(a.t) = 0 THEN 1.0 ELSE round(coalesce((SELECT sum(least(x.k, y.k)) FROM n x JOIN n y ON x.w = y.w WHERE x.conv_id = a.conv_id AND x.turn = a.turn AND y.conv_id = b.conv_id AND y.turn = b.turn), 0) / len(a.t), 9) END::DOUBLE AS share
+FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each turn's tokens that the next turn repeats, as multisets."""
+    turns = table(spark, sf_dir, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(C.containment("text", "next"), 9).alias("share"))
+
+
+# Page layout on words laid out from order lines
+
+def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    line = table(spark, sf_dir, "lineitem")
+    page = (F.col("l_orderkey") % 50).cast("int")
+    words = line.select(
+        F.lit("d").alias("doc_id"), page.alias("page"), F.hash("l_orderkey", "l_linenumber").alias("seq"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 28).alias("x1"),
+        (F.col("l_partkey") % 70 * 10).cast("double").alias("top"), (F.col("l_partkey") % 70 * 10 + 8).cast("double").alias("bottom"), (F.lit(8.0) + F.col("l_linenumber")).alias("size"), F.lit("F").alias("fontname"),
+    )
+    pages_ = words.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("n_chars")).withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    pictures = pages_.where("page % 3 = 0").select("doc_id", "page", F.lit(0).alias("seq"), F.lit(0.0).alias("x0"), (F.col("page") * 12.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(800.0).alias("bottom"), F.lit("i").alias("name"))
+    cells = pages_.where("page % 5 = 0").select("doc_id", "page", F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.lit(100.0).alias("x0"), F.lit(100.0).alias("top"), F.lit(200.0).alias("x1"), F.lit(220.0).alias("bottom"))
+    return words, pages_, pictures, cells
+
+
+@query("""WITH w AS (SELECT l_orderkey % 50 AS page, l_quantity * 10 AS x0, l_partkey % 70 * 10 AS top FROM lineitem), s AS (SELECT page, count(*) AS chars, count(*) * 224.0 / 480000 AS t, CASE WHEN page % 3 = 0 THEN page * 12 * 800.0 / 480000 ELSE 0 END AS i FROM w GROUP BY page)
+SELECT page::BIGINT AS page, chars::BIGINT AS chars, CASE WHEN chars = 0 AND i < 0.2 THEN 'empty' WHEN (chars < 20 AND i >= 0.2) OR (i > 0.8 AND t < 0.05) THEN 'scanned' WHEN page % 5 = 0 THEN 'hybrid' ELSE 'code' END AS route FROM s""")
+def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's way: empty, scanned, hybrid or laid out from its own text."""
+    words, pages_, pictures, cells = _layout(spark, sf_dir)
+    routes = pdf_layout.triage(words, pages_, pictures, pdf_layout.table_boxes(cells))
+    return routes.select(long("page"), long("chars"), "route")
+
+
+@query("""SELECT (l_orderkey % 50)::BIGINT AS page, count(*) AS words FROM lineitem WHERE (l_orderkey % 50) % 5 <> 0 OR NOT (l_quantity * 10 + 14 BETWEEN 100 AND 200 AND l_partkey % 70 * 10 + 4 BETWEEN 100 AND 220) GROUP BY 1""")
+def words_outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, _, _, cells = _layout(spark, sf_dir)
+    return pdf_layout.outside_tables(words, pdf_layout.table_boxes(cells)).groupBy(long("page")).agg(F.count("*").alias("words"))
+
+
+@query("""WITH w AS (SELECT l_orderkey % 50 AS page, l_quantity * 10 AS x0, (l_partkey % 70 * 10) AS top, 8.0 + l_linenumber AS size FROM lineitem)
+SELECT page::BIGINT AS page, top::DOUBLE AS top, min(x0)::DOUBLE AS x0, max(x0 + 28)::DOUBLE AS x1, median(size)::DOUBLE AS size, count(*) AS words FROM w GROUP BY page, top""")
+def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words clustered into lines; here every distinct top is one."""
+    words, *_ = _layout(spark, sf_dir)
+    laid = pdf_layout.lines(words.withColumn("column", F.lit(0)))
+    return laid.select(long("page"), "top", "x0", "x1", "size", F.size(F.split("text", " ")).cast("long").alias("words"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_suppkey % 7 AS doc, l_linenumber FROM lineitem) SELECT doc::BIGINT AS doc, 10 + l_linenumber::DOUBLE AS size, least(6, dense_rank() OVER (PARTITION BY doc ORDER BY l_linenumber DESC))::BIGINT AS level FROM s WHERE l_linenumber > 1""")
+def heading_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading sizes ranked over a whole document: pages of body lines with one larger line each."""
+    sizes = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("doc_id"), "l_linenumber").distinct()
+    line = lambda size, no: F.struct(size.alias("size"), F.lit("words").alias("text"), F.lit(no).alias("line_no"))
+    rows = sizes.select("doc_id", F.col("l_linenumber").alias("page"), F.lit(0).alias("column"), F.explode(F.array(line(F.lit(10.0), 0), line(F.lit(10.0), 1), line(F.col("l_linenumber") + 10.0, 2))).alias("x")).select("doc_id", "page", "column", "x.*")
+    return pdf_layout.heading_levels(rows).select(F.col("doc_id").cast("long").alias("doc"), "size", long("level"))
+
+
+# Documents as JSON
+
+@query("SELECT (SELECT count(*) FROM pages)::BIGINT AS documents, 0::BIGINT AS faults")
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as JSON documents, read again and checked: all of them, without a fault."""
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("source_path"), F.lit("html").alias("fmt"))
+    made = B.documents_json(docs, pages(spark, sf_dir))
+    return made.join(B.validate(made), "doc_id", "left").agg(F.count("*").alias("documents"), F.count("path").alias("faults"))
+
+
+_BAD = (
+    ("no id", '{"doc_id":"d","source_path":"p","fmt":"html","blocks":[{"type":"heading","id":"b0"},{"type":"heading"}]}', "blocks[1]", "required field 'id' missing"),
+    ("no type", '{"doc_id":"d","source_path":"p","fmt":"html","blocks":[{}]}', "blocks[0]", "required field 'type' missing"),
+    ("unknown", '{"doc_id":"d","source_path":"p","fmt":"html","blocks":[{"type":"x","id":"b0"}]}', "blocks[0].type", "unknown block type 'x'"),
+    ("no doc", '{"source_path":"p","fmt":"html","blocks":[]}', "<root>", "required field 'doc_id' missing"),
+    ("newer", '{"ir_version":5,"doc_id":"d","source_path":"p","fmt":"html"}', "ir_version", "file is IR v5, this reader supports up to v4"),
+    ("fine", '{"ir_version":1,"doc_id":"d","source_path":"p","fmt":"html","blocks":[]}', None, None),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(x.replace("'", "''") for x in (n, p, r)) + "')" for n, _, p, r in _BAD if p) + ") v(doc_id, path, reason)")
+def json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.validate(spark.createDataFrame([(n, j) for n, j, *_ in _BAD], "doc_id string, json string"))
+
+
+@query("SELECT count(*)::BIGINT AS rows, 0::BIGINT AS broken FROM documents WHERE trim(text) <> ''")
+def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents decoded as Markdown keep the invariants of the block table."""
+    rows = decode.blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "markdown", "doc_id", "text")
+    broken = B.check_invariants(rows).select("doc_id", "uid", "broken")
+    return rows.select("doc_id", "uid").join(broken, ["doc_id", "uid"], "left").agg(F.count("*").alias("rows"), F.count("broken").alias("broken"))
