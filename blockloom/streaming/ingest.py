@@ -15,7 +15,7 @@ def arriving(spark: SparkSession, path: str, suffixes: str = "*.{md,markdown,htm
     return decode.with_format(files.select(F.col("path").alias("source_path"), "content"))
 
 
-def start(files: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def start(files: DataFrame, out: str, checkpoint: str, available_now: bool = True, formats: tuple[str, ...] = convert.FORMATS) -> StreamingQuery:
     """Appends the blocks of new files to out/blocks and their hashes to out/seen; a batch that runs again, or a file that comes twice, adds nothing."""
 
     def add(batch: DataFrame, _: int) -> None:
@@ -27,7 +27,7 @@ def start(files: DataFrame, out: str, checkpoint: str, available_now: bool = Tru
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         new = new.persist()
-        convert.blocks(new).write.mode("append").parquet(f"{out}/blocks")
+        convert.blocks(new, formats).write.mode("append").parquet(f"{out}/blocks")
         new.select("raw_sha256").write.mode("append").parquet(f"{out}/seen")
         new.unpersist()
 
