@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,41 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in used:
         name = f"_{name}"
     return name
+
+
+#: A key filter has about 16 bits a key, and never more than 2^27 (16 MB); beyond that it lets more rows through, not fewer.
+FILTER_BITS = (1 << 20, 1 << 27)
+
+
+def _places(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), key), F.lit(bits)) + 1 for k in (1, 2)]
+
+
+def key_filter(keys: DataFrame, key: str):
+    """A function of a column: whether its value may be among keys. It is never wrong about a key that is; of others it lets few through.
+
+    The bits are set by an aggregation, so no keys come to the driver, only the bitmap. Put it before a join
+    to keep rows without a partner out of the shuffle; the join itself stays exact.
+    """
+    n = keys.count()
+    bits = FILTER_BITS[0]
+    while bits < 16 * n and bits < FILTER_BITS[1]:
+        bits *= 2
+    place = keys.select(F.explode(F.array(*_places(F.col(key), bits))).alias("p"))
+    cells = place.groupBy(F.bitmap_bucket_number("p").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toArrow()
+    full = np.zeros(bits // 8, np.uint8)
+    for cell, raw in zip(cells["cell"].to_pylist(), cells["bits"].to_pylist()):
+        # places are counted from 1; a cell holds 32768 of them
+        full[(cell - 1) * 4096 : cell * 4096] = np.frombuffer(raw, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(full)
+
+    @F.pandas_udf("boolean")
+    def maybe(p: pd.Series, q: pd.Series) -> pd.Series:
+        held = shared.value
+        out = np.ones(len(p), bool)
+        for x in (p, q):
+            at = x.to_numpy(np.int64) - 1
+            out &= (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(out)
+
+    return lambda column: maybe(*_places(column, bits))
