@@ -65,12 +65,11 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
         # lines: spans between newlines and text ends, kept if a word starts inside
         breaks = np.flatnonzero(b.data == 10)
         heads = np.unique(np.concatenate([b.offsets[:-1], breaks + 1]))
-        tails = np.unique(np.concatenate([b.offsets[1:], breaks]))
         heads = heads[heads < len(b.data)]
-        tails = tails[np.searchsorted(tails, heads)] if len(heads) else heads
-        inked = np.searchsorted(b.starts, tails) > np.searchsorted(b.starts, heads)
-        heads, tails = heads[inked], tails[inked]
         row = np.searchsorted(b.offsets, heads, "right") - 1
+        tails = np.minimum(np.append(breaks, len(b.data))[np.searchsorted(breaks, heads)], b.offsets[row + 1])
+        inked = np.searchsorted(b.starts, tails) > np.searchsorted(b.starts, heads)
+        heads, tails, row = heads[inked], tails[inked], row[inked]
         line = span_hashes(b.data, heads, tails)
         key = mix(line ^ mix(row.astype(np.uint64) + np.uint64(77)))
         lines = np.bincount(row, minlength=b.rows)
