@@ -8,7 +8,8 @@ zeros. A text's score for a language is the mean over its windows of the log
 probabilities, weighted by the bytes in each window, so all of the text counts.
 
 Training takes at most SAMPLE windows a language, from rows chosen by the hash of their
-id, so the sample is spread over the whole table and the same in every run.
+id, so the sample is spread over the whole table and the same in every run. Where a
+language has fewer rows, a row gives up to MOST windows.
 
 Cases: null text, or text without a letter, is `und` with score 0; if no row is labelled
 every text is; a null language is no label; repeated rows each get their answer; of
@@ -34,7 +35,11 @@ WIDTHS = (2, 3, 4, 5)
 FILTERS = 8  # of each width
 #: Windows of labelled texts for training, per language.
 SAMPLE = 3000
+#: Windows of one text, where there are fewer texts than SAMPLE.
+MOST = 8
 EPOCHS = 12
+#: Training steps at least.
+STEPS = 600
 SEED = 11
 
 
@@ -95,6 +100,7 @@ class ByteConv:
     def fit(self, codes: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.01) -> None:
         """Adam on the cross entropy."""
         rng = np.random.default_rng(SEED)
+        epochs = max(epochs, -(-STEPS * batch // max(1, len(codes))))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
@@ -151,12 +157,14 @@ class ByteConv:
 def _sample(labelled: DataFrame) -> tuple[list[str], pa.Table]:
     """At most SAMPLE windows of text a language, of rows spread by hash over all of labelled (key, text, lang)."""
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
+    share, per = F.lit(0.0), F.lit(1)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * SAMPLE / n))).otherwise(share)
+        per = F.when(F.col("lang") == lang, F.lit(min(MOST, -(-SAMPLE // n)))).otherwise(per)
     draw = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << 24)) / (1 << 24)
-    place = F.pmod(F.xxhash64(F.lit(SEED + 1), "key"), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
-    rows = labelled.where(draw < share).select("lang", F.substring("text", place, F.lit(WINDOW)).alias("text"), F.xxhash64("key").alias("draw"))
+    place = F.pmod(F.xxhash64(F.lit(SEED + 1), "key", "turn"), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
+    rows = labelled.where(draw < share).withColumn("turn", F.explode(F.sequence(F.lit(1), per)))
+    rows = rows.select("lang", F.substring("text", place, F.lit(WINDOW)).alias("text"), F.xxhash64("turn", "key").alias("draw"))
     table = rows.toArrow().sort_by([("draw", "ascending"), ("text", "ascending")])
     return sorted(counts), table
 
