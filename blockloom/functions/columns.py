@@ -118,22 +118,31 @@ def criticals(text: ColumnLike) -> Column:
     return F.filter(tokens(text), lambda w: w.rlike(r"\d"))
 
 
+def let(value: Column, of) -> Column:
+    """of(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _numbered(xs: Column) -> Column:
+    """Equal elements told apart by their count, so that multisets meet as sets."""
+    return let(F.array_sort(xs), lambda s: F.transform(s, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(s, w)).cast("string"))))
+
+
 def _shared(need: Column, have: Column) -> Column:
     """Size of the multiset intersection."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(need), F.lit(0), lambda s, x: s + F.least(count(need, x), count(have, x)))
+    return F.size(F.array_intersect(_numbered(need), _numbered(have)))
 
 
 def containment(needle: ColumnLike, hay: ColumnLike) -> Column:
     """Share of the needle's tokens that the hay holds, as multisets; 1 for a needle without tokens."""
-    need, have = tokens(needle), tokens(hay)
-    return F.when(F.size(need) == 0, F.lit(1.0)).otherwise(_shared(need, have) / F.size(need))
+    have = tokens(hay)
+    return let(tokens(needle), lambda need: F.when(F.size(need) == 0, F.lit(1.0)).otherwise(_shared(need, have) / F.size(need)))
 
 
 def criticals_fit(needle: ColumnLike, hay: ColumnLike) -> Column:
     """Whether the hay has every token with a digit as often as the needle."""
-    need, have = criticals(needle), criticals(hay)
-    return _shared(need, have) == F.size(need)
+    have = criticals(hay)
+    return let(criticals(needle), lambda need: _shared(need, have) == F.size(need))
 
 
 # Heading clues

@@ -337,9 +337,9 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     line = table(spark, sf_dir, "lineitem")
-    page = (F.col("l_orderkey") % 50).cast("int")
+    page = (F.col("l_orderkey") % 500).cast("int")
     words = line.select(
-        F.lit("d").alias("doc_id"), page.alias("page"), F.hash("l_orderkey", "l_linenumber").alias("seq"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 28).alias("x1"),
+        F.lit("d").alias("doc_id"), page.alias("page"), F.hash("l_orderkey", "l_linenumber").alias("seq"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 128).alias("x1"),
         (F.col("l_partkey") % 70 * 10).cast("double").alias("top"), (F.col("l_partkey") % 70 * 10 + 8).cast("double").alias("bottom"), (F.lit(8.0) + F.col("l_linenumber")).alias("size"), F.lit("F").alias("fontname"),
     )
     pages_ = words.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("n_chars")).withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
@@ -348,7 +348,7 @@ def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return words, pages_, pictures, cells
 
 
-@query("""WITH w AS (SELECT l_orderkey % 50 AS page, l_quantity * 10 AS x0, l_partkey % 70 * 10 AS top FROM lineitem), s AS (SELECT page, count(*) AS chars, count(*) * 224.0 / 480000 AS t, CASE WHEN page % 3 = 0 THEN page * 12 * 800.0 / 480000 ELSE 0 END AS i FROM w GROUP BY page)
+@query("""WITH w AS (SELECT l_orderkey % 500 AS page, l_quantity * 10 AS x0, l_partkey % 70 * 10 AS top FROM lineitem), s AS (SELECT page, count(*) AS chars, count(*) * 1024.0 / 480000 AS t, CASE WHEN page % 3 = 0 THEN page * 12 * 800.0 / 480000 ELSE 0 END AS i FROM w GROUP BY page)
 SELECT page::BIGINT AS page, chars::BIGINT AS chars, CASE WHEN chars = 0 AND i < 0.2 THEN 'empty' WHEN (chars < 20 AND i >= 0.2) OR (i > 0.8 AND t < 0.05) THEN 'scanned' WHEN page % 5 = 0 THEN 'hybrid' ELSE 'code' END AS route FROM s""")
 def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's way: empty, scanned, hybrid or laid out from its own text."""
@@ -357,14 +357,14 @@ def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.select(long("page"), long("chars"), "route")
 
 
-@query("""SELECT (l_orderkey % 50)::BIGINT AS page, count(*) AS words FROM lineitem WHERE (l_orderkey % 50) % 5 <> 0 OR NOT (l_quantity * 10 + 14 BETWEEN 100 AND 200 AND l_partkey % 70 * 10 + 4 BETWEEN 100 AND 220) GROUP BY 1""")
+@query("""SELECT (l_orderkey % 500)::BIGINT AS page, count(*) AS words FROM lineitem WHERE (l_orderkey % 500) % 5 <> 0 OR NOT (l_quantity * 10 + 64 BETWEEN 100 AND 200 AND l_partkey % 70 * 10 + 4 BETWEEN 100 AND 220) GROUP BY 1""")
 def words_outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, _, _, cells = _layout(spark, sf_dir)
     return pdf_layout.outside_tables(words, pdf_layout.table_boxes(cells)).groupBy(long("page")).agg(F.count("*").alias("words"))
 
 
-@query("""WITH w AS (SELECT l_orderkey % 50 AS page, l_quantity * 10 AS x0, (l_partkey % 70 * 10) AS top, 8.0 + l_linenumber AS size FROM lineitem)
-SELECT page::BIGINT AS page, top::DOUBLE AS top, min(x0)::DOUBLE AS x0, max(x0 + 28)::DOUBLE AS x1, median(size)::DOUBLE AS size, count(*) AS words FROM w GROUP BY page, top""")
+@query("""WITH w AS (SELECT l_orderkey % 500 AS page, l_quantity * 10 AS x0, (l_partkey % 70 * 10) AS top, 8.0 + l_linenumber AS size FROM lineitem)
+SELECT page::BIGINT AS page, top::DOUBLE AS top, min(x0)::DOUBLE AS x0, max(x0 + 128)::DOUBLE AS x1, median(size)::DOUBLE AS size, count(*) AS words FROM w GROUP BY page, top""")
 def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words clustered into lines; here every distinct top is one."""
     words, *_ = _layout(spark, sf_dir)
