@@ -17,10 +17,15 @@ t = 0, so its ln a is a table of its own.
 
 Banding. BANDS bands of ROWS samples: a pair of similarity 0.8 meets in some band but
 for a chance of 3e-6. A bucket is ordered by the samples of the next two bands, so that
-texts that agree in more samples stand together; each text is compared with the bucket's
-first and the NEAR before it. Buckets of up to NEAR + 2 are compared in full; larger
-ones are dense, and each text has a different order in each band. Buckets above SALT_ROWS
-are dealt into salted parts of about that size. Work is linear in the number of texts.
+texts that agree in more samples stand together; each text is first compared with the bucket's
+first and the NEAR before it, which compares buckets of up to NEAR + 2 in full. Larger
+buckets above SALT_ROWS are dealt into salted parts of about that size for that.
+
+The rest. What these links tie together is one component. A larger bucket that still
+holds several components is cut into blocks of about BLOCK texts, every block meets
+every other and itself, and all pairs of different components whose samples agree often
+enough go to verification. So each pair of a bucket is verified, unlikely by its samples,
+or tied already. That is square only in buckets whose texts are not tied together.
 
 Verification. Pairs whose samples agree too rarely for 0.8 (5 standard deviations) go;
 for the others both texts are fetched and their weighted Jaccard similarity is computed.
@@ -51,6 +56,9 @@ BANDS, ROWS = 24, 4
 SAMPLES = BANDS * ROWS
 NEAR = 2
 SALT_ROWS = 20_000
+BLOCK = 1000
+#: Samples of SAMPLES in which a pair of SIMILARITY agrees but for 5 standard deviations.
+AGREE = int(SAMPLES * SIMILARITY - 5 * (SAMPLES * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 SHARE, LOW = 0.005, 0.75
 CHUNK = 4096
 HEAVY_LIMIT = 1_000_000
@@ -240,12 +248,69 @@ def _candidates(signed: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs whose samples agree often enough for SIMILARITY, by 5 standard deviations."""
-    least = SAMPLES * SIMILARITY - 5 * (SAMPLES * SIMILARITY * (1 - SIMILARITY)) ** 0.5
     packs = signed.select("id", "packs")
     joined = pairs.join(packs.select(F.col("id").alias("a"), F.col("packs").alias("pa")), "a").join(packs.select(F.col("id").alias("b"), F.col("packs").alias("pb")), "b")
     agree = lambda x: sum((F.when(F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0) for k in range(ROWS)), F.lit(0))
     both = F.zip_with("pa", "pb", lambda p, q: agree(p.bitwiseXOR(q)))
-    return joined.where(F.aggregate(both, F.lit(0), lambda s, x: s + x) >= int(least)).select("a", "b")
+    return joined.where(F.aggregate(both, F.lit(0), lambda s, x: s + x) >= AGREE).select("a", "b")
+
+
+def unlike_pairs(root: np.ndarray, packs: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of x, of y) of all pairs of different roots that agree in AGREE samples or more."""
+    if not len(x) or not len(y) or (root[x] == root[x[0]]).all() and (root[y] == root[x[0]]).all():
+        return x[:0], y[:0]
+    p, q = packs[x].view(np.uint16), packs[y].view(np.uint16)
+    agree = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(SAMPLES):
+        agree += p[:, k, None] == q[None, :, k]
+    i, j = np.nonzero((agree >= AGREE) & (root[x][:, None] != root[y][None, :]))
+    return x[i], y[j]
+
+
+def _rest(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct likely pairs (a, b) of larger buckets that labels (node, root) doesn't tie together."""
+    rooted = signed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "bands", "packs")
+    rooted = write_shared(rooted, "rooted")
+    rows = rooted.select("id", "root", F.explode("bands").alias("bucket"))
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = write_shared(mixed.where((F.col("n") > NEAR + 2) & (F.col("lo") < F.col("hi"))).select("bucket", F.ceil(F.col("n") / BLOCK).alias("parts")), "mixed")
+    members = rows.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    meets = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    meets = meets.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "id", "root")
+    meets = meets.join(rooted.select("id", "packs"), "id").select("bucket", "x", "y", "part", "id", "root", "packs")
+    dealt = meets.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        part, ids, root = (rows[c].to_numpy() for c in ("part", "id", "root"))
+        packs = rows["packs"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        group = np.stack([rows[c].to_numpy() for c in ("bucket", "x", "y")], 1)
+        heads = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
+        for lo, hi in zip(heads, np.append(heads[1:], len(group))):
+            at = np.arange(lo, hi)
+            first = part[lo:hi] == group[lo, 1]
+            inside = group[lo, 1] == group[lo, 2]
+            i, j = unlike_pairs(root, packs, at, at) if inside else unlike_pairs(root, packs, at[first], at[~first])
+            if inside:
+                i, j = i[i < j], j[i < j]
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            # the last group may go on in the next batch
+            last = [held[c][-1].as_py() for c in ("bucket", "x", "y")]
+            same = np.logical_and.reduce([held[c].to_numpy() == v for c, v in zip(("bucket", "x", "y"), last)])
+            whole = int(np.argmax(same))
+            if whole:
+                yield from pairs(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def similarity(x: np.ndarray, y: np.ndarray, weights: Weights) -> float:
@@ -303,10 +368,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     signed = _signed(bodies, weights).groupBy("tk").agg(F.first("bands").alias("bands"), F.first("packs").alias("packs"))
     signed = write_shared(signed.withColumn("id", F.monotonically_increasing_id()), "signed")
     pairs = write_shared(_likely(write_shared(_candidates(signed), "pairs"), signed), "likely")
-    keys = write_shared(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(signed.select("id", "tk"), "id"), "keys")
-    texts = bodies.where(key_filter(keys, "tk")(F.col("tk"))).join(keys, "tk").groupBy("id").agg(F.first("text").alias("text"))
-    links = write_shared(_verified(pairs, write_shared(texts, "texts"), weights), "alike")
-    found = components(links).join(keys, F.col("node") == F.col("id")).select("tk", "root")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        keys = write_shared(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(signed.select("id", "tk"), "id"), "keys")
+        texts = bodies.where(key_filter(keys, "tk")(F.col("tk"))).join(keys, "tk").groupBy("id").agg(F.first("text").alias("text"))
+        return write_shared(_verified(pairs, write_shared(texts, "texts"), weights), "alike")
+
+    links = alike(pairs)
+    labels = components(links)
+    rest = write_shared(_rest(signed, labels).join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = alike(rest)
+        labels = components(links.unionByName(more)) if not more.isEmpty() else labels
+    found = labels.join(signed.select("id", "tk"), F.col("node") == F.col("id")).select("tk", "root")
     # texts without links are classes of their own: theirs is the class of their digest
     narrow = rows.select("key", "tk").join(found, "tk", "left")
     joined = narrow.select("key", "tk", F.when(F.col("root").isNotNull(), F.concat(F.lit("c"), F.col("root").cast("string"))).otherwise(F.hex("tk")).alias("root"))

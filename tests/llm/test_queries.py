@@ -143,3 +143,18 @@ def test_pipeline(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert 0 < len(got) and {r.doc_id for r in got} <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_near_duplicates_among_loosely_alike_texts(spark):
+    """All texts share a long passage; only those of one pair share enough for a class."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    passage = r.choices(words, k=400)
+    texts = {}
+    for pair in range(150):
+        own = r.choices(words, k=15)
+        for side in "ab":
+            texts[f"{r.random():.9f}"] = pair, " ".join(passage + own + r.choices(words, k=30))
+    want = {key: min(k for k in texts if texts[k][0] == pair) for key, (pair, _) in texts.items()}
+    rows = spark.createDataFrame([(key, text) for key, (_, text) in sorted(texts.items())], "doc_id string, text string").repartition(4)
+    assert {row.doc_id: row.class_id for row in near_dup.classes(rows).collect()} == want
