@@ -113,14 +113,31 @@ _TOKEN = rf"(?:(?:{_WORDS})(?![^\W\d_])|[0-9])"
 #: At least seven digits, spelled or figures: short counts in prose are left alone.
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?P<plus>plus|\+)[ -]?)?{_TOKEN}(?:(?:[ ,-]{{1,2}}|(?<=[0-9])(?=[0-9])|[ ]?(?:dot|point|punkt|punto)[ ]|[ ]?\.[ ]?){_TOKEN}){{6,}}", re.IGNORECASE)
 _WORD = re.compile(rf"(?P<plus>plus)|(?P<dot>dot|point|punkt|punto|\.)|(?P<digit>{_WORDS}|[0-9])", re.IGNORECASE)
-_TWO_WORDS = re.compile(rf"\b(?:{_WORDS})[ ,.-]{{1,2}}(?:{_WORDS}|[0-9]|dot |point )", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9._%+-]"
 _AT = re.compile(rf"(?<={_NAME})[ ]*(?:[(\[{{<][ ]*(?:at|@|arroba|ät|chez)[ ]*[)\]}}>]|[ ](?:at|arroba)[ ](?=[ ]*[A-Za-z0-9-]+(?:\.|[ ]*[(\[{{<][ ]*(?:dot|punkt|punto|point|\.)|[ ](?:dot|punkt|punto|point)[ ]))|[ ]@[ ]?|@[ ])[ ]*(?=[A-Za-z0-9])", re.IGNORECASE)
 _DOT = re.compile(r"(?<=[A-Za-z0-9-])[ ]*(?:[(\[{<][ ]*(?:dot|punkt|punto|point|\.)[ ]*[)\]}>]|[ ](?:dot|punkt|punto|point)[ ])[ ]*(?=[A-Za-z0-9])", re.IGNORECASE)
-_HINT = re.compile(r"[(\[{<][ ]*(?:at|@|arroba|ät|chez|dot|punkt|punto|point|\.)[ ]*[)\]}>]|[ ](?:at|arroba)[ ].{1,80}?[ ](?:dot|punkt|punto|point)[ ]|[ ]@|@[ ]|[0-9][ -]?[oOlI][0-9]", re.IGNORECASE)
 _NEAR_DIGIT = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ -]))[oOlI](?=[0-9])")
 
 
+class _Folds(dict[str, str]):
+    """What each character folds to, kept once found."""
+
+    def __missing__(self, c: str) -> str:
+        new = c
+        if c in _INVISIBLE:
+            new = ""
+        elif not c.isascii():
+            new = _MARKS.get(c) or _LOOKALIKES.get(c) or c
+            if not new.isascii():
+                form = unicodedata.normalize("NFKC", c)
+                new = form if form.isascii() and form else c
+        self[c] = new
+        return new
+
+
+_FOLDS = _Folds()
+
+
 class Traced:
     """Text whose characters know their source spans."""
 
@@ -130,18 +147,11 @@ class Traced:
         self.end = end if end is not None else list(range(1, len(text) + 1))
 
     def folded(self) -> Traced:
-        if self.text.isascii():
+        if self.text.isascii() or all(_FOLDS[c] == c for c in set(self.text)):
             return self
         chars, start, end = [], [], []
         for c, s, e in zip(self.text, self.start, self.end):
-            if c in _INVISIBLE:
-                continue
-            new = c
-            if not c.isascii():
-                new = _MARKS.get(c) or _LOOKALIKES.get(c) or c
-                if not new.isascii():
-                    form = unicodedata.normalize("NFKC", c)
-                    new = form if form.isascii() and form else c
+            new = _FOLDS[c]
             for x in new:
                 chars.append(x)
                 start.append(s)
@@ -188,15 +198,13 @@ def _spelled(m: re.Match[str]) -> list[tuple[str, int, int]]:
 
 
 def normalised(text: str) -> Traced | None:
-    """The text with its disguises undone; None if it shows no sign of any."""
-    odd = not text.isascii() and any(c in _LOOKALIKES or c in _INVISIBLE or c in _MARKS or 0xFF00 <= ord(c) <= 0xFFEF or 0x1D400 <= ord(c) <= 0x1D7FF or 0x2460 <= ord(c) <= 0x24FF for c in set(text))
-    if not odd and not _HINT.search(text) and not _TWO_WORDS.search(text):
-        return None
+    """The text with its disguises undone; None if there are none. Every text goes through all transducers."""
     t = Traced(text).folded()
     t = t.replaced(_NEAR_DIGIT, lambda m: [("0" if m[0] in "oO" else "1", m.start(), m.end())])
     t = t.replaced(_SPELLED, _spelled)
     t = t.replaced(_AT, lambda m: [("@", m.start(), m.end())])
-    return t.replaced(_DOT, lambda m: [(".", m.start(), m.end())])
+    t = t.replaced(_DOT, lambda m: [(".", m.start(), m.end())])
+    return None if t.text == text else t
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -190,3 +190,12 @@ def test_windows_cover_texts():
     data, offsets = textgrid.strings(pa.array(["a" * 300, "", "b"]))
     starts, sizes, text = language_id.windows(data, offsets)
     assert list(zip(sizes.tolist(), text.tolist())) == [(128, 0), (128, 0), (44, 0), (1, 2)]
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("ask anna at example.com now", "email", "anna at example.com"), ("ask anna@example dot com now", "email", "anna@example dot com"), ("on 192 dot 168 dot 1 dot 7 now", "ip", "192 dot 168 dot 1 dot 7"),
+    ("on 8 dot 8 dot 8 dot 8 now", "ip", "8 dot 8 dot 8 dot 8"), ("on ¹⁰.0.0.1 now", "ip", "¹⁰.0.0.1"),
+])
+def test_disguises_need_no_other_sign(text, kind, value):
+    for rest in ("", " with [dot] elsewhere"):
+        assert [(k, text[a:b]) for k, a, b in pii.find(text + rest)[1] if (k, a, b) not in pii.detect(text)] == [(kind, value)]
