@@ -10,7 +10,7 @@ Disguises are undone by transducers over (character, source start, source end):
     letter o or l between digits becomes 0 or 1.
 Each output character keeps the source span that it came from, so a span found in the
 normalised text maps back to source characters. A span found there is added unless it
-overlaps a base span of its kind.
+lies within a base span of its kind.
 
 Every detector is linear in the text: matches are taken from maximal runs.
 
@@ -110,8 +110,10 @@ DIGIT_WORDS = {
 }
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _TOKEN = rf"(?:(?:{_WORDS})(?![^\W\d_])|[0-9])"
-#: At least seven digits, spelled or figures: short counts in prose are left alone.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?P<plus>plus|\+)[ -]?)?{_TOKEN}(?:(?:[ ,-]{{1,2}}|(?<=[0-9])(?=[0-9])|[ ]?(?:dot|point|punkt|punto)[ ]|[ ]?\.[ ]?){_TOKEN}){{6,}}", re.IGNORECASE)
+_POINT = r"(?:[ ]?(?:dot|point|punkt|punto)[ ]|[ ]?\.[ ]?)"
+_OCTET = rf"{_TOKEN}(?:(?:[ -]{{1,2}}|(?<=[0-9])(?=[0-9])){_TOKEN}){{0,2}}"
+#: At least seven digits, spelled or figures, or four with three dots: short counts in prose are left alone.
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?P<plus>plus|\+)[ -]?)?(?:{_TOKEN}(?:(?:[ ,-]{{1,2}}|(?<=[0-9])(?=[0-9])|{_POINT}){_TOKEN}){{6,}}|{_OCTET}(?:{_POINT}{_OCTET}){{3,}})", re.IGNORECASE)
 _WORD = re.compile(rf"(?P<plus>plus)|(?P<dot>dot|point|punkt|punto|\.)|(?P<digit>{_WORDS}|[0-9])", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9._%+-]"
 _AT = re.compile(rf"(?<={_NAME})[ ]*(?:[(\[{{<][ ]*(?:at|@|arroba|ät|chez)[ ]*[)\]}}>]|[ ](?:at|arroba)[ ](?=[ ]*[A-Za-z0-9-]+(?:\.|[ ]*[(\[{{<][ ]*(?:dot|punkt|punto|point|\.)|[ ](?:dot|punkt|punto|point)[ ]))|[ ]@[ ]?|@[ ])[ ]*(?=[A-Za-z0-9])", re.IGNORECASE)
@@ -217,7 +219,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     added = []
     for kind, a, b in detect(t.text):
         s, e = t.start[a], t.end[b - 1]
-        if not any(k == kind and s < y and x < e for k, x, y in base):
+        if not any(k == kind and x <= s and e <= y for k, x, y in base):
             added.append((kind, s, e))
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -256,7 +258,7 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text with each span replaced by its kind in angle brackets; of overlapping spans the first counts."""
+    """key, text with each span replaced by its kind in angle brackets; overlapping spans go together, by the kind of the first."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +269,7 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 for k, a, b in find(body)[1]:
                     if a >= done:
                         parts += [body[done:a], f"<{k}>"]
-                        done = b
+                    done = max(done, b)
                 out.append(None if body is None else "".join(parts) + body[done:])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "text"])
 

@@ -199,3 +199,13 @@ def test_windows_cover_texts():
 def test_disguises_need_no_other_sign(text, kind, value):
     for rest in ("", " with [dot] elsewhere"):
         assert [(k, text[a:b]) for k, a, b in pii.find(text + rest)[1] if (k, a, b) not in pii.detect(text)] == [(kind, value)]
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("on eight dot eight dot eight dot eight now", "ip", "eight dot eight dot eight dot eight"), ("on one two seven dot zero dot zero dot one now", "ip", "one two seven dot zero dot zero dot one"),
+    ("ask john (dot) doe@example.com now", "email", "john (dot) doe@example.com"), ("ask doe@example.com (dot) uk now", "email", "doe@example.com (dot) uk"),
+])
+def test_short_addresses_and_longer_spans(text, kind, value):
+    base, spans = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in base] == [(kind, value)] and set(base) <= set(spans)
+    assert pii.find("one two three four. five dot six")[1] == []

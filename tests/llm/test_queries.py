@@ -158,3 +158,8 @@ def test_near_duplicates_among_loosely_alike_texts(spark):
     want = {key: min(k for k in texts if texts[k][0] == pair) for key, (pair, _) in texts.items()}
     rows = spark.createDataFrame([(key, text) for key, (_, text) in sorted(texts.items())], "doc_id string, text string").repartition(4)
     assert {row.doc_id: row.class_id for row in near_dup.classes(rows).collect()} == want
+
+
+def test_longer_disguised_spans_are_masked(spark):
+    rows = spark.createDataFrame([(1, "ask john (dot) doe@example.com now"), (2, "ask doe@example.com (dot) uk now")], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in pii.masked(rows).collect()} == {1: "ask <email> now", 2: "ask <email> now"}
