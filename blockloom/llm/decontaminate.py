@@ -3,7 +3,11 @@
 Shingles are SHINGLE_WORDS words. An item is found in a document if the document holds
 at least THRESHOLD of the item's distinct shingles.
 
-Search: a document's shingles are cut into base blocks; the MinHash of a block under
+Search for items of up to BASE shingles: a document that holds one lacks so few of its
+shingles that it holds one of any few more; these are its anchors, and are looked up one
+by one. This search loses nothing.
+
+Search for longer items: a document's shingles are cut into base blocks; the MinHash of a block under
 each of HASHES functions is a minimum, so the minima of blocks twice as long are minima
 of pairs. Items are partitioned by size: an item of n shingles belongs to the scale
 whose blocks hold n or more, and is searched among windows of two adjacent blocks of
@@ -63,20 +67,39 @@ class ItemIndex:
         scale = np.zeros(len(sets), np.int64)
         while (small := BASE << scale < self.sizes).any():
             scale[small] += 1
+        small = np.flatnonzero((self.sizes > 0) & (self.sizes <= BASE))
+        taken = [sets[i][: 1 + len(sets[i]) - int(np.ceil(THRESHOLD * len(sets[i]) - 1e-9))] for i in small]
+        self.anchors = self._table(np.concatenate([np.zeros(0, np.uint64), *taken]), np.repeat(small, np.array([len(x) for x in taken], np.int64)))
         self.scales = {}
-        for k in np.unique(scale[self.sizes > 0]):
-            mine = np.flatnonzero((scale == k) & (self.sizes > 0))
+        for k in np.unique(scale[self.sizes > BASE]):
+            mine = np.flatnonzero((scale == k) & (self.sizes > BASE))
             values, owner = [], []
             for j in range(HASHES):
                 values.append(np.array([(sets[i] * _MULTIPLIERS[j]).min() for i in mine], np.uint64) ^ np.uint64(j))
                 owner.append(mine)
-            values, owner = np.concatenate(values), np.concatenate(owner)
-            order = np.argsort(values, kind="stable")
-            seen = np.zeros(1 << 16, bool)
-            seen[(values >> np.uint64(13)).astype(np.int64) & 0xFFFF] = True
-            self.scales[int(k)] = (values[order], owner[order], seen)
+            self.scales[int(k)] = self._table(np.concatenate(values), np.concatenate(owner))
         self.deepest = max(self.scales, default=-1)
 
+    @staticmethod
+    def _table(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(values, kind="stable")
+        seen = np.zeros(1 << 16, bool)
+        seen[(values >> np.uint64(13)).astype(np.int64) & 0xFFFF] = True
+        return values[order], owner[order], seen
+
+    @staticmethod
+    def _hits(table: tuple[np.ndarray, np.ndarray, np.ndarray], asked: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Distinct text * 2^32 + item, for the values asked and the texts that they are of."""
+        values, items, seen = table
+        maybe = np.flatnonzero(seen[(asked >> np.uint64(13)).astype(np.int64) & 0xFFFF])
+        lo = np.searchsorted(values, asked[maybe], "left")
+        hi = np.searchsorted(values, asked[maybe], "right")
+        hit = hi > lo
+        lo, hi, at = lo[hit], hi[hit], owner[maybe[hit]]
+        width = hi - lo
+        which = np.repeat(lo, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        return np.unique(np.repeat(at, width) * np.int64(1 << 32) + items[which])
+
     def candidates(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Distinct (text, item) pairs, as rows of two columns, for the texts of one run."""
         n = np.diff(bounds)
@@ -85,27 +108,16 @@ class ItemIndex:
         first = np.concatenate([[0], np.cumsum(blocks_of)])
         text = np.repeat(np.arange(len(n)), blocks_of)
         starts = bounds[:-1][text] + (np.arange(first[-1]) - first[:-1][text]) * BASE
-        found = [np.zeros(0, np.int64)]
         if not len(starts):
             return np.zeros((0, 2), np.int64)
-        for j in range(HASHES):
+        found = [self._hits(self.anchors, h, np.repeat(np.arange(len(n)), n))]
+        for j in range(HASHES if self.scales else 0):
             minima = np.minimum.reduceat(h * _MULTIPLIERS[j], starts)
             owner = text
             for k in range(self.deepest + 1):
                 if k in self.scales:
-                    values, items, seen = self.scales[k]
                     # a window's minimum is that of one of its blocks, so blocks are asked once each
-                    asked = minima ^ np.uint64(j)
-                    maybe = np.flatnonzero(seen[(asked >> np.uint64(13)).astype(np.int64) & 0xFFFF])
-                    if len(maybe):
-                        lo = np.searchsorted(values, asked[maybe], "left")
-                        hi = np.searchsorted(values, asked[maybe], "right")
-                        hit = hi > lo
-                        if hit.any():
-                            lo, hi, at = lo[hit], hi[hit], owner[maybe[hit]]
-                            width = hi - lo
-                            which = np.repeat(lo, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-                            found.append(np.unique(np.repeat(at, width) * np.int64(1 << 32) + items[which]))
+                    found.append(self._hits(self.scales[k], minima ^ np.uint64(j), owner))
                 if k < self.deepest:
                     # blocks twice as long, by pairs within a text
                     place = np.arange(len(owner)) - np.searchsorted(owner, owner)

@@ -209,3 +209,14 @@ def test_short_addresses_and_longer_spans(text, kind, value):
     base, spans = pii.find(text)
     assert [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in base] == [(kind, value)] and set(base) <= set(spans)
     assert pii.find("one two three four. five dot six")[1] == []
+
+
+def test_short_items_are_always_found():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [" ".join(word() for _ in range(5 + k % 16)) for k in range(1600)]
+    filler = [word() for _ in range(600)]
+    docs = [" ".join([*filler[:at], items[i], *filler[at:]]) for i in range(len(items)) for at in [rng.randrange(600)]]
+    index = decontaminate.ItemIndex(items)
+    got = {(lo + t, i) for lo, _, h, b in decontaminate.shingle_hashes(pa.array(docs)) for t, i, _ in index.contained(h, b)}
+    assert got == {(i, i) for i in range(len(items))}
