@@ -4,9 +4,11 @@ Segmentation. Host labels are split at other characters than letters and digits;
 piece is split into words by Viterbi search over unigram log probabilities. A word that
 is not in the lexicon costs more with each letter, so unknown names stay in one piece.
 The lexicon counts words of page texts and of paths, and the pieces of hyphenated hosts,
-over at most SAMPLE pages chosen by the hash of their url; SEEDS are added to it.
+over all pages; SEEDS are added to it. It stays a table: each distinct piece is joined
+with the counts of its own parts, of LONGEST letters at most, and split by them alone,
+which is all of the lexicon that its split depends on.
 
-Classifier. Pages of the sample are labelled by their host: block if it has one of the
+Classifier. At most SAMPLE pages, chosen by the hash of their url, are labelled by their host: block if it has one of the
 SEEDS as a word, else allow. A multinomial naive Bayes with add-one smoothing learns the
 words of both classes; a url is blocked if its log odds are above 0. Generic words
 (STOP and the last host label) count for nothing.
@@ -30,12 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import for_texts
+from .shared import for_texts, write_shared
 
-#: Pages whose words train the lexicon and the classifier.
+#: Pages whose words train the classifier.
 SAMPLE = 5000
-#: Characters of a page's text that count for the lexicon.
-PAGE_CHARS = 20_000
 LONGEST = 24
 CACHE = 200_000
 
@@ -84,9 +84,10 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 class Lexicon:
     """Unigram log probabilities and the best split of a name."""
 
-    def __init__(self, counts: Counter[str]):
+    def __init__(self, counts: Counter[str], total: int | None = None):
+        """total: of all counts, if these are only some."""
         self.counts = counts
-        self.total = max(1, sum(counts.values()))
+        self.total = max(1, sum(counts.values()) if total is None else total)
         self.log = {w: math.log(n / self.total) for w, n in counts.items()}
         self.unknown = math.log(10 / self.total)
         self.known: dict[str, list[str]] = {}
@@ -120,22 +121,51 @@ class Lexicon:
         return words
 
 
+class Splits:
+    """Splits that are known already."""
+
+    def __init__(self, known: dict[str, list[str]]):
+        self.known = known
+
+    def split(self, name: str) -> list[str]:
+        return ["#"] if name.isdigit() else self.known[name]
+
+
+def count_words(counts: Counter[str], host: str, path: str, text: str) -> None:
+    """Adds what a page tells the lexicon."""
+    counts.update(w for w in _PIECE.findall(text.lower()) if 1 < len(w) <= LONGEST and not w.isdigit())
+    counts.update(w for w in _PIECE.findall(path.lower()) if len(w) > 1 and not w.isdigit())
+    for label in host.split("."):
+        pieces = _PIECE.findall(label)
+        if len(pieces) > 1:
+            counts.update(w for w in pieces if not w.isdigit())
+
+
+def added(pages: int) -> Counter[str]:
+    """What the lexicon counts of fixed words, beside pages."""
+    counts: Counter[str] = Counter()
+    for w in (*SEEDS, *COMMON):
+        counts[w] += max(10, pages // 100)
+    return counts
+
+
+def pieces(host: str, path: str) -> list[str]:
+    """Names of a url that are split into words."""
+    labels = host.split(":")[0].split(".")
+    return [piece for label in labels[:-1] for piece in _PIECE.findall(label)] + _PIECE.findall(path.lower())
+
+
 class UrlModel:
     """A lexicon and naive Bayes weights."""
 
-    def __init__(self, rows: list[tuple[str, str, str]]):
-        """rows: (host, path, page text)"""
-        counts: Counter[str] = Counter()
-        for host, path, text in rows:
-            counts.update(w for w in _PIECE.findall(text.lower()) if 1 < len(w) <= LONGEST and not w.isdigit())
-            counts.update(w for w in _PIECE.findall(path.lower()) if len(w) > 1 and not w.isdigit())
-            for label in host.split("."):
-                pieces = _PIECE.findall(label)
-                if len(pieces) > 1:
-                    counts.update(w for w in pieces if not w.isdigit())
-        for w in (*SEEDS, *COMMON):
-            counts[w] += max(10, len(rows) // 100)
-        self.lexicon = Lexicon(counts)
+    def __init__(self, rows: list[tuple[str, str, str]], lexicon: Lexicon | Splits | None = None):
+        """rows: (host, path, page text); without a lexicon they make one."""
+        if lexicon is None:
+            counts = added(len(rows))
+            for row in rows:
+                count_words(counts, *row)
+            lexicon = Lexicon(counts)
+        self.lexicon = lexicon
         seeds = set(SEEDS)
         seen: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
         pages: Counter[bool] = Counter()
@@ -153,9 +183,7 @@ class UrlModel:
         self.hosts: dict[str, list[str]] = {}
 
     def words(self, host: str, path: str) -> list[str]:
-        labels = host.split(":")[0].split(".")
-        found = [w for label in labels[:-1] for piece in _PIECE.findall(label) for w in self.lexicon.split(piece)]
-        found += [w for piece in _PIECE.findall(path.lower()) for w in self.lexicon.split(piece)]
+        found = [w for piece in pieces(host, path) for w in self.lexicon.split(piece)]
         return [w for w in found if w not in STOP]
 
     def score(self, host: str, path: str) -> float:
@@ -164,33 +192,79 @@ class UrlModel:
         return self.prior + sum(self.odds.get(w, 0.0) for w in words) if words else -math.inf
 
 
-def trained(pages: DataFrame, url: str = "url", html: str = "html") -> UrlModel:
-    """From at most SAMPLE pages, spread by hash over the whole table."""
+def lexicon_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """word, n over the whole texts, paths and hosts of all pages, and the fixed words."""
     host, path = parts(url)
-    n = pages.count()
-    share = min(1.0, 1.3 * SAMPLE / max(1, n))
-    draw = F.xxhash64(F.lit(3), F.col(url))
-    text = F.regexp_replace(F.substring(F.col(html), 1, PAGE_CHARS), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    rows = pages.where(F.pmod(draw, F.lit(1 << 24)) / (1 << 24) < share).select(host.alias("host"), path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), draw.alias("draw"))
-    return UrlModel([(r["host"], r["path"], r["text"]) for r in rows.orderBy("draw", "host", "path").limit(SAMPLE).collect()])
+    text = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                count_words(counts, *(x or "" for x in row))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    rows = pages.select(host.alias("host"), path.alias("path"), text.alias("text")).mapInArrow(run, "word string, n bigint")
+    fixed = pages.sparkSession.createDataFrame(list(added(pages.count()).items()), "word string, n bigint")
+    return rows.unionByName(fixed).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def split_pieces(used: DataFrame, counts: DataFrame) -> DataFrame:
+    """piece, words: the split of each distinct piece by the counts of its own parts."""
+    total = counts.agg(F.sum("n")).first()[0]
+
+    def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                own = list({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own, pa.string())], names=["piece", "word"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            found = [Lexicon(Counter({r["word"]: r["n"] for r in known or ()}), total).split(name) for name, known in zip(names, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["piece", "words"])
+
+    names = write_shared(used.select("piece").distinct(), "pieces")
+    known = names.mapInArrow(subwords, "piece string, word string").join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return names.join(known, "piece", "left").select("piece", "known").mapInArrow(split, "piece string, words array<string>")
 
 
 def judged(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """keep, host, path, rule, verdict, score (log odds of block; null without words)."""
-    spark = pages.sparkSession
-    for_texts(spark)
-    model = spark.sparkContext.broadcast(trained(pages, url, html))
+    for_texts(pages.sparkSession)
     host, path = parts(url)
-    rows = pages.select(*keep, host.alias("_host"), path.alias("_path"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["_score double"])
+    draw = F.xxhash64(F.lit(3), F.col(url))
+    rows = pages.select(*keep, host.alias("_host"), path.alias("_path"), draw.alias("_draw"), F.monotonically_increasing_id().alias("_row"))
+    rows = write_shared(rows, "urls")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.value.score
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, p) for i, h, path in zip(*(c.to_pylist() for c in batch.columns)) for p in pieces(h or "", path or "") if not p.isdigit()]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([p for _, p in found], pa.string())], names=["_row", "piece"])
+
+    used = rows.select("_row", "_host", "_path").mapInArrow(cut, "_row bigint, piece string")
+    counts = write_shared(lexicon_counts(pages, url, html), "lexicon")
+    splits = write_shared(split_pieces(used, counts), "splits")
+    # at most SAMPLE pages, spread by hash over the whole table, and their splits come to the driver
+    share = min(1.0, 1.3 * SAMPLE / max(1, rows.count()))
+    drawn = rows.where(F.pmod("_draw", F.lit(1 << 24)) / (1 << 24) < share).orderBy("_draw", "_host", "_path").limit(SAMPLE)
+    drawn = write_shared(drawn.select("_row", "_host", "_path"), "sample")
+    theirs = drawn.mapInArrow(cut, "_row bigint, piece string").select("piece").distinct()
+    lexicon = Splits({r["piece"]: r["words"] for r in splits.join(theirs, "piece").collect()})
+    model = UrlModel([(r["_host"] or "", r["_path"] or "", "") for r in drawn.collect()], lexicon)
+    prior, odds = model.prior, pages.sparkSession.sparkContext.broadcast(model.odds)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [score(h, p) for h, p in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x == -math.inf else x for x in found], pa.float64())], names=[*keep, "_host", "_path", "_score"])
+            words = [[w for w in ws if w not in STOP] for ws in batch.column(1).to_pylist()]
+            odd = pa.array([sum(odds.value.get(w, 0.0) for w in ws) for ws in words], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), odd, pa.array([len(ws) for ws in words], pa.int64())], names=["piece", "odd", "words"])
 
-    scored = rows.mapInArrow(run, schema)
+    weights = splits.mapInArrow(weigh, "piece string, odd double, words bigint").where("words > 0")
+    # in one order, so that sums don't depend on how rows are dealt
+    sums = used.join(weights, "piece").groupBy("_row").agg(F.array_sort(F.collect_list("odd")).alias("odd"))
+    scored = rows.join(sums, "_row", "left").withColumn("_score", F.when(F.col("odd").isNotNull(), F.aggregate("odd", F.lit(float(prior)), lambda s, x: s + x)))
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     method = F.when(F.coalesce(F.col("_score") > 0, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(*keep, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("_score").alias("score"))

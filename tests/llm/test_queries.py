@@ -163,3 +163,14 @@ def test_near_duplicates_among_loosely_alike_texts(spark):
 def test_longer_disguised_spans_are_masked(spark):
     rows = spark.createDataFrame([(1, "ask john (dot) doe@example.com now"), (2, "ask doe@example.com (dot) uk now")], "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in pii.masked(rows).collect()} == {1: "ask <email> now", 2: "ask <email> now"}
+
+
+def test_lexicon_counts_whole_pages_and_all_of_them(spark):
+    """Words beyond a page's first 20,000 characters, and beyond the first 5,000 pages, split hosts."""
+    pages = spark.range(6000).selectExpr("id AS page_id", "concat('http://h', id, '.org/') AS url", "concat('word', cast(id AS string)) AS html")
+    late = spark.createDataFrame([(-1, "http://zebrapelican.org/", "<b>" + "x " * 15_000 + "zebra pelican " * 60 + "</b>")], "page_id bigint, url string, html string")
+    counts = {r.word: r.n for r in url_filter.lexicon_counts(pages.unionByName(late)).collect()}
+    assert counts["zebra"] == counts["pelican"] == 60 and all(f"word{i}" in counts for i in range(6000))
+    used = spark.createDataFrame([("zebrapelican",), ("qzxv",)], "piece string")
+    got = url_filter.split_pieces(used, url_filter.lexicon_counts(late)).collect()
+    assert {r.piece: r.words for r in got} == {"zebrapelican": ["zebra", "pelican"], "qzxv": ["qzxv"]}
