@@ -91,11 +91,11 @@ def from_packages(images: DataFrame, docs: DataFrame) -> DataFrame:
     return named.join(bytes_, ["doc_id", "_part"]).withColumn("found_mime", type_by_name(F.col("_part"))).drop("_part")
 
 
-Renderer = Callable[[bytes, int, list[float]], bytes | None]
+Renderer = Callable[[bytes, int, list[float] | None], bytes | None]
 
 
 def from_pages(images: DataFrame, docs: DataFrame, renderer: Callable[[], Renderer]) -> DataFrame:
-    """Regions of pages, through a renderer: render(content, page, box in points) gives a PNG. Regions of one document are rendered together."""
+    """Regions of pages, through a renderer: render(content, page, box in points, or None for the page) gives a PNG. Regions of one document are rendered together."""
     box = F.from_json(F.get_json_object("locator", "$.bbox"), "array<double>")
     named = images.withColumn("_page", F.get_json_object("locator", "$.page").cast("int")).withColumn("_box", box).where("_page is not null and _box is not null")
     wanted = named.groupBy("doc_id").agg(F.collect_list(F.struct("uid", "_page", "_box")).alias("regions")).join(docs.select("doc_id", "content"), "doc_id")
@@ -180,7 +180,12 @@ def read_images(found: DataFrame, vision: Callable[[], VisionClient], text: Call
                 return image_id, None, None
             if seen in ("", "NO_TEXT"):
                 return image_id, "", None
-            return image_id, seen, check.complete(system=CHECK_TEXT, user=seen, max_tokens=500) if check else None
+            if check is None:
+                return image_id, seen, None
+            try:
+                return image_id, seen, check.complete(system=CHECK_TEXT, user=seen, max_tokens=500)
+            except ModelError:  # what can't be checked doesn't count
+                return image_id, seen, ""
 
         with ThreadPoolExecutor(threads) as pool:
             for frame in frames:
@@ -205,7 +210,8 @@ def with_images(blocks: DataFrame, found: DataFrame, read: DataFrame | None = No
 
 def described(blocks: DataFrame, client: Callable[[], TextClient], check: bool = False, attempts: int = 3, context: bool = True, max_chars: int = 400, before: int = 1, after: int = 1, threads: int = THREADS) -> DataFrame:
     """Blocks with descriptions of their top-level tables. Tables that show nothing are `empty`; with check, a
-    description is `ok` or, after all attempts, `flagged`, and each attempt is told what was wrong with the last."""
+    description is `ok` or, after all attempts, `flagged`, and each attempt is told what was wrong with the last.
+    A table whose call fails stays as it was."""
     names = blocks.columns
     tables = render.with_tables(blocks).where("type = 'table' and parent_uid is null")
     tables = tables.select("doc_id", "uid", "table_plain", B.is_empty_table().alias("is_empty"))
@@ -218,6 +224,12 @@ def described(blocks: DataFrame, client: Callable[[], TextClient], check: bool =
         model = client()
 
         def one(doc_id: str, uid: str, table: str, around: str | None) -> tuple:
+            try:
+                return asked(doc_id, uid, table, around)
+            except ModelError:
+                return doc_id, uid, None, None, None
+
+        def asked(doc_id: str, uid: str, table: str, around: str | None) -> tuple:
             base, hint = f"{around}\n\n{table}" if around else table, ""
             for turn in range(1, attempts + 1 if check else 2):
                 text = model.complete(system=DESCRIBE, user=f"{base}\n\nAvoid: {hint}" if hint else base, max_tokens=300).strip()

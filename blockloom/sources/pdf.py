@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import settled
+
 #: Gaps that end a word, and offsets of lines that still meet.
 WORD_GAP, LINE_GAP, SNAP = 3.0, 3.0, 3.0
 
@@ -530,7 +532,8 @@ _KINDS = {
     "pictures": "doc_id string, page int, seq int, x0 double, x1 double, top double, bottom double, name string",
     "cells": "doc_id string, page int, table_no int, row_no int, col_no int, x0 double, top double, x1 double, bottom double",
 }
-_ALL = "kind string, doc_id string, page int, width double, height double, n_chars int, seq int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, name string, table_no int, row_no int, col_no int"
+_KINDS["errors"] = "doc_id string, error string"
+_ALL = "kind string, doc_id string, page int, width double, height double, n_chars int, seq int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, name string, table_no int, row_no int, col_no int, error string"
 
 
 def page_rows(doc_id: str, content: bytes) -> Iterator[dict]:
@@ -548,14 +551,19 @@ def page_rows(doc_id: str, content: bytes) -> Iterator[dict]:
 
 
 def extract(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> dict[str, DataFrame]:
-    """words, pages, pictures and cells of PDF documents; one pass over each document gives all four."""
+    """words, pages, pictures and cells of PDF documents, and errors (doc_id, error) of those that can't be read; one pass over each document gives all."""
     types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
     schema = pa.schema([(n, types[k]) for n, k in (x.split(" ") for x in _ALL.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in schema.names} for r in page_rows(name, raw)], schema=schema)
-
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content")).where("content is not null").mapInArrow(run, _ALL).persist()
+                try:
+                    found = list(page_rows(name, raw))
+                except Exception as e:
+                    found = [{"kind": "errors", "doc_id": name, "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in schema.names} for r in found], schema=schema)
+
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content")).where("content is not null").mapInArrow(run, _ALL)
+    rows = settled(rows)
     return {kind: rows.where(F.col("kind") == kind).select(*(x.split(" ")[0] for x in names.split(", "))) for kind, names in _KINDS.items()}

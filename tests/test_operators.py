@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from blockloom import ir
 from blockloom.functions import columns as C
 from blockloom.operators import blocks as B
 from blockloom.operators import enrich, headings, pdf_layout, render
@@ -70,10 +71,16 @@ def test_lines_anchor_on_their_first_word(spark):
     assert got == [(0, "a b", [("a", []), (" b", ["bold"])]), (1, "c", [("c", [])])]
 
 
-def test_fold_lines():
-    line = lambda text, top, x0=0.0, size=10.0: {"text": text, "x0": x0, "top": top, "bottom": top + 10, "size": size, "runs": [{"text": text, "marks": [], "link": None}]}
-    got = pdf_layout.fold_lines([line("Head", 0, size=14.0), line("a", 20), line("b", 31), line("• one", 60), line("two", 71, 5.0), line("2) three", 82, 20.0), line("end", 120)], 10.0, {14.0: 1})
-    assert [(x["kind"], x["text"], x.get("level")) for x in got] == [("heading", "Head", 1), ("paragraph", "a b", None), ("item", "one two", 0), ("item", "three", 1), ("paragraph", "end", None)]
+def test_lines_become_blocks(spark):
+    lines = [("Head", 0, 0.0, 14.0), ("a", 20, 0.0, 10.0), ("b", 31, 0.0, 10.0), ("• one", 60, 0.0, 10.0), ("two", 71, 5.0, 10.0), ("2) three", 82, 20.0, 10.0), ("flush", 93, 0.0, 10.0), ("4) far", 140, 0.0, 10.0), ("end", 180, 0.0, 10.0)]
+    rows = [("d", 1, 0, i, t, x, float(top), top + 10.0, size, [(t, ["bold"] if "t" in t else [], None)]) for i, (t, top, x, size) in enumerate(lines)]
+    laid = spark.createDataFrame(rows, f"doc_id string, page int, column int, line_no int, text string, x0 double, top double, bottom double, size double, runs array<{ir.RUN}>")
+    got = pdf_layout.specs(laid, spark.createDataFrame([("d", 14.0, 1)], "doc_id string, size double, level int")).orderBy("place").collect()
+    assert [(x.kind, x.text, x.level, x.list_group, x.list_level, x.list_ordered) for x in got] == [
+        ("heading", "Head", 1, None, None, None), ("paragraph", "a b", None, None, None, None), ("item", "one two", None, 0, 0, False), ("item", "three", None, 0, 1, True),
+        ("paragraph", "flush", None, None, None, None), ("item", "far", None, 1, 0, True), ("paragraph", "end", None, None, None, None),
+    ]
+    assert [(r.text, r.marks) for r in got[2].runs] == [("one", []), (" two", ["bold"])] and got[1].runs is None
 
 
 def test_gutter(spark):
