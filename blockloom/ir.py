@@ -84,10 +84,10 @@ def text_cell(text: str | None) -> list[Node] | None:
 
 
 def flatten(doc_id: str, blocks: list[Node]) -> Iterator[Node]:
-    """Rows of a document: top-level blocks get ids b0, b1, .. in order; ordinals count all rows."""
+    """Rows of a document: top-level blocks get ids b0, b1, .. in order unless they have one; ordinals count all rows."""
     ordinal = 0
     # (uid, parent, place, id, node), taken from the end
-    todo = [(f"b{i}", None, (None, None, None), f"b{i}", node) for i, node in reversed(list(enumerate(blocks)))]
+    todo = [(f"b{i}", None, (None, None, None), node.get("id") or f"b{i}", node) for i, node in reversed(list(enumerate(blocks)))]
     while todo:
         uid, parent, place, own, node = todo.pop()
         row = {k: v for k, v in node.items() if k != "cells"}

@@ -11,22 +11,36 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ir
 from ..functions import columns as C
 
 Decoder = Callable[[bytes], list[ir.Node]]
-#: Decoders that were registered beside the built-in ones.
+#: Decoders that were registered beside the built-in ones, and the formats of their file endings and media types.
 _extra: dict[str, Decoder] = {}
+_routes: dict[str, str] = {}
 #: Rows of an Arrow batch on the way to the decoders.
 ROWS = 64
 
 
-def register(fmt: str, decoder: Decoder) -> None:
-    """Adds a decoder for a format; the first one registered stays."""
+def register(fmt: str, decoder: Decoder, suffixes: tuple[str, ...] = (), mimetypes: tuple[str, ...] = ()) -> None:
+    """Adds a decoder for a format, and the file endings (with the dot) and media types that lead to it; what is registered first, or built in, stays."""
     _extra.setdefault(fmt, decoder)
+    for name in (*suffixes, *mimetypes):
+        _routes.setdefault(name.lower(), fmt)
+
+
+def format_of(path: str, mimetype: str | None = None) -> Column:
+    """The built-in format of a file, else a registered one; null if none fits."""
+    out = C.format_of(path, mimetype)
+    for name, fmt in _routes.items():
+        fits = C.suffix(path) == name
+        if mimetype:
+            fits = fits | (F.lower(F.col(mimetype)) == name)
+        out = F.coalesce(out, F.when(fits, fmt))
+    return out
 
 
 def decoder_for(fmt: str) -> Decoder:
@@ -40,8 +54,8 @@ def decoder_for(fmt: str) -> Decoder:
         from . import pptx as found
     elif fmt == "xlsx":
         from . import xlsx as found
-    elif fmt == "pdf":
-        from . import pdf as found
+    elif fmt == "json":
+        from . import blocks_json as found
     else:
         raise ValueError(f"no decoder for format {fmt!r}")
     return found.decode
@@ -56,7 +70,7 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 def with_format(files: DataFrame, path: str = "source_path", mimetype: str | None = None) -> DataFrame:
     name = F.regexp_extract(F.col(path), r"([^/]*)$", 1)
     stem = F.regexp_replace(name, r"(?<=[^/])\.[^./]*$", "")
-    return files.select(stem.alias("doc_id"), F.col(path).alias("source_path"), C.format_of(path, mimetype).alias("fmt"), "content", C.sha256("content").alias("raw_sha256"))
+    return files.select(stem.alias("doc_id"), F.col(path).alias("source_path"), format_of(path, mimetype).alias("fmt"), "content", C.sha256("content").alias("raw_sha256"))
 
 
 def unsupported(files: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import convert
+from ..scratch import settled
 from ..sources import decode
 
 
@@ -16,20 +18,22 @@ def arriving(spark: SparkSession, path: str, suffixes: str = "*.{md,markdown,htm
 
 
 def start(files: DataFrame, out: str, checkpoint: str, available_now: bool = True, formats: tuple[str, ...] = convert.FORMATS) -> StreamingQuery:
-    """Appends the blocks of new files to out/blocks and their hashes to out/seen; a batch that runs again, or a file that comes twice, adds nothing."""
+    """Writes the blocks of new files to out/blocks and their hashes to out/seen, a folder for each batch, so a batch that runs
+    again replaces what it left; a file that comes twice adds nothing. Files that can't be decoded have a row in out/errors."""
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.where("fmt is not null").dropDuplicates(["raw_sha256"])
         try:
-            new = new.join(spark.read.parquet(f"{out}/seen"), "raw_sha256", "left_anti")
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e):
+            seen = spark.read.parquet(f"{out}/seen").where(F.col("batch") != number)
+            new = new.join(seen.select("raw_sha256"), "raw_sha256", "left_anti")
+        except AnalysisException as e:  # nothing has been written yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        new = new.persist()
-        convert.blocks(new, formats).write.mode("append").parquet(f"{out}/blocks")
-        new.select("raw_sha256").write.mode("append").parquet(f"{out}/seen")
-        new.unpersist()
+        rows = settled(convert.blocks(new, formats, with_errors=True))
+        rows.where("error is null").drop("error").write.mode("overwrite").parquet(f"{out}/blocks/batch={number}")
+        rows.where("error is not null").select("doc_id", "error").write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        new.select("raw_sha256").write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
 
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
