@@ -412,3 +412,6 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decode.blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "markdown", "doc_id", "text")
     broken = B.check_invariants(rows).select("doc_id", "uid", "broken")
     return rows.select("doc_id", "uid").join(broken, ["doc_id", "uid"], "left").agg(F.count("*").alias("rows"), F.count("broken").alias("broken"))
+
+
+from . import queries_written  # noqa: E402, F401  registers its queries
