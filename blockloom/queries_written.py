@@ -6,7 +6,6 @@ every decoder runs on as many documents and blocks as the tables have at a scale
 
 from __future__ import annotations
 
-import base64
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,18 +14,21 @@ from pyspark.sql import functions as F
 from . import ir, written
 from .functions import columns as C
 from .operators import blocks as B
-from .operators import enrich, headings, page_models, pdf_layout
+from .operators import enrich, headings, page_models, pdf_layout, render
 from .plans import convert
 from .queries import _CAPS, _WC, long, query, table
 from .scratch import settled
 from .sources import blocks_json, clients, decode
 from .written import text
 
-DOC = F.col("doc_id").cast("long").alias("doc")
 #: Suppliers with their place among those of their nation, as SQL.
 _S = "s AS (SELECT s_nationkey::BIGINT AS doc, s_suppkey::BIGINT AS k, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"
 
 
+def _doc() -> Column:
+    return F.col("doc_id").cast("long").alias("doc")
+
+
 def _field(name: str):
     return lambda v: v[name]
 
@@ -91,7 +93,7 @@ SELECT doc, ordinal::BIGINT AS ordinal, type, text, level::BIGINT AS level, list
 
 
 def _top_rows(blocks: DataFrame) -> DataFrame:
-    return B.top_level(blocks).select(DOC, long("ordinal"), "type", "text", long("level"), long("list_level"), "list_ordered", _runs().alias("runs"))
+    return B.top_level(blocks).select(_doc(), long("ordinal"), "type", "text", long("level"), long("list_level"), "list_ordered", _runs().alias("runs"))
 
 
 @query(_WORD_ROWS)
@@ -109,14 +111,14 @@ SELECT doc, r::BIGINT AS cell_row, c::BIGINT AS cell_col, pos::BIGINT AS cell_po
 @query(_WORD_CELLS)
 def docx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of Word tables: spans to the right and down, a table in a cell."""
-    return _word_blocks(spark, sf_dir).where("parent_uid is not null").select(DOC, long("cell_row"), long("cell_col"), long("cell_pos"), "type", "text")
+    return _word_blocks(spark, sf_dir).where("parent_uid is not null").select(_doc(), long("cell_row"), long("cell_col"), long("cell_pos"), "type", "text")
 
 
 @query(f"""WITH {_S}, d AS (SELECT DISTINCT doc, n FROM s) SELECT doc, n + 2 AS n_rows, 2::BIGINT AS n_cols, '0,0,1,2' || CASE WHEN n > 1 THEN ';1,0,' || n || ',1' ELSE '' END AS merges, n::BIGINT AS null_slots FROM d""")
 def docx_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of Word tables, and the slots that they cover."""
     spans = F.array_join(F.transform(F.sort_array("merges"), lambda m: F.concat_ws(",", m["row"], m["col"], m["rowspan"], m["colspan"])), ";")
-    return B.tables(_word_blocks(spark, sf_dir)).select(DOC, long("n_rows"), long("n_cols"), spans.alias("merges"), F.size("null_slots").cast("long").alias("null_slots"))
+    return B.tables(_word_blocks(spark, sf_dir)).select(_doc(), long("n_rows"), long("n_cols"), spans.alias("merges"), F.size("null_slots").cast("long").alias("null_slots"))
 
 
 def _flags(k: str) -> dict[str, str]:
@@ -198,14 +200,14 @@ def pptx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slides: titles, bullets, groups, soft breaks, tables, pictures, notes, and a title found by its looks."""
     rows = B.top_level(_slides(spark, sf_dir))
     place = F.row_number().over(Window.partitionBy("doc_id", "span.page").orderBy("ordinal")) - 1
-    return rows.select(DOC, F.col("span.page").cast("long").alias("page"), place.cast("long").alias("place"), "type", "text", long("level"), long("list_level"), "list_ordered", _runs().alias("runs"))
+    return rows.select(_doc(), F.col("span.page").cast("long").alias("page"), place.cast("long").alias("place"), "type", "text", long("level"), long("list_level"), "list_ordered", _runs().alias("runs"))
 
 
 @query(f"WITH {_S} SELECT doc, (2 * i - 1)::BIGINT AS page, 2::BIGINT AS n_rows, 2::BIGINT AS n_cols, 'both,' || k || ',' || name AS cells, 2::BIGINT AS across FROM s")
 def pptx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _slides(spark, sf_dir)
     cells = rows.where("parent_uid is not null").groupBy("doc_id", F.col("parent_uid").alias("uid")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell_row", "cell_col", "text"))), lambda c: c["text"]), ",").alias("cells"))
-    return B.tables(rows).join(cells, ["doc_id", "uid"]).select(DOC, F.col("span.page").cast("long").alias("page"), long("n_rows"), long("n_cols"), "cells", F.col("merges")[0]["colspan"].cast("long").alias("across"))
+    return B.tables(rows).join(cells, ["doc_id", "uid"]).select(_doc(), F.col("span.page").cast("long").alias("page"), long("n_rows"), long("n_cols"), "cells", F.col("merges")[0]["colspan"].cast("long").alias("across"))
 
 
 # Workbooks
@@ -234,7 +236,7 @@ UNION ALL SELECT doc, i, 2, strftime(DATE '2024-01-01' + k::INT, '%Y-%m-%d') ||
 SELECT doc, r::BIGINT AS cell_row, c::BIGINT AS cell_col, text FROM c""")
 def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of workbooks: numbers, shared and inline text, dates, truth values; a merged head."""
-    return decode.blocks(_book(spark, sf_dir)).where("parent_uid is not null").select(DOC, long("cell_row"), long("cell_col"), "text")
+    return decode.blocks(_book(spark, sf_dir)).where("parent_uid is not null").select(_doc(), long("cell_row"), long("cell_col"), "text")
 
 
 @query(f"""WITH {_S}, b AS (SELECT DISTINCT doc, n, unnest([{{'place': 0, 'type': 'heading', 'text': 'Nation ' || doc, 'n_rows': NULL, 'locator': NULL}}, {{'place': 1, 'type': 'table', 'text': NULL, 'n_rows': n + 1, 'locator': NULL}},
@@ -245,7 +247,7 @@ def xlsx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.top_level(decode.blocks(_book(spark, sf_dir)))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")) - 1
     at = [F.get_json_object("locator", f"$.{x}") for x in ("part", "anchor_row", "anchor_col")]
-    return rows.select(DOC, place.cast("long").alias("place"), "type", "text", F.when(F.col("type") == "table", F.col("n_rows")).cast("long").alias("n_rows"), F.when(F.col("type") == "image", F.concat_ws(" ", *at)).alias("locator"))
+    return rows.select(_doc(), place.cast("long").alias("place"), "type", "text", F.when(F.col("type") == "table", F.col("n_rows")).cast("long").alias("n_rows"), F.when(F.col("type") == "image", F.concat_ws(" ", *at)).alias("locator"))
 
 
 # PDF
@@ -280,7 +282,7 @@ def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PDF pages laid out from their own text: headings by size, numbered lists, text over lines, ruled tables, pictures."""
     rows = B.top_level(convert.pdf_blocks(_print(spark, sf_dir)))
     place = F.row_number().over(Window.partitionBy("doc_id", "span.page").orderBy("ordinal")) - 1
-    return rows.select(DOC, F.col("span.page").cast("long").alias("page"), place.cast("long").alias("place"), "type", "text", long("level"), long("list_level"), "list_ordered", _runs().alias("runs"))
+    return rows.select(_doc(), F.col("span.page").cast("long").alias("page"), place.cast("long").alias("place"), "type", "text", long("level"), long("list_level"), "list_ordered", _runs().alias("runs"))
 
 
 @query(f"""WITH {_S}, p AS (SELECT DISTINCT doc, (i - 1) // {LINES} + 1 AS page FROM s) SELECT doc, page::BIGINT AS page, '0,0 wide cell;1,0 left;1,1 ' || page AS cells, '0,0,1,2' AS merges, 2::BIGINT AS n_rows, 2::BIGINT AS n_cols FROM p""")
@@ -289,4 +291,346 @@ def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = convert.pdf_blocks(_print(spark, sf_dir))
     cells = rows.where("parent_uid is not null").groupBy("doc_id", F.col("parent_uid").alias("uid")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell_row", "cell_col", "text"))), lambda c: F.concat(c["cell_row"].cast("string"), F.lit(","), c["cell_col"].cast("string"), F.lit(" "), c["text"])), ";").alias("cells"))
     spans = F.array_join(F.transform("merges", lambda m: F.concat_ws(",", m["row"], m["col"], m["rowspan"], m["colspan"])), ";")
-    return B.tables(rows).join(cells, ["doc_id", "uid"]).select(DOC, F.col("span.page").cast("long").alias("page"), "cells", spans.alias("merges"), long("n_rows"), long("n_cols"))
+    return B.tables(rows).join(cells, ["doc_id", "uid"]).select(_doc(), F.col("span.page").cast("long").alias("page"), "cells", spans.alias("merges"), long("n_rows"), long("n_cols"))
+
+
+# Word documents seen through the other operators
+
+_UP = "translate({}::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹')"
+
+
+@query(f"""WITH {_S}, t AS (SELECT doc, n, string_agg('**' || name || '** has key ' || k || '.' || {_UP.format('i')}, chr(10) || chr(10) ORDER BY i) AS paragraphs,
+string_agg(CASE WHEN k % 2 = 0 THEN number || '. ' ELSE '  - ' END || '<u>*item ' || name || '*</u>', chr(10) ORDER BY i) AS items,
+string_agg('<tr>' || CASE WHEN i = 1 THEN '<td' || CASE WHEN n > 1 THEN ' rowspan="' || n || '"' ELSE '' END || '>all</td>' ELSE '' END || '<td>' || name || '</td></tr>', '' ORDER BY i) AS lines
+FROM (SELECT *, sum((k % 2 = 0)::INT) OVER (PARTITION BY doc ORDER BY i) AS number FROM s) GROUP BY doc, n)
+SELECT doc, '## Nation ' || doc || chr(10) || chr(10) || paragraphs || chr(10) || chr(10) || items || chr(10) || chr(10) || '<table><tr><td colspan="2">Suppliers</td></tr>' || lines ||
+'<tr><td>in<br><table><tr><td>nested</td></tr></table></td><td>last</td></tr></table>' || chr(10) || chr(10) || '![](<image1>)' || chr(10) AS markdown FROM t""")
+def docx_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word documents as Markdown: marks and raised figures, a list of two levels, a table with spans and a table inside."""
+    return render.to_markdown(settled(_word_blocks(spark, sf_dir))).select(_doc(), "markdown")
+
+
+@query(f"""WITH {_S}, t AS (SELECT doc, n, string_agg(CASE WHEN i = 1 THEN 'all' ELSE '' END || ' | ' || name, chr(10) ORDER BY i) AS lines, string_agg('Suppliers: ' || CASE WHEN i = 1 THEN 'all' ELSE '' END || chr(10) || 'col1: ' || name, chr(10) || chr(10) ORDER BY i) AS pairs FROM s GROUP BY doc, n)
+SELECT doc, 'Suppliers | ' || chr(10) || lines || chr(10) || 'in' || chr(10) || '| nested |' || chr(10) || '| --- | | last' || chr(10) || '[merged: cell (row 0, col 0) spans 1x2' || CASE WHEN n > 1 THEN '; cell (row 1, col 0) spans ' || n || 'x1' ELSE '' END || ']' AS table_plain,
+pairs || chr(10) || chr(10) || 'Suppliers: in' || chr(10) || '| nested |' || chr(10) || '| --- |' || chr(10) || 'col1: last' AS table_text FROM t""")
+def nested_table_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with spans and a table inside as a model and as a reader of plain text see it."""
+    return render.cell_text(settled(_word_blocks(spark, sf_dir))).where("uid not like '%/%'").select(_doc(), "table_plain", "table_text")
+
+
+def _again(blocks: DataFrame, fmt: str) -> DataFrame:
+    """Blocks as JSON documents, read again."""
+    docs = blocks.select("doc_id").distinct().select("doc_id", F.lit("p").alias("source_path"), F.lit(fmt).alias("fmt"))
+    return blocks_json.read(B.documents_json(docs, blocks))[1]
+
+
+@query(_WORD_ROWS)
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level blocks of Word documents that went through JSON."""
+    return _top_rows(_again(settled(_word_blocks(spark, sf_dir)), "docx"))
+
+
+@query(_WORD_CELLS)
+def json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _again(settled(_word_blocks(spark, sf_dir)), "docx").where("parent_uid is not null")
+    return rows.select(_doc(), long("cell_row"), long("cell_col"), long("cell_pos"), "type", "text")
+
+
+@query("SELECT (SELECT count(DISTINCT s_nationkey) FROM supplier)::BIGINT AS documents, 0::BIGINT AS different")
+def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of all blocks of Word documents are as before after JSON."""
+    before = settled(_word_blocks(spark, sf_dir))
+    after = _again(before, "docx")
+    plain = lambda rows: rows.select("doc_id", "uid", F.sha2(F.to_json(F.struct(*(c for c in ir.COLUMNS if c not in ("doc_id", "uid", "signals"))), {"ignoreNullFields": "true"}), 256).alias("h"))
+    odd = plain(before).unionByName(plain(after)).groupBy("doc_id", "uid", "h").agg(F.count("*").alias("n"))
+    return odd.agg(F.countDistinct("doc_id").alias("documents"), F.sum((F.col("n") != 2).cast("long")).alias("different"))
+
+
+@query(f"""WITH {_S}, d AS (SELECT DISTINCT doc FROM s) SELECT doc, 1::BIGINT AS cell_row, 0::BIGINT AS cell_col, 'paragraph' AS type, 'one' AS text, 2::BIGINT AS null_slots FROM d
+UNION ALL SELECT doc, 0, 1, 'paragraph', 'Nation ' || doc, 2 FROM d""")
+def json_version_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the first version, whose cells are strings; null is no cell, an empty string an empty one."""
+    body = text('{"doc_id":"', F.col("doc_id"), '","source_path":"p","fmt":"docx","blocks":[{"type":"table","id":"t9","table":{"n_rows":2,"n_cols":2,"cells":[[null,"Nation ', F.col("doc_id"), '"],["one",""]],"merges":[{"row":1,"col":0}]}},{"type":"heading","id":"x","text":"h","level":1}]}')
+    rows = settled(blocks_json.read(_grouped(spark, sf_dir, name=F.col("name")).select("doc_id", body.alias("json")))[1])
+    tables = B.by_id(rows, "t9").select("doc_id", F.col("uid").alias("parent_uid"), (F.size("null_slots") + 1).cast("long").alias("null_slots"))
+    return rows.where("parent_uid is not null").drop("null_slots").join(tables, ["doc_id", "parent_uid"]).select(_doc(), long("cell_row"), long("cell_col"), "type", "text", "null_slots")
+
+
+@query("SELECT DISTINCT s_nationkey::BIGINT AS doc, 3::BIGINT AS page_count, 'text/plain' AS mimetype, '{\"a\":' || s_nationkey || '}' AS metadata, sha256(s_nationkey::VARCHAR) AS raw_sha256 FROM supplier")
+def json_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents say of themselves, after JSON."""
+    key = F.col("doc_id")
+    docs = _grouped(spark, sf_dir, name=F.col("name")).select("doc_id", F.lit("p").alias("source_path"), F.lit("markdown").alias("fmt"), F.sha2(key, 256).alias("raw_sha256"), F.lit("text/plain").alias("mimetype"), F.lit(3).alias("page_count"), text('{"a":', key, "}").alias("metadata"))
+    blocks = decode.blocks(docs.select("doc_id", F.lit("x").alias("content")), "markdown")
+    head, _ = blocks_json.read(B.documents_json(docs, blocks))
+    return head.select(_doc(), long("page_count"), "mimetype", "metadata", "raw_sha256")
+
+
+@query(f"WITH {_S} SELECT doc, 'num1' AS list_id, count(*) AS items, string_agg('item ' || name, ',' ORDER BY i) AS texts FROM s GROUP BY doc")
+def list_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of every list, in order."""
+    rows = B.list_items(_word_blocks(spark, sf_dir))
+    return rows.select(_doc(), "list_id", F.size("items").cast("long").alias("items"), F.array_join(F.transform("items", lambda x: x["text"]), ",").alias("texts"))
+
+
+@query(f"WITH {_S} SELECT doc, 1::BIGINT AS tables, 1::BIGINT AS images, max_by(name, -i) || ' has key ' || max_by(k, -i) || '.1' AS first FROM s GROUP BY doc")
+def block_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level tables and images, and the block with an id."""
+    rows = settled(_word_blocks(spark, sf_dir))
+    n = lambda found, name: found.groupBy("doc_id").agg(F.count("*").alias(name))
+    return n(B.tables(rows), "tables").join(n(B.images(rows, nested=False), "images"), "doc_id").join(B.by_id(rows, "b1").select("doc_id", F.col("text").alias("first")), "doc_id").select(_doc(), "tables", "images", "first")
+
+
+@query(f"""WITH {_S}, g AS (SELECT doc, i, k, sum((k % 3 = 0 OR i = 1)::INT) OVER (PARTITION BY doc ORDER BY i) AS island FROM s) SELECT doc, min(i)::BIGINT AS row, count(*) AS rowspan FROM g GROUP BY doc, island HAVING count(*) > 1""")
+def cell_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that go on with the one above, as spans."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("k"))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))
+    cells = s.withColumn("row", at).select("doc_id", F.lit("b0").alias("uid"), F.lit(0).alias("col"), "row", ((F.col("k") % 3 != 0) & (F.col("row") > 1)).alias("continues"))
+    return B.vertical_merges(cells).select(_doc(), long("row"), long("rowspan"))
+
+
+# HTML with tables, pictures and nested lists
+
+def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("k"), F.col("name")
+    image = text('<img src="data:image/png;base64,', F.base64(name.cast("binary")), '" alt="', name, '">')
+    rows = _grouped(spark, sf_dir, lines=text("<tr><td>", k, "</td><td>", name, "</td><td>see ", image, "</td></tr>"), items=text("<li>", name, "<ol><li>key ", k, "</li></ol></li>"))
+    head = "<tr><td rowspan=2>both</td><td colspan=2>wide</td></tr><tr><td>x<table><tr><td>inner</td></tr></table></td><td><b>y</b></td></tr>"
+    body = text("<h2>Nation ", F.col("doc_id"), "</h2><table>", head, _all("lines"), "</table><ul>", _all("items"), "</ul><p>end <img src='http://far.example/a.png'></p>")
+    return rows.select("doc_id", F.lit("html").alias("fmt"), F.concat(F.lit("h/"), "doc_id", F.lit(".html")).alias("source_path"), body.alias("content"))
+
+
+@query(f"""WITH {_S}, d AS (SELECT DISTINCT doc, n FROM s), c AS (SELECT doc, 0 AS r, 0 AS c, 'paragraph' AS type, 'both' AS text, NULL AS runs FROM d UNION ALL SELECT doc, 0, 1, 'paragraph', 'wide', NULL FROM d UNION ALL SELECT doc, 1, 1, 'paragraph', 'x', NULL FROM d UNION ALL SELECT doc, 1, 1, 'table', NULL, NULL FROM d
+UNION ALL SELECT doc, 0, 0, 'paragraph', 'inner', NULL FROM d UNION ALL SELECT doc, 1, 2, 'paragraph', 'y', NULL FROM d UNION ALL SELECT doc, i + 1, 0, 'paragraph', k::VARCHAR, NULL FROM s UNION ALL SELECT doc, i + 1, 1, 'paragraph', name, NULL FROM s
+UNION ALL SELECT doc, i + 1, 2, 'paragraph', 'see', NULL FROM s UNION ALL SELECT doc, i + 1, 2, 'image', NULL, NULL FROM s) SELECT doc, r::BIGINT AS cell_row, c::BIGINT AS cell_col, type, text, runs FROM c""")
+def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of HTML tables: spans, pictures, a table in a cell; marks don't count there."""
+    return decode.blocks(_web(spark, sf_dir)).where("parent_uid is not null").select(_doc(), long("cell_row"), long("cell_col"), "type", "text", _runs().alias("runs"))
+
+
+@query(f"WITH {_S} SELECT DISTINCT doc, n + 2 AS n_rows, 3::BIGINT AS n_cols, '0,0,2,1;0,1,1,2' AS merges, '1,0;0,2' AS covered FROM s")
+def html_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform(F.sort_array("merges"), lambda m: F.concat_ws(",", m["row"], m["col"], m["rowspan"], m["colspan"])), ";")
+    covered = F.array_join(F.transform(F.sort_array("null_slots", asc=False), lambda x: F.concat_ws(",", x["row"], x["col"])), ";")
+    return B.tables(decode.blocks(_web(spark, sf_dir))).select(_doc(), long("n_rows"), long("n_cols"), spans.alias("merges"), covered.alias("covered"))
+
+
+@query(f"WITH {_S} SELECT doc, 2 * i - 1 AS place, name AS text, 0::BIGINT AS list_level, false AS list_ordered FROM s UNION ALL SELECT doc, 2 * i, 'key ' || k, 1, true FROM s")
+def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested lists: levels, kinds and order."""
+    rows = B.top_level(decode.blocks(_web(spark, sf_dir))).where("list_id is not null")
+    return rows.select(_doc(), F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")).cast("long").alias("place"), "text", long("list_level"), "list_ordered")
+
+
+class Seer:
+    """A vision model that reads a picture's bytes as text; none where a 3 is in it."""
+
+    def complete_vision(self, *, system, user, images, max_tokens):
+        seen = images[0][1].decode()
+        if seen.endswith("7"):
+            raise clients.ModelError("no answer")
+        return "NO_TEXT" if "3" in seen else f" {seen} "
+
+
+class Judge:
+    """A checker that fails on even last figures, and cleans the others."""
+
+    def complete(self, *, system, user, max_tokens):
+        if user[-1] in "02468":
+            raise clients.ModelError("no answer")
+        return f"Well: {json.dumps({'meaningful': True, 'cleaned_text': user.upper() + ' '})}"
+
+
+@query(f"""WITH {_S}, m AS (SELECT doc, i, sha256(name) AS image_id, name, 'image/png' AS mime FROM s) SELECT doc, i::BIGINT AS image_index, name AS alt_text, image_id, mime,
+CASE WHEN right(name, 1) = '7' THEN NULL WHEN contains(name, '3') THEN false ELSE right(name, 1) NOT IN ('0', '2', '4', '6', '8') END AS ocr_meaningful,
+CASE WHEN right(name, 1) <> '7' AND NOT contains(name, '3') AND right(name, 1) NOT IN ('0', '2', '4', '6', '8') THEN upper(name) END AS ocr_text FROM m
+UNION ALL SELECT DISTINCT doc, n + 1, NULL, NULL, NULL, NULL::BOOLEAN, NULL FROM s""")
+def image_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures with their blob, and what a model read in them, checked by another; calls that fail leave slots empty."""
+    docs = _web(spark, sf_dir)
+    blocks = settled(decode.blocks(docs))
+    found = settled(convert.resolved_images(blocks, docs.withColumn("content", F.col("content").cast("binary"))))
+    full = enrich.with_images(blocks, found, enrich.read_images(found, Seer, Judge))
+    return B.images(full).select(_doc(), long("image_index"), "alt_text", "image_id", "mime", "ocr_meaningful", "ocr_text")
+
+
+@query("SELECT sha256(s_name) AS sha256, 'image/png' AS mime, '.png' AS ending, octet_length(encode(s_name))::BIGINT AS bytes FROM supplier WHERE s_suppkey % 2 = 0")
+def image_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs that a store doesn't have: each picture once, those of odd suppliers are stored already."""
+    docs = _web(spark, sf_dir)
+    twice = docs.unionByName(docs.withColumn("doc_id", F.concat(F.lit("copy"), "doc_id")))
+    found = enrich.identified(enrich.from_source_attribute(enrich.unresolved(decode.blocks(twice))))
+    have = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1").select(F.sha2("s_name", 256).alias("sha256"))
+    return enrich.new_blobs(found, have).select("sha256", "mime", "ending", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query("""WITH d AS (SELECT DISTINCT s_nationkey::BIGINT AS doc FROM supplier) SELECT 'docx' AS fmt, doc, sha256('picture ' || doc) AS image_id, 'image/png' AS mime FROM d UNION ALL SELECT 'xlsx', doc, sha256('sheet picture ' || doc), 'image/png' FROM d
+UNION ALL SELECT 'markdown', doc, sha256('local ' || doc), 'image/jpeg' FROM d UNION ALL SELECT 'pdf', doc, sha256('region 1 300.0 642.0 360.0 692.0'), 'image/png' FROM d""")
+def fetched_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of pictures by the kind of their locator: package members, files beside a document, regions of pages."""
+    word, book = _word(spark, sf_dir), _book(spark, sf_dir)
+    md = word.select("doc_id", F.lit("markdown").alias("fmt"), F.concat(F.lit("m/"), "doc_id", F.lit(".md")).alias("source_path"), text("![a](img/", F.col("doc_id"), ".jpg)").cast("binary").alias("content"))
+    files = md.select(F.concat(F.lit("m/img/"), "doc_id", F.lit(".jpg")).alias("path"), text("local ", F.col("doc_id")).cast("binary").alias("content"))
+    printed = _print(spark, sf_dir).withColumn("source_path", F.lit("p.pdf"))
+    docs = word.unionByName(book).unionByName(md).unionByName(printed.select(word.columns)).withColumn("doc_id", F.concat_ws("/", "fmt", "doc_id"))
+    docs = settled(docs)
+    blocks = settled(convert.blocks(docs, ("docx", "xlsx", "markdown", "pdf")))
+    first = blocks.where("type = 'image' and coalesce(span.page, 1) = 1")
+    found = convert.resolved_images(first, docs, files, lambda: lambda content, page, box: f"region {page} {' '.join(map(str, box))}".encode())
+    return found.select(F.split("doc_id", "/")[0].alias("fmt"), F.split("doc_id", "/")[1].cast("long").alias("doc"), "image_id", "mime")
+
+
+class Teller:
+    """Describes a table, and finds its first try too short."""
+
+    def complete(self, *, system, user, max_tokens):
+        if system == enrich.CHECK_DESCRIPTION:
+            return json.dumps({"content_ok": "again" in user, "format_ok": True, "reason": "say more"})
+        return f"again {user.count('Supplier#')}" if "Avoid: say more" in user else "short"
+
+
+@query(f"WITH {_S} SELECT doc, 'again ' || count(*) AS description, 'ok' AS status, 2::BIGINT AS attempts FROM s GROUP BY doc")
+def table_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level tables described by a model, checked, and described again with the reason."""
+    rows = enrich.described(settled(decode.blocks(_web(spark, sf_dir))), Teller, check=True, context=False)
+    return B.tables(rows).select(_doc(), F.col("table_description").alias("description"), F.col("describe_status").alias("status"), long("describe_attempts").alias("attempts"))
+
+
+# Markdown with pictures
+
+@query(f"""WITH {_S} SELECT doc, i::BIGINT AS image_index, name AS alt_text, 'p/' || k || '.png' AS src, 'para <image' || i || '> end' AS carrier FROM s UNION ALL SELECT DISTINCT doc, n + 1, 'in cell', 'c.png', '<image' || (n + 1) || '>' FROM s""")
+def md_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures in paragraphs and in cells, and the text that carries their marker."""
+    rows = _grouped(spark, sf_dir, lines=text("para ![", F.col("name"), "](p/", F.col("k"), '.png "title") end\n\n'))
+    docs = rows.select("doc_id", text(_all("lines"), "| a |\n|---|\n| ![in cell](c.png) |\n").alias("content"))
+    blocks = decode.blocks(docs, "markdown")
+    carriers = blocks.where("text like '%<image%'").select("doc_id", F.regexp_extract("text", r"<image(\d+)>", 1).cast("int").alias("image_index"), F.col("text").alias("carrier"))
+    images = B.images(blocks).join(carriers, ["doc_id", "image_index"])
+    return images.select(_doc(), long("image_index"), "alt_text", F.get_json_object("locator", "$.src").alias("src"), "carrier")
+
+
+@query(f"WITH {_S} SELECT doc, i::BIGINT AS cell_row, 0::BIGINT AS cell_col, name || '{{bold}}' AS runs, name AS text FROM s UNION ALL SELECT doc, i, 1, NULL, k || '|' || i FROM s UNION ALL SELECT DISTINCT doc, 0, 0, NULL, 'a' FROM s UNION ALL SELECT DISTINCT doc, 0, 1, NULL, 'b' FROM s")
+def md_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with marks and escaped bars."""
+    rows = _grouped(spark, sf_dir, lines=text("| **", F.col("name"), "** | ", F.col("k"), "\\|", F.col("i"), " |\n"))
+    docs = rows.select("doc_id", text("| a | b |\n|:--|--:|\n", _all("lines")).alias("content"))
+    return decode.blocks(docs, "markdown").where("parent_uid is not null").select(_doc(), long("cell_row"), long("cell_col"), _runs().alias("runs"), "text")
+
+
+# Files and formats
+
+def _split_lines(content: bytes) -> list[ir.Node]:
+    return [ir.text_block("paragraph", line) for line in content.decode("utf-8", "replace").split(";")]
+
+
+@query("""SELECT s_suppkey::BIGINT AS doc, unnest([0, 1])::BIGINT AS ordinal, unnest([s_name, 'end']) AS text, NULL::VARCHAR AS error FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT s_suppkey::BIGINT, 0, 'a' || chr(65533) || 'b ' || s_name, NULL FROM supplier WHERE s_suppkey % 4 = 1 UNION ALL SELECT s_suppkey::BIGINT, NULL, NULL, 'failed' FROM supplier WHERE s_suppkey % 4 = 2""")
+def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by their endings: a registered format, bytes that are no UTF-8, files that can't be decoded (rows with an error), and unknown ones, which are left out."""
+    decode.register("lines", _split_lines, (".lines",), ("text/lines",))
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    ending = F.element_at(F.array(F.lit(".LINES"), F.lit(".md"), F.lit(".docx"), F.lit(".other")), (k % 4 + 1).cast("int"))
+    content = F.when(k % 4 == 0, text(F.col("s_name"), ";end").cast("binary")).when(k % 4 == 1, F.concat(F.unhex(F.lit("61FF6220")), F.col("s_name").cast("binary"))).otherwise(F.lit("no zip").cast("binary"))
+    files = decode.with_format(s.select(F.concat(F.lit("in/"), k.cast("string"), ending).alias("source_path"), content.alias("content")))
+    rows = convert.blocks(files, ("lines", "markdown", "docx"), with_errors=True)
+    return rows.select(_doc(), long("ordinal"), "text", F.when(F.col("error").isNotNull(), "failed").alias("error"))
+
+
+@query("SELECT 'in/' || s_suppkey || '.other' AS source_path, 'no decoder for extension .other' AS reason FROM supplier WHERE s_suppkey % 4 = 3")
+def unsupported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    files = decode.with_format(s.select(F.concat(F.lit("in/"), k.cast("string"), F.when(k % 4 == 3, ".other").otherwise(".md")).alias("source_path"), F.lit("x").cast("binary").alias("content")))
+    return decode.unsupported(files).select("source_path", "reason")
+
+
+# Pages that models read
+
+class PageReader:
+    """Reads pages that a stand-in renders as [page, box]: pages 1 and 2 of four with a wrong figure."""
+
+    def __init__(self, second: bool = False):
+        self.second = second
+
+    def complete_vision(self, *, system, user, images, max_tokens):
+        page, _ = json.loads(images[0][1])
+        if self.second:
+            return f"supplier {page + 1} pays" if page % 4 == 1 else "something else"
+        said = page + (page % 4 in (1, 2))
+        return json.dumps([{"type": "heading", "text": "Bill", "level": 2}, {"type": "paragraph", "text": f"Supplier {said}\npays"}, {"type": "table", "rows": [["other"]]}, {"type": "list_item", "text": "bill", "ordered": True}])
+
+
+def _draw(content: bytes, page: int, box: list[float] | None) -> bytes:
+    return json.dumps([page, box]).encode()
+
+
+def _detect(png: bytes) -> list[tuple]:
+    page, _ = json.loads(png)
+    return [(1, 1, i, w, 10.0, 20.0 * i, 50.0, 20.0 * i + 10) for i, line in enumerate((f"Supplier {page}", "pays", "bill", "other")) for w in line.split()]
+
+
+class GridReader:
+    """A vision model that sees a table of one row and two columns."""
+
+    def complete_vision(self, *, system, user, images, max_tokens):
+        return '[{"row": 0, "col": 0, "bbox": [0, 0, 0.5, 1]}, {"row": 0, "col": 1, "bbox": [0.5, 0, 1, 1]}]'
+
+
+def _crop(image: bytes, box: clients.Box) -> tuple[bytes, int, int]:
+    return image, int(box[2] - box[0]), int(box[3] - box[1])
+
+
+def _model_pages(spark: SparkSession, sf_dir: str, **more: object) -> DataFrame:
+    """A page for each supplier: of four, three with text and a ruled table, one a scan."""
+    k = F.col("s_suppkey").cast("int")
+    s = table(spark, sf_dir, "supplier").select(F.lit("d").alias("doc_id"), k.alias("page"))
+    own = s.where("page % 4 <> 3")
+    at = lambda i, word, font, x, top: F.struct(F.lit(i).alias("seq"), word.alias("text"), F.lit(x).alias("x0"), F.lit(x + 30.0).alias("x1"), F.lit(top).alias("top"), F.lit(top + 10.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit(font).alias("fontname"))
+    line = [at(0, F.lit("Bill"), "F", 50.0, 50.0), at(1, F.lit("Supplier"), "F", 50.0, 80.0), at(2, F.col("page").cast("string"), "F-Bold", 90.0, 80.0), at(3, F.lit("pays"), "F", 130.0, 80.0), at(4, F.lit("left"), "F", 105.0, 205.0), at(5, F.lit("right"), "F", 155.0, 205.0)]
+    words = own.select("doc_id", "page", F.explode(F.array(*line)).alias("w")).select("doc_id", "page", "w.*")
+    pages = s.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.when(F.col("page") % 4 == 3, 0).otherwise(90).alias("n_chars"))
+    pictures = s.where("page % 4 = 3").select("doc_id", "page", F.lit(0).alias("seq"), F.lit(0.0).alias("x0"), F.lit(600.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(800.0).alias("bottom"), F.lit("scan").alias("name"))
+    cells = own.select("doc_id", "page", F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.lit(100.0).alias("x0"), F.lit(200.0).alias("top"), F.lit(200.0).alias("x1"), F.lit(240.0).alias("bottom"))
+    docs = spark.createDataFrame([("d", b"")], "doc_id string, content binary")
+    routes = pdf_layout.triage(words, pages, pictures, pdf_layout.table_boxes(cells))
+    models = page_models.Models(lambda: _draw, PageReader, second=lambda: PageReader(True), detector=lambda: _detect, **more)
+    rows, _ = page_models.model_blocks(docs, words, pages, pictures, cells, routes, models)
+    return convert.as_blocks(pdf_layout.numbered_blocks(rows))
+
+
+@query("""WITH p AS (SELECT s_suppkey::BIGINT AS page, s_suppkey % 4 AS m FROM supplier), b AS (
+SELECT page, 0 AS place, 'heading' AS type, 'Bill' AS text, 2 AS level, 'text-layer-verified' AS provenance, NULL AS runs, false AS crop FROM p WHERE m <> 3
+UNION ALL SELECT page, 0, 'heading', 'Bill', 2, 'consensus-verified', NULL, false FROM p WHERE m = 3
+UNION ALL SELECT page, 1, 'paragraph', 'Supplier ' || (page + (m IN (1, 2))::INT) || ' pays', NULL, CASE m WHEN 0 THEN 'text-layer-verified' WHEN 2 THEN 'unverified' ELSE 'consensus-verified' END, CASE WHEN m = 0 THEN 'Supplier{} ' || page || '{bold} pays{}' END, m = 2 FROM p
+UNION ALL SELECT page, 2, 'table', NULL, NULL, CASE WHEN m = 3 THEN 'consensus-verified' ELSE 'text-layer-verified' END, NULL, false FROM p
+UNION ALL SELECT page, 3, 'paragraph', 'bill', NULL, CASE WHEN m = 3 THEN 'consensus-verified' ELSE 'text-layer-verified' END, NULL, false FROM p)
+SELECT page, place::BIGINT AS place, type, text, level::BIGINT AS level, provenance, runs, CASE WHEN crop THEN sha256('[' || page || ', null]') END AS source_crop FROM b""")
+def model_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a model reads: held to their text, to a second reader and a detector; marks from fonts; crops of what nothing confirms."""
+    rows = B.top_level(_model_pages(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("span.page").orderBy("ordinal")) - 1
+    return rows.select(F.col("span.page").cast("long").alias("page"), place.cast("long").alias("place"), "type", "text", long("level"), "provenance", _runs().alias("runs"), "source_crop")
+
+
+@query("SELECT s_suppkey::BIGINT AS page, CASE WHEN s_suppkey % 4 = 3 THEN '0 other' ELSE '0 left,1 right' END AS cells FROM supplier")
+def structured_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of pages that a model reads: the i-th takes the grid that a structure model sees at the i-th place, with the text of the page's words; a scan's keeps the reading's rows."""
+    rows = settled(_model_pages(spark, sf_dir, structure=lambda: clients.VisionStructureClient(GridReader, _crop)))
+    tops = B.tables(rows).select("doc_id", F.col("uid").alias("parent_uid"), F.col("span.page").cast("long").alias("page"))
+    cells = rows.where("parent_uid is not null").join(tops, ["doc_id", "parent_uid"])
+    return cells.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell_col", "text"))), lambda c: F.concat_ws(" ", c["cell_col"], c["text"])), ",").alias("cells"))
+
+
+@query("""SELECT s_suppkey::BIGINT AS page, c::BIGINT AS column, r::BIGINT AS line, CASE r % 2 WHEN 0 THEN 'a' || (r // 2) || ' b' || (r // 2) || ' c' || (r // 2) ELSE 'd' || (r // 2) END AS text
+FROM supplier, range(2) x(c), range(20) y(r)""")
+def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two columns, found by the band between them; a line holds what is near its first word, not its last."""
+    s = table(spark, sf_dir, "supplier").select(F.lit("d").alias("doc_id"), F.col("s_suppkey").cast("int").alias("page"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(79)))
+    rows = s.withColumn("i", at).withColumns({"row": F.floor(F.col("i") / 8), "c": F.col("i") % 8})
+    step = F.col("c") % 4
+    x = F.when(F.col("c") < 4, 20.0 + 60 * step).otherwise(340.0 + 60 * step)
+    words = rows.select("doc_id", "page", F.col("i").alias("seq"), F.concat(F.substring(F.lit("abcd"), step + 1, F.lit(1)), F.col("row").cast("string")).alias("text"), x.alias("x0"), (x + 50).alias("x1"), (20.0 * F.col("row") + 2 * step).alias("top"), (20.0 * F.col("row") + 2 * step + 8).alias("bottom"), F.lit(10.0).alias("size"), F.lit("F").alias("fontname"))
+    pages = s.withColumns({"width": F.lit(600.0), "height": F.lit(800.0), "n_chars": F.lit(160)})
+    laid = pdf_layout.lines(pdf_layout.with_column(words, pdf_layout.gutters(words, pages)))
+    return laid.select(long("page"), long("column"), long("line_no").alias("line"), "text")

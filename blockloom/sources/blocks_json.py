@@ -40,7 +40,7 @@ def node(data: Any, path: str, inner: bool = False) -> ir.Node:
     if data.get("runs"):
         out["runs"] = [ir.run(r["text"], r.get("marks"), r.get("link")) for r in data["runs"]]
     if data.get("locator") is not None:
-        out["locator"] = json.dumps(data["locator"], ensure_ascii=False, separators=(",", ":"))
+        out["locator"] = json.dumps(data["locator"])
     if kind == "table":
         table = _need(data, "table", path)
         rows = [[cell(c, f"{path}.table.cells[{r}][{k}]") for k, c in enumerate(row)] for r, row in enumerate(table.get("cells") or [])]
