@@ -162,7 +162,12 @@ def documents_json(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def validate(docs: DataFrame, json: str = "json") -> DataFrame:
-    """Rows of docs (doc_id, json) that can't be read, with path and reason: the version gate, required fields, block types and ids."""
+    """Rows of docs (doc_id, json) that can't be read, with path and reason."""
+    return docs.select("doc_id", fault_of(json).alias("fault")).where("fault is not null").select("doc_id", "fault.path", "fault.reason")
+
+
+def fault_of(json: str = "json") -> Column:
+    """Path and reason why a document can't be read, null if it can: the version gate, required fields, block types and ids."""
     v = F.try_parse_json(json)
     get = lambda path, kind="string": F.try_variant_get(v, path, kind)
     version = F.schema_of_variant(F.try_variant_get(v, "$.ir_version", "variant"))
@@ -183,7 +188,7 @@ def validate(docs: DataFrame, json: str = "json") -> DataFrame:
         )
 
     faults = F.filter(F.transform(listed, block), lambda x: x.isNotNull())
-    found = F.coalesce(
+    return F.coalesce(
         F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), fault("<root>", "expected an object")),
         F.when(version.isNotNull() & ~version.isin("BIGINT", "BOOLEAN", "VOID"), fault("ir_version", F.concat(F.lit("expected an int, got "), F.lower(version)))),
         F.when(get("$.ir_version", "bigint") > IR_VERSION, fault("ir_version", F.concat(F.lit("file is IR v"), get("$.ir_version"), F.lit(f", this reader supports up to v{IR_VERSION}")))),
@@ -191,7 +196,6 @@ def validate(docs: DataFrame, json: str = "json") -> DataFrame:
         F.when(F.try_variant_get(v, "$.blocks", "variant").isNotNull() & listed.isNull(), fault("blocks", "expected a list")),
         F.try_element_at(faults, F.lit(1)),
     )
-    return docs.select("doc_id", found.alias("fault")).where("fault is not null").select("doc_id", "fault.path", "fault.reason")
 
 
 def check_invariants(blocks: DataFrame) -> DataFrame:

@@ -96,8 +96,7 @@ def classified(rows: DataFrame, w: Weights = DOCUMENT) -> DataFrame:
 def slide_titles(rows: DataFrame, w: Weights = SLIDE) -> DataFrame:
     """The best-scored row of each slide (doc_id, slide, ordinal) that has no title: strictly best, the first of equals."""
     rows = rows.withColumns(clues()).withColumn("score", score(w)).where("score is not null")
-    turn = Window.partitionBy("doc_id", "slide").orderBy(F.col("score").desc(), "ordinal")
-    best = rows.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
+    best = rows.groupBy("doc_id", "slide").agg(F.max_by(F.struct(*rows.columns), F.struct(F.col("score"), -F.col("ordinal"))).alias("x")).select("x.*")
     return best.where(F.col("score") >= w.threshold - 1e-9).withColumn("heading_level", level(w))
 
 

@@ -136,14 +136,20 @@ def list_islands(top: DataFrame) -> DataFrame:
     return top.withColumn("_starts", F.coalesce(starts, F.lit(True)).cast("int")).withColumn("island", F.when(F.col("list_id").isNotNull(), F.sum("_starts").over(order))).drop("_starts")
 
 
+#: Levels of lists whose last items are kept as numbers.
+DEEP = 9
+
+
 def numbered(items: DataFrame) -> DataFrame:
     """Adds number: an ordered item's place among ordered items of its level since the last shallower item of its island."""
     island = Window.partitionBy("doc_id", "island").orderBy("ordinal")
     lvl = F.coalesce("list_level", F.lit(0))
     rows = items.withColumn("_level", lvl).withColumn("_place", F.row_number().over(island))
-    # the last earlier item that is shallower: scan back over the island's levels
-    levels = F.collect_list(F.struct(F.col("_place").alias("p"), F.col("_level").alias("l"))).over(island)
-    reset = F.array_max(F.transform(F.filter(levels, lambda x: x["l"] < F.col("_level")), lambda x: x["p"]))
+    # the last earlier item that is shallower: of each level the last place, and of levels beyond DEEP those that stand there
+    last = [F.when(F.col("_level") > n, F.max(F.when(F.col("_level") == n, F.col("_place"))).over(island)) for n in range(DEEP)]
+    beyond = F.collect_list(F.when(F.col("_level") >= DEEP, F.struct(F.col("_place").alias("p"), F.col("_level").alias("l")))).over(island)
+    far = F.when(F.col("_level") > DEEP, F.array_max(F.transform(F.filter(beyond, lambda x: x["l"] < F.col("_level")), lambda x: x["p"])))
+    reset = F.greatest(*last, far)
     rows = rows.withColumn("_reset", F.coalesce(reset, F.lit(0)))
     same = Window.partitionBy("doc_id", "island", "_level", "_reset").orderBy("ordinal")
     return rows.withColumn("number", F.sum(F.coalesce(F.col("list_ordered"), F.lit(False)).cast("int")).over(same)).drop("_place", "_reset")

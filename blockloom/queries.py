@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import blocks as B
 from .operators import headings, pdf_layout, render
+from .scratch import settled
 from .sources import decode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,8 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The tables are single files with one row group; decoding wants as many tasks as there are cores."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Small tables are single files with one row group: only where the scan has fewer tasks than there are cores are rows dealt out for decoding."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +124,7 @@ def markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as Markdown."""
-    return render.to_markdown(pages(spark, sf_dir)).select(F.col("doc_id").cast("long").alias("page_id"), "markdown")
+    return render.to_markdown(settled(pages(spark, sf_dir))).select(F.col("doc_id").cast("long").alias("page_id"), "markdown")
 
 
 @query("SELECT page_id, sha256(html) AS raw_sha256, length(html)::BIGINT AS chars FROM pages")
@@ -255,29 +257,33 @@ def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Heading clues and scores
 
-_FIRST = r"SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents"
+_EVERY = r"SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents"
 _CAPS = r"(length(regexp_replace(t, '\P{L}', '', 'g')) >= 2 AND NOT regexp_matches(t, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]'))"
 _WC = r"len(list_filter(string_split_regex(trim(t), '\s+'), lambda w: w <> ''))"
 
 
-@query(rf"""WITH f AS ({_FIRST}), w AS (SELECT *, list_filter(string_split_regex(trim(t), '\s+'), lambda w: length(w) > 3 AND regexp_matches(w, '^\p{{L}}')) AS big FROM f)
-SELECT doc_id, {_CAPS} AS caps, (NOT {_CAPS} AND len(big) >= 2 AND len(list_filter(big, lambda w: NOT regexp_matches(w, '^\p{{Lu}}'))) = 0) AS title, {_WC}::BIGINT AS words,
+@query(rf"""WITH f AS ({_EVERY}), w AS (SELECT *, list_filter(string_split_regex(trim(t), '\s+'), lambda w: length(w) > 3 AND regexp_matches(w, '^\p{{L}}')) AS big FROM f)
+SELECT doc_id, line::BIGINT AS line, {_CAPS} AS caps, (NOT {_CAPS} AND len(big) >= 2 AND len(list_filter(big, lambda w: NOT regexp_matches(w, '^\p{{Lu}}'))) = 0) AS title, {_WC}::BIGINT AS words,
 length(regexp_replace(t, '[^.?!]', '', 'g'))::BIGINT AS sentences FROM w""")
 def heading_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text clues of the first line of every document."""
-    t = F.split("text", "\n")[0]
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", C.is_all_caps("t").alias("caps"), C.is_title_case("t").alias("title"), C.word_count("t").cast("long").alias("words"), F.regexp_count("t", F.lit("[.?!]")).cast("long").alias("sentences"))
+    """Text clues of every line of every document."""
+    return _lines(spark, sf_dir).select("doc_id", long("line"), C.is_all_caps("t").alias("caps"), C.is_title_case("t").alias("title"), C.word_count("t").cast("long").alias("words"), F.regexp_count("t", F.lit("[.?!]")).cast("long").alias("sentences"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
 
 
 _LINES = ("1.2 Scope", "IV. Results", "Chapter two", "Part", "Figure 3: x", "12 March 2021", "10:30 am", "Mar 3rd", "plain", "2) Items", "Tablo 4", "May be", "1.2.3.4.5.6.7 deep")
 
 
-@query("WITH v(t) AS (VALUES " + ", ".join(f"('{x}')" for x in _LINES) + r"""), d AS (SELECT t, regexp_extract(t, '^\s*(\d+(?:\.\d+)*)[.)]?\s+\S', 1) AS num, regexp_matches(t, '(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)') AS month, regexp_matches(t, '\b\d{1,2}[:.]\d{2}') AS time, regexp_matches(t, '\b(19|20)\d{2}\b') AS year, regexp_matches(t, '(?i)\b\d{1,2}(st|nd|rd|th)\b') AS ordinal, len(string_split(t, ' ')) AS n FROM v)
-SELECT t, (CASE WHEN num <> '' THEN least(6, len(string_split(num, '.'))) WHEN regexp_matches(t, '^\s*([IVXLCDM]+)[.)]\s+\S') OR regexp_matches(t, '(?i)^\s*(chapter|section|part|appendix)\b') THEN 1 END)::BIGINT AS level, regexp_matches(t, '(?i)^\s*(figure|fig|table|tablo)\s*\d') AS caption, (month AND (year OR ordinal)) OR (time AND (year OR month OR n <= 3)) AS date FROM d""")
+@query("WITH v(doc_id, line, t) AS (" + "SELECT doc_id, line, t FROM (" + _EVERY + ")" + " UNION ALL VALUES " + ", ".join(f"(-1, {i}, '{x}')" for i, x in enumerate(_LINES)) + r"""), d AS (SELECT doc_id, line, t, regexp_extract(t, '^\s*(\d+(?:\.\d+)*)[.)]?\s+\S', 1) AS num, regexp_matches(t, '(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)') AS month, regexp_matches(t, '\b\d{1,2}[:.]\d{2}') AS time, regexp_matches(t, '\b(19|20)\d{2}\b') AS year, regexp_matches(t, '(?i)\b\d{1,2}(st|nd|rd|th)\b') AS ordinal, len(list_filter(string_split_regex(trim(t), '\s+'), lambda w: w <> '')) AS n FROM v)
+SELECT doc_id, line::BIGINT AS line, (CASE WHEN num <> '' THEN least(6, len(string_split(num, '.'))) WHEN regexp_matches(t, '^\s*([IVXLCDM]+)[.)]\s+\S') OR regexp_matches(t, '(?i)^\s*(chapter|section|part|appendix)\b') THEN 1 END)::BIGINT AS level, regexp_matches(t, '(?i)^\s*(figure|fig|table|tablo)\s*\d') AS caption, n <= 8 AND ((month AND (year OR ordinal)) OR (time AND (year OR month OR n <= 3))) AS date FROM d""")
 def line_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbering, captions and dates."""
-    rows = spark.createDataFrame([(x,) for x in _LINES], "t string")
-    return rows.select("t", C.numbering_level("t").cast("long").alias("level"), C.is_caption("t").alias("caption"), C.looks_like_date("t").alias("date"))
+    """Numbering, captions and dates of every line of every document, and of some lines that have them."""
+    some = spark.createDataFrame([(-1, i, x) for i, x in enumerate(_LINES)], "doc_id bigint, line int, t string")
+    rows = _lines(spark, sf_dir).unionByName(some)
+    return rows.select("doc_id", long("line"), C.numbering_level("t").cast("long").alias("level"), C.is_caption("t").alias("caption"), C.looks_like_date("t").alias("date"))
 
 
 def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,8 +393,8 @@ def heading_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as JSON documents, read again and checked: all of them, without a fault."""
     docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("source_path"), F.lit("html").alias("fmt"))
-    made = B.documents_json(docs, pages(spark, sf_dir))
-    return made.join(B.validate(made), "doc_id", "left").agg(F.count("*").alias("documents"), F.count("path").alias("faults"))
+    made = B.documents_json(docs, settled(pages(spark, sf_dir)))
+    return made.agg(F.count("*").alias("documents"), F.count(B.fault_of()).alias("faults"))
 
 
 _BAD = (

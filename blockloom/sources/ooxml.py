@@ -34,7 +34,7 @@ Element = ElementTree.Element
 
 
 def q(name: str) -> str:
-    """`w:p` as the parser spells it."""
+    """`w:p` as expat spells it."""
     space, _, local = name.partition(":")
     return f"{{{SPACES[space]}}}{local}"
 
@@ -87,24 +87,24 @@ class Package:
 
 def byte_ranges(xml: bytes, wanted: Callable[[list[str]], bool]) -> list[tuple[str, int, int]]:
     """(name, start, start of the end tag) of elements whose path of names is wanted; [] if the XML is broken."""
-    parser = expat.ParserCreate()
+    reader = expat.ParserCreate()
     path: list[str] = []
     open_at: list[int | None] = []
     out: list[tuple[str, int, int]] = []
 
     def start(name: str, _: dict) -> None:
         path.append(name)
-        open_at.append(parser.CurrentByteIndex if wanted(path) else None)
+        open_at.append(reader.CurrentByteIndex if wanted(path) else None)
 
     def end(name: str) -> None:
         at = open_at.pop()
         if at is not None:
-            out.append((name, at, parser.CurrentByteIndex))
+            out.append((name, at, reader.CurrentByteIndex))
         path.pop()
 
-    parser.StartElementHandler, parser.EndElementHandler = start, end
+    reader.StartElementHandler, reader.EndElementHandler = start, end
     try:
-        parser.Parse(xml, True)
+        reader.Parse(xml, True)
     except expat.ExpatError:
         return []
     return out

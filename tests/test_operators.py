@@ -135,10 +135,50 @@ def test_client_settings(monkeypatch):
 
 
 def test_structure_replies():
-    assert clients.structure_cells('```json\n[{"row": 0, "col": 1, "bbox": [0, 0, 1, 1]}, {"row": "x"}]\n```') == [{"row": 0, "col": 1, "rowspan": 1, "colspan": 1, "bbox": [0.0, 0.0, 1.0, 1.0]}]
+    assert clients.structure_cells('```json\n[{"row": 0, "col": 1, "bbox": [0, 0, 1, 1]}, {"row": "x"}]\n```') == [{"row": 0, "col": 1, "rowspan": 1, "colspan": 1, "bbox": (0.0, 0.0, 1.0, 1.0)}]
     assert clients.structure_cells("nothing") is None and clients.structure_cells("[]") == []
 
 
+def test_replies_have_a_shape():
+    reply = {"tables": [{"bbox": [0, 0, 1, 1], "cells": [{"row": 0, "col": 0, "bbox": [0, 0, 1, 1], "colspan": 2, "more": 1}]}, {"bbox": [1, 1, 2, 2]}]}
+    first, second = clients.shaped(reply, clients.TABLES)["tables"]
+    assert first["cells"] == [{"row": 0, "col": 0, "rowspan": 1, "colspan": 2, "bbox": (0.0, 0.0, 1.0, 1.0)}] and not second["cells"]
+    assert clients.shaped({"choices": [{"message": {"content": None}}]}, clients.CHAT)["choices"][0]["message"]["content"] == ""
+    for bad in ({"choices": None}, {"choices": [{}]}, [], {"tables": [{"bbox": [1]}]}):
+        with pytest.raises((ValueError, TypeError)):
+            clients.shaped(bad, clients.TABLES if "tables" in bad else clients.CHAT)
+
+
+def test_structure_services_are_asked_over_http():
+    import http.server
+    import json
+    import threading
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if "messages" in asked:
+                body = {"choices": [{"message": {"content": asked["messages"][1]["content"][1]["image_url"]["url"]}}]}
+            else:
+                body = {"tables": [{"bbox": asked["table_bboxes"][0], "cells": [{"row": 0, "col": 0, "bbox": asked["text_cells"][0]["bbox"]}]}]}
+            self.send_response(500 if self.path == "/broken" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    (found,) = clients.HttpStructureClient(url).detect(b"x", table_bboxes=[(0, 0, 9, 9)], text_cells=[("w", (1, 1, 2, 2))])
+    assert found.bbox == (0.0, 0.0, 9.0, 9.0) and found.cells[0].bbox == (1.0, 1.0, 2.0, 2.0)
+    assert clients.ChatClient(url, "m").complete_vision(system="s", user="u", images=[("image/png", b"ab")]) == "data:image/png;base64,YWI="
+    with pytest.raises(clients.ModelError):
+        clients.HttpStructureClient(f"{url}/broken").detect(b"x", table_bboxes=[(0, 0, 9, 9)], text_cells=[("w", (1, 1, 2, 2))])
+    server.shutdown()
+
+
 def test_errors_become_rows(spark):
     docs = spark.createDataFrame([("a", "html", "<table><tr><td rowspan=x>"), ("b", "html", "<p>ok</p>")], "doc_id string, fmt string, content string")
     got = {r.doc_id: r.error for r in decode.blocks(docs, with_errors=True).collect()}
