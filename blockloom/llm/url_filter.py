@@ -5,8 +5,9 @@ piece is split into words by Viterbi search over unigram log probabilities. A wo
 is not in the lexicon costs more with each letter, so unknown names stay in one piece.
 The lexicon counts words of page texts and of paths, and the pieces of hyphenated hosts,
 over all pages; SEEDS are added to it. It stays a table: each distinct piece is joined
-with the counts of its own parts, of LONGEST letters at most, and split by them alone,
-which is all of the lexicon that its split depends on.
+with the counts of its own parts, of LONGEST letters at most (the longest word that the
+lexicon counts), and split by them alone, which is all of the lexicon that its split depends
+on. Parts without a word may be of any length.
 
 Classifier. At most SAMPLE pages, chosen by the hash of their url, are labelled by their host: block if it has one of the
 SEEDS as a word, else allow. A multinomial naive Bayes with add-one smoothing learns the
@@ -18,7 +19,8 @@ the longest fitting rule gives the verdict.
 
 Cases: null url, or a url without ://, has empty host and path, no words, and is allowed;
 ties in log odds are allowed; repeated rows each get their verdict; an empty table gives
-no rows; a long host is segmented whole.
+no rows; a long host is segmented whole; null or empty html adds no words; kept columns may
+have any name, and one that is named like a result column comes back with `_` before it.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import for_texts, write_shared
+from .shared import for_texts, kept_as, plain_columns, write_shared
 
 #: Pages whose words train the classifier.
 SAMPLE = 5000
 LONGEST = 24
+#: What each letter of an unknown part costs.
+LETTER = 2.5
 CACHE = 200_000
 
 #: Words of hosts that are commonly blocked.
@@ -98,18 +102,18 @@ class Lexicon:
         if name.isdigit():
             return ["#"]
         best, back = [0.0], [0]
+        # where an unknown part of any length best starts: its cost grows evenly with its end
+        begun, opened = 0.0, 0
         for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - LONGEST), end):
-                word = name[start:end]
-                cost = self.log.get(word)
-                if cost is None:
-                    cost = self.unknown - 2.5 * len(word)
-                options.append((best[start] + cost, start))
-            # a name longer than LONGEST that no word covers goes on as one piece
-            score, start = max(options)
+            score, start = self.unknown + begun - LETTER * end, opened
+            for at in range(max(0, end - LONGEST), end):
+                cost = self.log.get(name[at:end])
+                if cost is not None and (best[at] + cost, at) > (score, start):
+                    score, start = best[at] + cost, at
             best.append(score)
             back.append(start)
+            if score + LETTER * end >= begun:
+                begun, opened = score + LETTER * end, end
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
@@ -233,9 +237,10 @@ def split_pieces(used: DataFrame, counts: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """keep, host, path, rule, verdict, score (log odds of block; null without words)."""
     for_texts(pages.sparkSession)
-    host, path = parts(url)
-    draw = F.xxhash64(F.lit(3), F.col(url))
-    rows = pages.select(*keep, host.alias("_host"), path.alias("_path"), draw.alias("_draw"), F.monotonically_increasing_id().alias("_row"))
+    plain, at = plain_columns(pages)
+    host, path = parts(at[url])
+    draw = F.xxhash64(F.lit(3), F.col(at[url]))
+    rows = plain.select(*dict.fromkeys(at[c] for c in keep), host.alias("_host"), path.alias("_path"), draw.alias("_draw"), F.monotonically_increasing_id().alias("_row"))
     rows = write_shared(rows, "urls")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,4 +272,5 @@ def judged(pages: DataFrame, keep: list[str], url: str = "url", html: str = "htm
     scored = rows.join(sums, "_row", "left").withColumn("_score", F.when(F.col("odd").isNotNull(), F.aggregate("odd", F.lit(float(prior)), lambda s, x: s + x)))
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     method = F.when(F.coalesce(F.col("_score") > 0, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select(*keep, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("_score").alias("score"))
+    kept = [F.col(at[c]).alias(n) for c, n in zip(keep, kept_as(keep, ("host", "path", "rule", "verdict", "score")))]
+    return scored.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("_score").alias("score"))
