@@ -20,11 +20,13 @@ into halves far apart, below 1e-3).
 Verification: for each candidate document the exact count of the item's distinct
 shingles over the whole document, by 64-bit shingle hashes.
 
-Items are taken in blocks of at most ITEM_BYTES of text, so what each pass broadcasts is
-bounded; more items mean more passes over the documents.
+Items are taken in blocks whose index has about INDEX_BYTES, so what each pass broadcasts
+is bounded; more items mean more passes over the documents.
 
 Cases: null or shorter texts than SHINGLE_WORDS have no shingles, hold no item, and are
-no item; repeated rows and equal items are each reported; documents keep their columns.
+no item; repeated rows and equal items are each reported; long texts are searched whole; an
+empty table of documents or items gives no rows; documents keep their columns, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -37,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import for_texts
+from .shared import for_texts, lean
 from .textgrid import SHINGLE_WORDS, blocks, mix
 
 THRESHOLD = 0.8
 HASHES = 64
 BASE = 16
-ITEM_BYTES = 4 << 20
+INDEX_BYTES = 32 << 20
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -146,8 +148,10 @@ def _item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tu
     block, size = [], 0
     for r in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
         block.append((r["i"], r["t"]))
-        size += len(r["t"].encode())
-        if size >= ITEM_BYTES:
+        n = len(r["t"].split())
+        # shingles with their anchors, and a minimum for each function
+        size += 32 * n + 16 * HASHES * (n > BASE)
+        if size >= INDEX_BYTES:
             yield block
             block, size = [], 0
     yield block
@@ -174,7 +178,7 @@ def _pass(docs: DataFrame, keep: list[str], text: str, items: list[tuple[int, st
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(hits, listed)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, out])
 
-    return docs.select(*keep, F.col(text).alias("_searched")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_searched")).mapInArrow(lean("decontaminate", run), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

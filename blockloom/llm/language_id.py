@@ -13,7 +13,8 @@ language has fewer rows, a row gives up to MOST windows.
 
 Cases: null text, or text without a letter, is `und` with score 0; if no row is labelled
 every text is; a null language is no label; repeated rows each get their answer; of
-equal scores the first language in code point order wins.
+equal scores the first language in code point order wins; long texts are read whole; an
+empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import for_texts
+from .shared import for_texts, lean
 from .textgrid import strings
 
 WINDOW = 128
@@ -157,10 +158,10 @@ class ByteConv:
 def _sample(labelled: DataFrame) -> tuple[list[str], pa.Table]:
     """At most SAMPLE windows of text a language, of rows spread by hash over all of labelled (key, text, lang)."""
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share, per = F.lit(0.0), F.lit(1)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * SAMPLE / n))).otherwise(share)
-        per = F.when(F.col("lang") == lang, F.lit(min(MOST, -(-SAMPLE // n)))).otherwise(per)
+    if not counts:
+        return [], pa.table({"lang": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+    of = lambda f: F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, f(n))])[F.col("lang")]
+    share, per = of(lambda n: min(1.0, 1.2 * SAMPLE / n)), of(lambda n: min(MOST, -(-SAMPLE // n)))
     draw = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << 24)) / (1 << 24)
     place = F.pmod(F.xxhash64(F.lit(SEED + 1), "key", "turn"), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
     rows = labelled.where(draw < share).withColumn("turn", F.explode(F.sequence(F.lit(1), per)))
@@ -211,7 +212,7 @@ def predicted(docs: DataFrame, net: ByteConv | None, keep: list[str], text: str
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).alias("_text"), has_letter(text).alias("_letters")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_text"), has_letter(text).alias("_letters")).mapInArrow(lean("language_id", run), schema)
 
 
 def held_out(key: str) -> Column:

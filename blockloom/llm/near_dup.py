@@ -56,7 +56,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bitmap, drop_shared, filter_bits, for_texts, key_filter, marked, write_shared
+from .shared import bitmap, drop_shared, filter_bits, for_texts, key_filter, lean, marked, write_shared
 from .textgrid import SHINGLE_WORDS, Block, blocks, duplicated, mix
 
 SIMILARITY = 0.8
@@ -192,7 +192,7 @@ def _runs(texts: DataFrame, size: int, pick, names: list[str]) -> DataFrame:
         if held:
             yield report()
 
-    return texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return texts.mapInArrow(lean("near_dup", run), ", ".join(f"{n} bigint" for n in names))
 
 
 def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -263,7 +263,7 @@ def _signed(docs: DataFrame, weights: Broadcast) -> DataFrame:
                 columns += [pa.ListArray.from_arrays(at, pa.array(x.view(np.int64).ravel())) for x in (bands, packs)]
                 yield pa.RecordBatch.from_arrays(columns, names=["tk", "bands", "packs"])
 
-    return docs.select("tk", "text").mapInArrow(run, "tk binary, bands array<bigint>, packs array<bigint>")
+    return docs.select("tk", "text").mapInArrow(lean("near_dup", run), "tk binary, bands array<bigint>, packs array<bigint>")
 
 
 def _agree(p: Column, q: Column) -> Column:
@@ -332,7 +332,7 @@ def _postings(texts: DataFrame, weights: Broadcast) -> DataFrame:
                 columns = [u.view(np.int64), ids, root, w, total, often]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "id", "root", "w", "total", "often"])
 
-    rows = texts.select("id", "root", "text").mapInArrow(weigh, "s bigint, id bigint, root bigint, w double, total double, often double")
+    rows = texts.select("id", "root", "text").mapInArrow(lean("near_dup", weigh), "s bigint, id bigint, root bigint, w double, total double, often double")
     rows = write_shared(rows, "shingles")
     # frequent shingles come last in the order, by their frequency everywhere; only others are counted here, so no count is of a hot key
     rare = rows.where("often = 0").withColumn("df", F.count("*").over(Window.partitionBy("s")))
@@ -396,7 +396,7 @@ def _rest(postings: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from pairs(held)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, ra bigint, rb bigint, room double")
+    return dealt.mapInArrow(lean("near_dup", run), "a bigint, b bigint, ra bigint, rb bigint, room double")
 
 
 def similarity(x: np.ndarray, y: np.ndarray, weights: Weights) -> float:
@@ -424,7 +424,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFra
             ok = [similarity(x, y, weights.value) >= SIMILARITY - 1e-9 for x, y in zip(hashes(batch.column(2)), hashes(batch.column(3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(lean("near_dup", run), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:

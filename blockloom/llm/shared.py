@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,37 @@ def for_texts(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_BYTES)
 
 
+#: What operators keep in a worker between tasks, by operator.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def begin(owner: str) -> None:
+    """Clears the caches of other operators in this worker."""
+    for name, clear in caches.items():
+        if name != owner:
+            clear()
+
+
+def finish() -> None:
+    """Gives memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for a worker that serves one operator after the other: caches of others go first, and free memory afterwards."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
+        try:
+            yield from run(batches)
+        finally:
+            finish()
+
+    return inner
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

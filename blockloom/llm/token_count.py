@@ -9,7 +9,9 @@ merged once in a worker (its cache is cleared at CACHE words). Counts of repeate
 words come from that cache, so whole texts are counted at the cost of distinct words.
 
 Cases: null text counts as empty and has 0 tokens; special strings inside a text are
-one token each, as the tokenizer file's library has it; repeated rows each count.
+one token each, as the tokenizer file's library has it; repeated rows each count; long texts
+are counted whole, however long a word; an empty table gives no rows; other columns, whatever
+their names, don't matter.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import for_texts
+from .shared import caches, for_texts, lean
 from .textgrid import blocks
 
 CACHE = 600_000
@@ -137,6 +139,7 @@ class PairMerger:
 
 
 _mergers: dict[str, PairMerger] = {}
+caches["token_count"] = _mergers.clear
 
 
 def merger(path: str) -> PairMerger:
@@ -157,5 +160,5 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count.count_column(batch.column(2)), pa.int64())], names=["key", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
-    counted = rows.mapInArrow(run, f"key {kind}, n_bytes bigint, n_tokens bigint")
+    counted = rows.mapInArrow(lean("token_count", run), f"key {kind}, n_bytes bigint, n_tokens bigint")
     return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,10 +1,11 @@
 """Token ids as binary shards, with keyed access through minimal perfect hashes.
 
-Writing: rows are range-partitioned by key and sorted within partitions; each partition
-is one shard, `shard-<n>.ids`: the ids of its texts one after another, each text closed
-by END_ID, as raw little-endian unsigned integers of 2 bytes (4 if the vocabulary needs
-them). Shard numbers follow the key order. A shard is written under a name of its own
-attempt and then renamed, so a task that runs again leaves the same file.
+Writing: rows are range-partitioned by key, then digest of the text, and sorted within
+partitions; each partition is one shard, `shard-<n>.ids`: the ids of its texts one after
+another, each text closed by END_ID, as raw little-endian unsigned integers of 2 bytes (4 if
+the vocabulary needs them). Shard numbers follow the key order; there is one for about
+SHARD_BYTES of text, and a key of many rows spans several. A shard is written under a name
+of its own attempt and then renamed, so a task that runs again leaves the same file.
 
 Index: keys hash to index parts of about PART_KEYS keys. A part is `part-<n>.npz`: a
 minimal perfect hash, and per slot a 32-bit fingerprint, shard, offset (in ids) and
@@ -12,12 +13,15 @@ count. A lookup is one part, one slot, one fingerprint and one range of one shar
 that isn't stored fails by fingerprint, but for one in 2^32.
 
 Encoding: texts are cut before each run of ASCII white space; no piece of the byte-level
-tokenizer crosses such a cut, so each distinct cut is encoded once in a worker. Texts
-with other white space, which can join across a cut, are encoded whole.
+tokenizer crosses such a cut, so a worker that meets a cut again need not encode it again,
+as long as CACHE_BYTES hold what it remembers. Texts with other white space, which can join
+across a cut, and texts with a cut above LONG_CUT bytes are encoded whole.
 
 Cases: null text counts as empty and holds only END_ID; null keys come first and can be
 read by position only through key null; a key that occurs repeatedly has occurrence 0, 1,
-.. in the order of its texts; an empty table gives a store without shards.
+.. in the order of its texts' digests; equal rows are stored each; an empty table gives a
+store without shards; a long text is encoded and stored whole; other columns, whatever their
+names, don't matter.
 """
 
 from __future__ import annotations
@@ -38,14 +42,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .perfect_hash import PerfectHash
-from .shared import for_texts, new_path
+from .shared import caches, for_texts, lean, new_path
 from .textgrid import blocks, mix, span_hashes
 
 END_ID = 0
 PART_KEYS = 1_000_000
-#: Distinct cuts that a worker remembers, and those that wait to be merged.
-CACHE = 3_000_000
-MERGE_AT = 200_000
+#: Bytes of a text that a shard holds, about.
+SHARD_BYTES = 32 << 20
+#: Bytes of cuts and their ids that a worker remembers, and the cuts that wait to be merged.
+CACHE_BYTES = 40 << 20
+MERGE_AT = 100_000
+LONG_CUT = 1 << 20
 #: Bytes of a shard's ids that are held before they are written.
 WRITE_BYTES = 8 << 20
 
@@ -127,10 +134,11 @@ class Encoder:
             cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]
             starts, ends = cuts[:-1], cuts[1:]
             row = np.searchsorted(b.offsets, starts, "right") - 1
+            odd[row[ends - starts > LONG_CUT]] = True
             plain = ~odd[row]
             starts, ends, row = starts[plain], ends[plain], row[plain]
             hashes, first, where = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            if sum(len(keys) for keys, _ in self.known) > CACHE:
+            if sum(k.nbytes + v.nbytes for k, v in self.known) + self.used * self.kind.itemsize > CACHE_BYTES:
                 self.clear()
             found = self._find(hashes)
             new = np.flatnonzero(found < 0)
@@ -157,6 +165,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+caches["token_store"] = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:
@@ -205,7 +214,9 @@ class TokenStore:
         path = path or new_path(spark, "tokens")
         store, root = open_fs(path)
         store.create_dir(root, recursive=True)
-        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+        volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = partitions or max(1, -(-volume // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, volume >> 20))
 
         def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -214,7 +225,7 @@ class TokenStore:
             encode = encoder(tokenizer)
             files, base = open_fs(path)
             own = f"{base}/shard-{number:06d}.ids.{uuid.uuid4().hex}"
-            offset, last, turn, out = 0, object(), 0, None
+            offset, last, turn, out = 0, object(), 0, None  # nothing equals last at first
             try:
                 for batch in batches:
                     if not batch.num_rows:
@@ -243,18 +254,34 @@ class TokenStore:
                 out.close()
                 files.move(own, f"{base}/shard-{number:06d}.ids")
 
-        rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-        dealt = rows.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-        manifest = dealt.mapInArrow(shard, "key bigint, occurrence bigint, shard bigint, offset bigint, n bigint")
-        manifest.write.parquet(f"{path}/manifest")
-        manifest = spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
+        order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
+        dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+        manifest = dealt.mapInArrow(lean("token_store", shard), "key bigint, occurrence bigint, shard bigint, offset bigint, n bigint")
+        manifest.write.parquet(f"{path}/written")
+        manifest = spark.read.schema(manifest.schema).parquet(f"{path}/written")
 
         # one row a shard: as many as partitions, however large the table
-        shards = {r["shard"]: (r["ids"], r["texts"]) for r in manifest.groupBy("shard").agg(F.sum("n").alias("ids"), F.count("*").alias("texts")).collect()}
-        starts, total = {}, 0
-        for number in sorted(shards):
-            starts[number], total = total, total + shards[number][0]
-        texts = sum(t for _, t in shards.values())
+        ends = manifest.groupBy("shard").agg(
+            F.sum("n").alias("ids"), F.count("*").alias("texts"), F.min_by("key", "offset").alias("first"),
+            F.max_by(F.struct("key", "occurrence"), "offset").alias("last"),
+        )
+        starts, total, texts, gone, before = {}, 0, 0, {}, None
+        for r in sorted(ends.collect(), key=lambda r: r["shard"]):
+            starts[r["shard"]], total, texts = total, total + r["ids"], texts + r["texts"]
+            # rows of this shard's first key that stand in shards before
+            more = before[1] if before and before[0] == r["first"] else 0
+            if more:
+                gone[r["shard"]] = (r["first"], more)
+            alone = r["last"]["key"] == r["first"]
+            before = (r["last"]["key"], r["last"]["occurrence"] + 1 + (more if alone else 0))
+        if gone:
+            more = spark.createDataFrame([(s, k, m) for s, (k, m) in gone.items()], "shard bigint, first bigint, more bigint")
+            names, manifest = manifest.columns, manifest.join(F.broadcast(more), "shard", "left")
+            again = F.when(F.col("key").eqNullSafe(F.col("first")), F.coalesce("more", F.lit(0))).otherwise(F.lit(0))
+            manifest = manifest.withColumn("occurrence", F.col("occurrence") + again).select(names)
+        manifest.write.parquet(f"{path}/manifest")
+        manifest = spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
+        store.delete_dir(f"{root}/written")
         meta = {"ids": total, "texts": texts, "wide": Encoder(tokenizer).wide, "parts": max(1, -(-texts // PART_KEYS)), "starts": {str(k): v for k, v in starts.items()}, "end_id": END_ID}
         found = cls(spark, path, meta)
         found._index(manifest)
@@ -292,7 +319,7 @@ class TokenStore:
             _replace(files, f"{base}/part-{part:06d}.npz", raw.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(h)])], names=["part", "keys"])
 
-        tagged = manifest.mapInArrow(tag, "part bigint, h bigint, shard bigint, offset bigint, n bigint")
+        tagged = manifest.mapInArrow(lean("token_store", tag), "part bigint, h bigint, shard bigint, offset bigint, n bigint")
         built = tagged.groupBy("part").applyInArrow(lambda t: pa.Table.from_batches(list(build(iter(t.to_batches())))), "part bigint, keys bigint")
         stored = built.agg(F.sum("keys")).first()[0] or 0
         if stored != self.meta["texts"]:
@@ -312,7 +339,8 @@ class TokenStore:
             files, base = open_fs(path)
             held: tuple[int, object, dict] = (-1, None, {})
             for b in batches:
-                part, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+                h = _hashes(b)
+                part = part_of(h, parts)
                 out = {c: np.zeros(len(h), np.int64) for c in ("shard", "offset", "n")}
                 ok = np.zeros(len(h), bool)
                 for p in np.unique(part):
@@ -330,14 +358,14 @@ class TokenStore:
                     ok[mine] = fits
                     for c in out:
                         out[c][mine[fits]] = held[2][c][slot[fits]]
-                yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), *(pa.array(out[c], pa.int64(), mask=~ok) for c in out)], names=["key", "occurrence", *out])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(out[c], pa.int64(), mask=~ok) for c in out)], names=["key", "occurrence", *out])
 
         rows = keys.select(F.col(key).cast("long").alias("key"), turn.alias("occurrence"))
-        tagged = rows.mapInArrow(tag, "part bigint, h bigint, key bigint, occurrence bigint")
         if parts > 1:
             # a part's keys are dealt over SPREAD tasks, so a part is read by few tasks and none gets all of a hot one
-            tagged = tagged.repartition("part", F.pmod("h", F.lit(SPREAD))).sortWithinPartitions("part")
-        return tagged.mapInArrow(look, "key bigint, occurrence bigint, shard bigint, offset bigint, n bigint")
+            tagged = rows.mapInArrow(lean("token_store", tag), "part bigint, h bigint, key bigint, occurrence bigint")
+            rows = tagged.repartition("part", F.pmod("h", F.lit(SPREAD))).sortWithinPartitions("part").select("key", "occurrence")
+        return rows.mapInArrow(lean("token_store", look), "key bigint, occurrence bigint, shard bigint, offset bigint, n bigint")
 
     def read(self, keys: DataFrame, key: str = "key", occurrence: str | None = None, ids: bool = True) -> DataFrame:
         """For each stored row of keys: key, occurrence, start (ids before its text), n, crc32 of its ids as
@@ -370,7 +398,7 @@ class TokenStore:
                 data.close()
 
         found = self.locate(keys, key, occurrence).where("n is not null")
-        return found.repartition("shard", F.pmod("offset", F.lit(SPREAD))).sortWithinPartitions("shard", "offset").mapInArrow(fetch, schema)
+        return found.repartition("shard", F.pmod("offset", F.lit(SPREAD))).sortWithinPartitions("shard", "offset").mapInArrow(lean("token_store", fetch), schema)
 
 
 SPREAD = 8
