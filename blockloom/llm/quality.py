@@ -1,21 +1,29 @@
 """Quality rules with adaptive thresholds.
 
-Per text, numpy passes count words, symbols, repeated lines and repeated windows.
-Each measure is put into buckets of a mergeable quantile sketch: bucket k holds the
-values in (RESOLUTION * (k - 1), RESOLUTION * k]. Sketches merge by adding counts, so
-they are an ordinary partial aggregation over (language, source, measure, bucket).
-A measure of a text is out of line above Q3 + FENCE * (Q3 - Q1) + its slack, where the
-slack of a short text is larger by SHORT / its words; the
-quartiles are those of its own language and source; a group with fewer than LEAST texts takes
-the merged sketch of its language, and a small language that of all texts.
-Thresholds come back by a join on language and source.
+Per text, numpy passes count words, symbols, repeated lines and repeated windows; what they
+find is written once and read for the sketches and for the verdicts.
+Each measure is put into buckets of a mergeable quantile sketch. Buckets grow by GROWTH:
+bucket k > 0 ends at LEAST_VALUE * GROWTH ** k, bucket 0 at LEAST_VALUE, the last takes all
+above, so a quantile is off by GROWTH at most, and a sketch has LAST + 1 buckets at most,
+however many texts. Sketches merge by adding counts, so they are an ordinary partial
+aggregation over (language, source, measure, bucket).
+
+A measure of a text is out of line above Q3 + FENCE * (Q3 - Q1) + its slack, the least
+distance that a measure needs to tell texts apart; in a short text it is larger by SHORT /
+its words. Q1 and Q3 are those of its language and source, drawn to those of its language as
+if TRUST texts had them, and these to those of all texts in the same way: many texts speak
+for themselves, few lean on what is known of others, and there is no size at which that
+switches. Thresholds come back by a join on language and source.
 
 Cases: null text counts as empty and fails the base rule; null language or source are
-groups of their own; ties in a sketch fall into one bucket; repeated rows count each.
+groups of their own; ties in a sketch fall into one bucket; repeated rows count each; a long
+text is measured whole; an empty table gives no rows; kept columns may have any name, and one
+that is named like a result column comes back with `_` before it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import for_texts, free_name, write_shared
+from .shared import for_texts, free_name, kept_as, lean, plain_columns, write_shared
 from .textgrid import blocks, duplicated, mix, span_hashes
 
 SYMBOLS = np.zeros(256, bool)
@@ -40,12 +48,13 @@ MARKS[48:58] = False
 
 WINDOW = 8
 MIN_WORDS = 20
-RESOLUTION = 0.01
+LEAST_VALUE, GROWTH = 1e-4, 1.02
+LAST = math.ceil(math.log(1e8 / LEAST_VALUE) / math.log(GROWTH))
 FENCE = 3.0
-LEAST = 100
+TRUST = 100
 #: A measure of few words is less sure: slack * (1 + SHORT / words).
 SHORT = 60
-#: Measures, each 0 or more, with the slack that even groups without spread allow.
+#: Measures, each 0 or more, with their slack.
 SLACK = {"symbol_share": 0.1, "mark_share": 0.15, "upper_share": 0.15, "twin_share": 0.2, "line_share": 0.25, "window_share": 0.2, "word_size": 0.9}
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -109,7 +118,13 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             arrays += [pa.array(found[c], pa.int64() if c in COUNTS else pa.float64()) for c in names]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    return docs.select(*keep, F.col(text).alias(inner)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(inner)).mapInArrow(lean("quality", run), schema)
+
+
+def bucket(value: F.Column) -> F.Column:
+    """The sketch bucket of a value."""
+    at = F.ceil(F.log(value / LEAST_VALUE) / math.log(GROWTH))
+    return F.when(value <= LEAST_VALUE, 0).otherwise(F.least(at, F.lit(LAST))).cast("long")
 
 
 def sketches(rows: DataFrame, lang: str, source: str) -> DataFrame:
@@ -118,18 +133,19 @@ def sketches(rows: DataFrame, lang: str, source: str) -> DataFrame:
     return (
         rows.where(F.col("n_words") > 0)
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.expr(f"stack({len(SLACK)}, {stack}) as (measure, value)"))
-        .groupBy("lang", "source", "measure", F.ceil(F.col("value") / RESOLUTION).cast("long").alias("bucket"))
+        .groupBy("lang", "source", "measure", bucket(F.col("value")).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
 
 
 def _quartiles(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Quartiles of merged sketches; their buckets are bounded by the range of a measure, not by the rows."""
+    """Quartiles of merged sketches, of LAST + 1 buckets at most each."""
     merged = counts.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     listed = merged.groupBy(*by, "measure").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells"))
     at = """aggregate(cells, named_struct('seen', 0L, 'at', cast(null as bigint)),
         (s, c) -> named_struct('seen', s.seen + c.n, 'at', coalesce(s.at, if(s.seen + c.n >= {q} * total, c.bucket, null))), s -> s.at)"""
-    return listed.select(*by, "measure", "total", *((F.expr(at.format(q=q)) * RESOLUTION).alias(n) for q, n in ((0.25, "q1"), (0.75, "q3"))))
+    value = lambda q: F.when(F.expr(at.format(q=q)) > 0, LEAST_VALUE * F.pow(F.lit(GROWTH), F.expr(at.format(q=q)))).otherwise(F.lit(0.0))
+    return listed.select(*by, "measure", "total", value(0.25).alias("q1"), value(0.75).alias("q3"))
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
@@ -140,29 +156,67 @@ def thresholds(counts: DataFrame) -> DataFrame:
     every = _quartiles(counts, []).select(F.col("measure").alias("measure_e"), F.struct("total", "q1", "q3").alias("of_all"))
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_l")) & (F.col("measure") == F.col("measure_l"))).join(F.broadcast(every), F.col("measure") == F.col("measure_e"))
-    used = F.when(F.col("total") >= LEAST, F.struct("total", "q1", "q3")).when(F.col("of_lang.total") >= LEAST, F.col("of_lang")).otherwise(F.col("of_all"))
-    ceiling = used["q3"] + FENCE * (used["q3"] - used["q1"]) + slack[F.col("measure")]
+
+    def drawn(q: str) -> F.Column:
+        of_lang = (F.col("of_lang.total") * F.col(f"of_lang.{q}") + TRUST * F.col(f"of_all.{q}")) / (F.col("of_lang.total") + TRUST)
+        return (F.col("total") * F.col(q) + TRUST * of_lang) / (F.col("total") + TRUST)
+
+    ceiling = drawn("q3") + FENCE * (drawn("q3") - drawn("q1")) + slack[F.col("measure")]
     return joined.select("lang", "source", "measure", ceiling.alias("ceiling")).groupBy("lang", "source").pivot("measure", list(SLACK)).agg(F.first("ceiling"))
 
 
 def judged(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """keep, the counts, base_failed, and kept: false if base_failed, else whether every measure is within its group's ceiling."""
-    limits = write_shared(thresholds(sketches(measured(docs, [lang, source], text), lang, source)), "ceilings")
-    rows = docs.select(*keep, F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
-    rows = measured(rows, [*keep, "_lang", "_source"], "_text")
+    plain, at = plain_columns(docs)
+    inner = list(dict.fromkeys(at[c] for c in keep))
+    rows = plain.select(*inner, F.col(at[lang]).alias("_lang"), F.col(at[source]).alias("_source"), F.col(at[text]).alias("_body"))
+    rows = write_shared(measured(rows, [*inner, "_lang", "_source"], "_body"), "measures")
+    limits = write_shared(thresholds(sketches(rows, "_lang", "_source")), "ceilings")
     limits = limits.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(F.col(c).alias(f"_max_{c}") for c in SLACK))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fine = F.lit(True)
     for c in SLACK:
         fine = fine & F.coalesce(F.col(c) <= F.col(f"_max_{c}") + SLACK[c] * SHORT / F.greatest("n_words", F.lit(1)), F.lit(True))
     joined = rows.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
-    return joined.select(*keep, *COUNTS, failed.alias("base_failed"), (~failed & fine).alias("kept"))
+    kept = [F.col(at[c]).alias(n) for c, n in zip(keep, kept_as(keep, (*COUNTS, "base_failed", "kept")))]
+    return joined.select(*kept, *COUNTS, failed.alias("base_failed"), (~failed & fine).alias("kept"))
 
 
 def filtered(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     names = docs.columns
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    pick = {c: f"c{names.index(c)}" for c in (lang, source, text)}
+    plain, pick = plain_columns(docs)
     out = judged(plain, plain.columns, pick[lang], pick[source], pick[text]).where("kept")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+
+
+def oracle_sql() -> str:
+    """The same judgement in DuckDB's SQL: counts from regular expressions, quartiles from ordered buckets."""
+    slack = ", ".join(f"('{c}', {x}::DOUBLE)" for c, x in SLACK.items())
+    stack = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{c}' AS measure, {c}::DOUBLE AS value FROM m" for c in SLACK)
+    value = lambda q: f"min(CASE WHEN seen >= {q} * total THEN CASE WHEN bucket > 0 THEN {LEAST_VALUE} * pow({GROWTH}::DOUBLE, bucket) ELSE 0 END END)"
+    quartiles = lambda by: f"""SELECT {by}measure, max(total) AS total, {value(0.25)} AS q1, {value(0.75)} AS q3 FROM (
+        SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {by}measure) AS total
+        FROM (SELECT {by}measure, bucket, count(*) AS n FROM b GROUP BY {by}measure, bucket)) GROUP BY {by}measure"""
+    lean = lambda q: f"(own.total * own.{q} + {TRUST} * (l.total * l.{q} + {TRUST} * e.{q}) / (l.total + {TRUST})) / (own.total + {TRUST})"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram, unnest(range(1, len(w) - 6)) AS i FROM w)),
+again AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS place FROM g WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS twins,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^A-Za-z\x{{C0}}-\x{{10FFFF}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^!-/:-@\[-`{{-~]', '', 'g')) AS marks FROM w LEFT JOIN again USING (doc_id)),
+m AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbol_share, marks / greatest(word_chars, 1) AS mark_share, upper / greatest(letters, 1) AS upper_share, twins / greatest(n_words, 1) AS twin_share,
+    n_dup_lines / greatest(n_lines, 1) AS line_share, n_repeat_words / greatest(n_words, 1) AS window_share, word_chars / greatest(n_words, 1) AS word_size FROM c),
+v AS ({stack}),
+b AS (SELECT *, CASE WHEN value <= {LEAST_VALUE} THEN 0 ELSE least(ceil(ln(value / {LEAST_VALUE}) / {math.log(GROWTH)!r}), {LAST}) END::BIGINT AS bucket FROM v WHERE n_words > 0),
+own AS ({quartiles("lang, source, ")}), l AS ({quartiles("lang, ")}), e AS ({quartiles("")}),
+limits AS (SELECT own.lang, own.source, own.measure, slack, {lean("q3")} + {FENCE} * ({lean("q3")} - {lean("q1")}) + slack AS ceiling
+    FROM own JOIN l ON own.lang IS NOT DISTINCT FROM l.lang AND own.measure = l.measure JOIN e ON own.measure = e.measure JOIN (VALUES {slack}) s(measure, slack) ON s.measure = own.measure),
+fine AS (SELECT v.doc_id, bool_and(coalesce(value <= ceiling + slack * {SHORT} / greatest(n_words, 1), true)) AS fine
+    FROM v LEFT JOIN limits x ON v.lang IS NOT DISTINCT FROM x.lang AND v.source IS NOT DISTINCT FROM x.source AND v.measure = x.measure GROUP BY v.doc_id),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m JOIN fine USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+    base_failed, NOT base_failed AND fine AS kept FROM f"""

@@ -71,5 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_quality": quality.oracle_sql(),
     "op9_licenses": licenses.oracle_sql(),
+    "op10_mixing": mixing.ORACLE_SQL,
 }
