@@ -3,19 +3,22 @@
 Base spans are found in the text as it is: email, ip, card, phone.
 
 Disguises are undone by transducers over (character, source start, source end):
- 1. homoglyphs and compatibility forms become ASCII, invisible characters go;
+ 1. homoglyphs, compatibility forms and digits of all scripts become ASCII, invisible
+    characters go;
  2. bracketed or spelled `at` and `dot` become @ and . where a name and a domain stand
     around them;
  3. runs of spelled digits become digits, spelled `plus` before one becomes +, and a
     letter o or l between digits becomes 0 or 1.
 Each output character keeps the source span that it came from, so a span found in the
 normalised text maps back to source characters. A span found there is added unless it
-lies within a base span of its kind.
+lies within a base span of its kind; so is one found after the first transducer, if it
+shares no character with those, as spelled words beside figures may hide it later.
 
 Every detector is linear in the text: matches are taken from maximal runs.
 
-Cases: null text counts as empty and has no spans; spans are in code points, end
-exclusive, ordered by start, then kind as listed; repeated rows each get theirs.
+Cases: null or empty text has no spans; spans are in code points, end exclusive, ordered
+by start, then kind as listed, then end; long texts are read whole; repeated rows each get
+theirs; an empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import for_texts
+from .shared import for_texts, lean
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -112,8 +115,8 @@ _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _TOKEN = rf"(?:(?:{_WORDS})(?![^\W\d_])|[0-9])"
 _POINT = r"(?:[ ]?(?:dot|point|punkt|punto)[ ]|[ ]?\.[ ]?)"
 _OCTET = rf"{_TOKEN}(?:(?:[ -]{{1,2}}|(?<=[0-9])(?=[0-9])){_TOKEN}){{0,2}}"
-#: At least seven digits, spelled or figures, or four with three dots: short counts in prose are left alone.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?P<plus>plus|\+)[ -]?)?(?:{_TOKEN}(?:(?:[ ,-]{{1,2}}|(?<=[0-9])(?=[0-9])|{_POINT}){_TOKEN}){{6,}}|{_OCTET}(?:{_POINT}{_OCTET}){{3,}})", re.IGNORECASE)
+#: Two digits or more, spelled or figures, with what may stand between them, or four with three dots.
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?P<plus>plus|\+)[ -]?)?(?:[(]?{_TOKEN}(?:(?:[ ,()-]{{1,3}}|(?<=[0-9])(?=[0-9])|{_POINT}){_TOKEN})+|{_OCTET}(?:{_POINT}{_OCTET}){{3,}})", re.IGNORECASE)
 _WORD = re.compile(rf"(?P<plus>plus)|(?P<dot>dot|point|punkt|punto|\.)|(?P<digit>{_WORDS}|[0-9])", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9._%+-]"
 _AT = re.compile(rf"(?<={_NAME})[ ]*(?:[(\[{{<][ ]*(?:at|@|arroba|ät|chez)[ ]*[)\]}}>]|[ ](?:at|arroba)[ ](?=[ ]*[A-Za-z0-9-]+(?:\.|[ ]*[(\[{{<][ ]*(?:dot|punkt|punto|point|\.)|[ ](?:dot|punkt|punto|point)[ ]))|[ ]@[ ]?|@[ ])[ ]*(?=[A-Za-z0-9])", re.IGNORECASE)
@@ -132,7 +135,8 @@ class _Folds(dict[str, str]):
             new = _MARKS.get(c) or _LOOKALIKES.get(c) or c
             if not new.isascii():
                 form = unicodedata.normalize("NFKC", c)
-                new = form if form.isascii() and form else c
+                digit = unicodedata.digit(c, None)
+                new = form if form.isascii() and form else c if digit is None else str(digit)
         self[c] = new
         return new
 
@@ -199,29 +203,34 @@ def _spelled(m: re.Match[str]) -> list[tuple[str, int, int]]:
     return pieces
 
 
-def normalised(text: str) -> Traced | None:
-    """The text with its disguises undone; None if there are none. Every text goes through all transducers."""
-    t = Traced(text).folded()
-    t = t.replaced(_NEAR_DIGIT, lambda m: [("0" if m[0] in "oO" else "1", m.start(), m.end())])
+def normalised(text: str) -> tuple[Traced, Traced] | None:
+    """The text after the first transducer, and with all its disguises undone; None if there are none. Every text goes through all transducers."""
+    folded = Traced(text).folded()
+    t = folded.replaced(_NEAR_DIGIT, lambda m: [("0" if m[0] in "oO" else "1", m.start(), m.end())])
     t = t.replaced(_SPELLED, _spelled)
     t = t.replaced(_AT, lambda m: [("@", m.start(), m.end())])
     t = t.replaced(_DOT, lambda m: [(".", m.start(), m.end())])
-    return None if t.text == text else t
+    return None if t.text == text else (folded, t)
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans of a text."""
     text = text or ""
     base = detect(text)
-    t = normalised(text)
-    if t is None:
+    forms = normalised(text)
+    if forms is None:
         return base, base
-    added = []
-    for kind, a, b in detect(t.text):
-        s, e = t.start[a], t.end[b - 1]
-        if not any(k == kind and x <= s and e <= y for k, x, y in base):
-            added.append((kind, s, e))
-    return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    folded, undone = forms
+    added: list[Span] = []
+    for form, apart in ((undone, False), (folded, True)):
+        if form.text == text or (apart and form.text == undone.text):
+            continue
+        for kind, a, b in detect(form.text):
+            s, e = form.start[a], form.end[b - 1]
+            beside = not any(k == kind and x < e and s < y for k, x, y in added) if apart else True
+            if beside and not any(k == kind and x <= s and e <= y for k, x, y in base):
+                added.append((kind, s, e))
+    return base, sorted({*base, *added}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def line(spans: list[Span]) -> str:
@@ -243,7 +252,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 out.append([{"kind": k, "start": a, "end": b, "base": (k, a, b) in own, "value": text[a:b]} for k, a, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, item)], names=["key", "spans"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean,value:string>>")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean("pii", run), f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean,value:string>>")
     return rows.select(F.col("key").alias(key), "spans")
 
 
@@ -274,5 +283,5 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "text"])
 
     for_texts(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, text string")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean("pii", run), f"key {kind}, text string")
     return rows.select(F.col("key").alias(key), F.col("text").alias(text))
