@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
 import random
-
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +184,179 @@ def test_lexicon_counts_whole_pages_and_all_of_them(spark):
     used = spark.createDataFrame([("zebrapelican",), ("qzxv",)], "piece string")
     got = url_filter.split_pieces(used, url_filter.lexicon_counts(late)).collect()
     assert {r.piece: r.words for r in got} == {"zebrapelican": ["zebra", "pelican"], "qzxv": ["qzxv"]}
+
+
+@pytest.fixture(scope="module")
+def sql(sf_dir):
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.sql(f"create view {p.stem} as select * from '{p}'")
+    return con
+
+
+def rows_of(names, data):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in data), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_its_sql(spark, sf_dir, sql, name):
+    got, want = queries.QUERIES[name](spark, sf_dir), sql.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns) and rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
+
+
+def test_digests_of_personal_data(spark, sf_dir):
+    """Counts and base_sha256 of every document, from plain expressions."""
+    from .test_kernels import plain_spans
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op2_pii(spark, sf_dir).collect():
+        base = plain_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(pii.line(base).encode()).hexdigest() and set(pii.line(base).split(",")) <= set(r.spans.split(","))
+
+
+def test_ids_of_every_document(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    at = 0
+    for r in sorted(queries.op6_token_store(spark, sf_dir).collect(), key=lambda r: r.doc_id):
+        ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_a_key_may_span_shards(spark):
+    rows = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate([None] * 20 + [1] + [7] * 40 + [9])], "doc_id bigint, text string")
+    path = queries.vocabulary("byte_bpe_50k.json")
+    store = token_store.TokenStore.write(rows, path, partitions=6)
+    manifest = spark.read.parquet(f"{store.path}/manifest").collect()
+    assert len({r.shard for r in manifest if r.key == 7}) > 1
+    for k in (None, 1, 7, 9):
+        assert sorted(r.occurrence for r in manifest if r.key == k) == list(range(sum(r.key == k for r in manifest)))
+    keys = spark.createDataFrame([(7, i) for i in range(41)], "key bigint, turn bigint")
+    found = store.read(keys, occurrence="turn").collect()
+    assert len(found) == 40 and len({tuple(r.ids) for r in found}) == 40
+
+
+def test_weights_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first, *others = (near_dup.corpus_weights(docs.repartition(n)) for n in (1, 4, 40))
+    for w in others:
+        assert (w.hashes == first.hashes).all() and np.allclose(w.idf, first.idf)
+    counts = Counter(h for t in docs.collect() for h in {tuple(x) for w in [(t.text or "").split()] for x in zip(*(w[i:] for i in range(5)))})
+    assert len(first.hashes) == len(counts)
+
+
+def brute_classes(texts: dict) -> dict:
+    """Class of each key by the similarity of all pairs."""
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t) for k, t in texts.items()}
+    grams = {k: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for k, w in words.items()}
+    bodies = {texts[k]: grams[k] for k in texts}
+    df = Counter(g for c in grams.values() for g in c)
+    least = max(1.0, near_dup.FREQUENT * sum(df.values()))
+    idf = {g: float(near_dup.idf(np.array([n]), len(texts), least)[0]) if n >= least else 1.0 for g, n in df.items()}
+    weighed = {t: {g: (1 + math.log(n)) * idf[g] for g, n in c.items()} for t, c in bodies.items()}
+    root = {t: t for t in bodies}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    total = {t: sum(w.values()) for t, w in weighed.items()}
+    for s, t in itertools.combinations(weighed, 2):
+        x, y = weighed[s], weighed[t]
+        if x and y and min(total[s], total[t]) >= 0.8 * max(total[s], total[t]) - 1e-9:
+            least_ = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
+            if least_ / (total[s] + total[t] - least_) >= near_dup.SIMILARITY - 1e-9:
+                root[find(s)] = find(t)
+    members: dict = {}
+    for k, t in texts.items():
+        members.setdefault(find(t), []).append(k)
+    return {k: min(ks) for ks in members.values() for k in ks}
+
+
+def test_near_duplicates_by_planted_similarity(spark):
+    """Of pairs planted at 0.8 to 0.95, all are found that brute force finds, among texts that share a passage."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    passage = r.choices(words, k=60)
+    texts = {}
+    for i in range(120):
+        body = passage + r.choices(words, k=240) if i % 3 == 0 else r.choices(words, k=300)
+        twin = list(body)
+        for at in r.sample(range(300), k=1 + i % 6):
+            twin[at] = r.choice(words)
+        texts[2 * i], texts[2 * i + 1] = " ".join(body), " ".join(twin)
+    want = brute_classes(texts)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.class_id for x in near_dup.classes(rows).collect()}
+    assert got == want and sum(want[2 * i] == want[2 * i + 1] for i in range(120)) > 90
+
+
+def test_columns_that_clash(spark, docs):
+    """Kept columns named like results come back with _ before them; names that operators use inside don't matter."""
+    odd = docs.select("doc_id", "text", "lang", "source", *(F.lit(1).alias(c) for c in ("_lang", "n_words", "kept", "size", "_size", "target", "_text", "_hits", "license", "_host", "verdict", "c1")))
+    keep = [c for c in odd.columns if c != "text"]
+    got = quality.judged(odd, keep)
+    assert {"_n_words", "_kept", "_lang", "n_words", "kept"} <= set(got.columns) and got.count() == docs.count()
+    assert {"_size", "__size", "size", "_target"} <= set(mixing.mixed(odd, keep).columns)
+    assert {"_license", "license", "_text"} <= set(licenses.scanned(odd, keep).columns)
+    pages = odd.select(F.lit("http://a.b/c").alias("url"), F.lit("x").alias("html"), *keep)
+    got = url_filter.judged(pages, keep)
+    assert {"_verdict", "verdict", "_host"} <= set(got.columns) and got.count() == docs.count()
+    assert quality.filtered(odd).columns == odd.columns == near_dup.deduplicated(odd).columns == mixing.mix_rows(odd).columns
+
+
+def test_empty_tables_and_repeated_rows(spark, docs):
+    none = docs.where("false")
+    items = spark.createDataFrame([(1, prose(3)), (2, prose(3))], "item_id bigint, text string")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://spam.x/y").alias("url"), F.lit(None).cast("string").alias("html"))
+    path = queries.vocabulary("word_bpe_49k.json")
+    assert pii.digest(none).isEmpty() and token_count.token_counts(none, path).isEmpty() and url_filter.judged(pages.where("false"), ["page_id"]).isEmpty()
+    assert decontaminate.contaminated(none, items).isEmpty() and decontaminate.contaminated(docs, items.where("false")).isEmpty() and mixing.mix_rows(none).isEmpty() and quality.filtered(none).isEmpty()
+    twice = docs.where("doc_id in (1, 3, 34)").unionByName(docs.where("doc_id in (1, 3, 34)"))
+    for made in (pii.digest(twice), token_count.token_counts(twice, path), licenses.scanned(twice, ["doc_id"]), decontaminate.contaminated(twice, items), language_id.identified(twice), url_filter.judged(pages.unionByName(pages), ["page_id"]), quality.judged(twice, ["doc_id"])):
+        counts = Counter(tuple(r) for r in made.collect())
+        assert counts and all(n % 2 == 0 for n in counts.values())
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(twice, items).collect()) == [(3, 1), (3, 1), (3, 2), (3, 2)]
+
+
+def test_long_texts_and_ties(spark):
+    rows = spark.createDataFrame([(1, "a@b.co " + "x" * 300_000 + " 8.8.8.8"), (2, "word " * 60_000 + LINE)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.digest(rows).collect()}
+    assert (got[1].n_email, got[1].n_ip) == (1, 1)
+    assert {r.doc_id: r.license for r in licenses.scanned(rows, ["doc_id"]).collect()} == {1: None, 2: "Apache-2.0"}
+    wrapped = spark.createDataFrame([(1, "see Licensed under the Apache\nLicense,\nVersion 2.0. and more"), (2, "x Released under the MIT License. Licensed under CC BY 4.0. y")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.license, r.dice, r.n_matches) for r in licenses.scanned(wrapped, ["doc_id"]).collect()} == {1: ("Apache-2.0", 1.0, 1), 2: ("MIT", 1.0, 2)}
+    same = spark.createDataFrame([(i, "one two three four five", "s") for i in (5, 5, 5, 6)], "doc_id bigint, text string, source string")
+    mixed = mixing.mixed(same, ["doc_id"]).collect()
+    assert sum(r.taken for r in mixed) == int(mixed[0].target)
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, sql):
+    """Every stage by plain means: the quality SQL, all pairs, shingle sets, the mixing SQL, the tokenizers library."""
+    import corpus_pipeline
+
+    kept = {r[0] for r in sql.sql(f"select doc_id from ({queries.ORACLES['op7_quality']}) where kept").fetchall()}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.doc_id in kept}
+    classes = brute_classes({k: r.text for k, r in docs.items()})
+    docs = {k: r for k, r in docs.items() if classes[k] == k}
+    grams = lambda t: {x for w in [re.findall(r"[^\x20\x09-\x0D]+", t or "")] for x in zip(*(w[i:] for i in range(5)))}
+    items = [s for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if (s := grams(r.text))]
+    docs = {k: r for k, r in docs.items() if not any(len(s & grams(r.text)) >= 0.8 * len(s) for s in items)}
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([r.asDict() for r in docs.values()]))
+    from tokenizers import Tokenizer
+
+    library, want = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json")), Counter()
+    for doc_id, size, taken in con.sql(f"select doc_id, size, taken from ({mixing.ORACLE_SQL})").fetchall():
+        text, words = docs[doc_id].text or "", re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", docs[doc_id].text or "")
+        for body in [text] * (taken // size) + (["".join(words[: taken % size])] if taken % size else []):
+            ids = [*library.encode(body, add_special_tokens=False).ids, 0]
+            want[doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    got = Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    assert got == want and len(got) > 20
