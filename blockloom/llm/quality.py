@@ -8,10 +8,14 @@ above, so a quantile is off by GROWTH at most, and a sketch has LAST + 1 buckets
 however many texts. Sketches merge by adding counts, so they are an ordinary partial
 aggregation over (language, source, measure, bucket).
 
-A measure of a text is out of line above Q3 + FENCE * (Q3 - Q1) + its slack, the least
-distance that a measure needs to tell texts apart; in a short text it is larger by SHORT /
-its words. Q1 and Q3 are those of its language and source, drawn to those of its language as
-if TRUST texts had them, and these to those of all texts in the same way: many texts speak
+A measure of a text is out of line above Q3 + FENCE * (Q3 - Q1) + slack, the least distance
+that the measure needs to tell texts apart. Most texts have none of some measures, so that both
+quartiles are 0; slack is adaptive too: SLACK for all texts together, and for a group SLACK
+times the root of P / P of all texts, where P is the first quartile of the values above
+0. A source whose texts have more symbols, where they have any, gets a higher ceiling. In a short text
+slack is larger by SHORT / its words. Quartiles are those of the text's language and
+source, drawn to those of its language as if TRUST texts had them, and these to those of all
+texts in the same way (P by its bucket, weighed by the texts above 0): many texts speak
 for themselves, few lean on what is known of others, and there is no size at which that
 switches. Thresholds come back by a join on language and source.
 
@@ -145,15 +149,19 @@ def _quartiles(counts: DataFrame, by: list[str]) -> DataFrame:
     at = """aggregate(cells, named_struct('seen', 0L, 'at', cast(null as bigint)),
         (s, c) -> named_struct('seen', s.seen + c.n, 'at', coalesce(s.at, if(s.seen + c.n >= {q} * total, c.bucket, null))), s -> s.at)"""
     value = lambda q: F.when(F.expr(at.format(q=q)) > 0, LEAST_VALUE * F.pow(F.lit(GROWTH), F.expr(at.format(q=q)))).otherwise(F.lit(0.0))
-    return listed.select(*by, "measure", "total", value(0.25).alias("q1"), value(0.75).alias("q3"))
+    # the same over what is above 0: cells begin with bucket 0, if there is one
+    above = listed.select("*", F.when(F.col("cells")[0]["bucket"] == 0, F.col("cells")[0]["n"]).otherwise(0).alias("zero"))
+    first = """aggregate(cells, named_struct('seen', -zero, 'at', cast(null as bigint)),
+        (s, c) -> named_struct('seen', s.seen + c.n, 'at', coalesce(s.at, if(c.bucket > 0 and s.seen + c.n >= 0.25 * (total - zero), c.bucket, null))), s -> s.at)"""
+    return above.select(*by, "measure", "total", value(0.25).alias("q1"), value(0.75).alias("q3"), (F.col("total") - F.col("zero")).alias("some"), F.expr(first).alias("p"))
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
     """Per language and source one row: lang, source and a ceiling for each measure."""
     counts = write_shared(counts, "sketches")
     own = _quartiles(counts, ["lang", "source"])
-    lang = _quartiles(counts, ["lang"]).select(F.col("lang").alias("lang_l"), F.col("measure").alias("measure_l"), F.struct("total", "q1", "q3").alias("of_lang"))
-    every = _quartiles(counts, []).select(F.col("measure").alias("measure_e"), F.struct("total", "q1", "q3").alias("of_all"))
+    lang = _quartiles(counts, ["lang"]).select(F.col("lang").alias("lang_l"), F.col("measure").alias("measure_l"), F.struct("total", "q1", "q3", "some", "p").alias("of_lang"))
+    every = _quartiles(counts, []).select(F.col("measure").alias("measure_e"), F.struct("total", "q1", "q3", "some", "p").alias("of_all"))
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_l")) & (F.col("measure") == F.col("measure_l"))).join(F.broadcast(every), F.col("measure") == F.col("measure_e"))
 
@@ -161,7 +169,12 @@ def thresholds(counts: DataFrame) -> DataFrame:
         of_lang = (F.col("of_lang.total") * F.col(f"of_lang.{q}") + TRUST * F.col(f"of_all.{q}")) / (F.col("of_lang.total") + TRUST)
         return (F.col("total") * F.col(q) + TRUST * of_lang) / (F.col("total") + TRUST)
 
-    ceiling = drawn("q3") + FENCE * (drawn("q3") - drawn("q1")) + slack[F.col("measure")]
+    # where nothing is above 0, a group has no bucket and no weight; where that holds for all texts, slack is SLACK
+    p = lambda of: F.coalesce(F.col(f"{of}p"), F.lit(0))
+    of_lang = (F.col("of_lang.some") * p("of_lang.") + TRUST * F.col("of_all.p")) / (F.col("of_lang.some") + TRUST)
+    bucket_of = (F.col("some") * p("") + TRUST * of_lang) / (F.col("some") + TRUST)
+    scale = F.coalesce(F.pow(F.lit(GROWTH), (bucket_of - F.col("of_all.p")) / 2), F.lit(1.0))
+    ceiling = drawn("q3") + FENCE * (drawn("q3") - drawn("q1")) + slack[F.col("measure")] * scale
     return joined.select("lang", "source", "measure", ceiling.alias("ceiling")).groupBy("lang", "source").pivot("measure", list(SLACK)).agg(F.first("ceiling"))
 
 
@@ -195,9 +208,11 @@ def oracle_sql() -> str:
     slack = ", ".join(f"('{c}', {x}::DOUBLE)" for c, x in SLACK.items())
     stack = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{c}' AS measure, {c}::DOUBLE AS value FROM m" for c in SLACK)
     value = lambda q: f"min(CASE WHEN seen >= {q} * total THEN CASE WHEN bucket > 0 THEN {LEAST_VALUE} * pow({GROWTH}::DOUBLE, bucket) ELSE 0 END END)"
-    quartiles = lambda by: f"""SELECT {by}measure, max(total) AS total, {value(0.25)} AS q1, {value(0.75)} AS q3 FROM (
-        SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {by}measure) AS total
+    quartiles = lambda by: f"""SELECT {by}measure, max(total) AS total, {value(0.25)} AS q1, {value(0.75)} AS q3, max(total - zero) AS some, {first} AS p FROM (
+        SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS seen, sum(CASE WHEN bucket = 0 THEN n ELSE 0 END) OVER (PARTITION BY {by}measure) AS zero, sum(n) OVER (PARTITION BY {by}measure) AS total
         FROM (SELECT {by}measure, bucket, count(*) AS n FROM b GROUP BY {by}measure, bucket)) GROUP BY {by}measure"""
+    first = "min(CASE WHEN bucket > 0 AND seen - zero >= 0.25 * (total - zero) THEN bucket END)"
+    drawn = f"(own.some * coalesce(own.p, 0) + {TRUST} * (l.some * coalesce(l.p, 0) + {TRUST} * e.p) / (l.some + {TRUST})) / (own.some + {TRUST})"
     lean = lambda q: f"(own.total * own.{q} + {TRUST} * (l.total * l.{q} + {TRUST} * e.{q}) / (l.total + {TRUST})) / (own.total + {TRUST})"
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -213,7 +228,7 @@ m AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbol_share, marks / greate
 v AS ({stack}),
 b AS (SELECT *, CASE WHEN value <= {LEAST_VALUE} THEN 0 ELSE least(ceil(ln(value / {LEAST_VALUE}) / {math.log(GROWTH)!r}), {LAST}) END::BIGINT AS bucket FROM v WHERE n_words > 0),
 own AS ({quartiles("lang, source, ")}), l AS ({quartiles("lang, ")}), e AS ({quartiles("")}),
-limits AS (SELECT own.lang, own.source, own.measure, slack, {lean("q3")} + {FENCE} * ({lean("q3")} - {lean("q1")}) + slack AS ceiling
+limits AS (SELECT own.lang, own.source, own.measure, slack, {lean("q3")} + {FENCE} * ({lean("q3")} - {lean("q1")}) + slack * coalesce(pow({GROWTH}::DOUBLE, ({drawn} - e.p) / 2), 1) AS ceiling
     FROM own JOIN l ON own.lang IS NOT DISTINCT FROM l.lang AND own.measure = l.measure JOIN e ON own.measure = e.measure JOIN (VALUES {slack}) s(measure, slack) ON s.measure = own.measure),
 fine AS (SELECT v.doc_id, bool_and(coalesce(value <= ceiling + slack * {SHORT} / greatest(n_words, 1), true)) AS fine
     FROM v LEFT JOIN limits x ON v.lang IS NOT DISTINCT FROM x.lang AND v.source IS NOT DISTINCT FROM x.source AND v.measure = x.measure GROUP BY v.doc_id),
