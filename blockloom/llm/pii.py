@@ -119,9 +119,22 @@ _OCTET = rf"{_TOKEN}(?:(?:[ -]{{1,2}}|(?<=[0-9])(?=[0-9])){_TOKEN}){{0,2}}"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?P<plus>plus|\+)[ -]?)?(?:[(]?{_TOKEN}(?:(?:[ ,()-]{{1,3}}|(?<=[0-9])(?=[0-9])|{_POINT}){_TOKEN})+|{_OCTET}(?:{_POINT}{_OCTET}){{3,}})", re.IGNORECASE)
 _WORD = re.compile(rf"(?P<plus>plus)|(?P<dot>dot|point|punkt|punto|\.)|(?P<digit>{_WORDS}|[0-9])", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9._%+-]"
-_AT = re.compile(rf"(?<={_NAME})[ ]*(?:[(\[{{<][ ]*(?:at|@|arroba|ät|chez)[ ]*[)\]}}>]|[ ](?:at|arroba)[ ](?=[ ]*[A-Za-z0-9-]+(?:\.|[ ]*[(\[{{<][ ]*(?:dot|punkt|punto|point|\.)|[ ](?:dot|punkt|punto|point)[ ]))|[ ]@[ ]?|@[ ])[ ]*(?=[A-Za-z0-9])", re.IGNORECASE)
+_AT = re.compile(rf"(?<={_NAME})[ ]*(?:[(\[{{<][ ]*(?:at|@|arroba|ät|chez)[ ]*[)\]}}>]|[(\[{{<]a[)\]}}>](?=[A-Za-z0-9-]+\.[A-Za-z])|[ ](?:at|arroba)[ ](?=[ ]*[A-Za-z0-9-]+(?:\.|[ ]*[(\[{{<][ ]*(?:dot|punkt|punto|point|\.)|[ ](?:dot|punkt|punto|point)[ ]))|[ ]@[ ]?|@[ ])[ ]*(?=[A-Za-z0-9])", re.IGNORECASE)
 _DOT = re.compile(r"(?<=[A-Za-z0-9-])[ ]*(?:[(\[{<][ ]*(?:dot|punkt|punto|point|\.)[ ]*[)\]}>]|[ ](?:dot|punkt|punto|point)[ ])[ ]*(?=[A-Za-z0-9])", re.IGNORECASE)
-_NEAR_DIGIT = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ -]))[oOlI](?=[0-9])")
+_NEAR_DIGIT = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ -]))[oOlI](?=[0-9])|(?<=[0-9]\.)[oOlI](?=\.?[0-9])")
+#: Common words that stand before `at` in prose.
+BEFORE_AT = frozenset((
+    "a", "all", "also", "am", "and", "are", "arrive", "arrived", "available", "back", "be", "been", "being", "but", "come", "daily", "down", "found", "free", "had", "has", "have", "he", "her", "here", "him", "home",
+    "hosted", "i", "in", "is", "it", "just", "laugh", "laughed", "live", "lives", "look", "looked", "looking", "looks", "me", "meet", "met", "more", "not", "now", "off", "on", "online", "only", "or", "out", "page", "please",
+    "read", "see", "seen", "she", "shop", "site", "start", "started", "stay", "stayed", "still", "stop", "study", "that", "the", "them", "there", "they", "this", "today", "up", "us", "visit", "was", "we", "website", "were",
+    "work", "worked", "working", "works", "you",
+))
+#: Characters before a word for @ that tell whether it is one.
+NEAR = 100
+_DOTTED = re.compile(r"[A-Za-z0-9-]+(?:[ ]*[(\[{<][ ]*(?:dot|punkt|punto|point|\.)|[ ](?:dot|punkt|punto|point)[ ])", re.IGNORECASE)
+_HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[a-z]{2,24}(?![A-Za-z0-9-])")
+_LAST = re.compile(rf"{_NAME}*$")
+_MAIL = re.compile(r"(?<![A-Za-z])(?:e-?mail|mail|correo|courriel|contact|kontakt|contacto)(?: (?:me|us|is|to|an|bei|es|est|à|a))?[ :=(\[<]+[A-Za-z0-9._%+-]+$", re.IGNORECASE)
 
 
 class _Folds(dict[str, str]):
@@ -195,12 +208,27 @@ def _as_digits(m: re.Match[str]) -> Iterator[tuple[str, int, int]]:
 
 
 def _spelled(m: re.Match[str]) -> list[tuple[str, int, int]]:
-    pieces = list(_as_digits(m))
-    if m[0].startswith("+"):
-        pieces.insert(0, ("+", m.start(), m.start() + 1))
-    if not any(c.isalpha() for c in m[0].replace("plus", "")):
-        return [(m[0][i], m.start() + i, m.start() + i + 1) for i in range(len(m[0]))]  # figures only: as they are
-    return pieces
+    body, at = m[0], m.start()
+    if not any(c.isalpha() for c in body.replace("plus", "")):
+        return _same(body, at)  # figures only
+    return [("+", at, at + 1)] * body.startswith("+") + list(_as_digits(m))
+
+
+def _same(body: str, at: int) -> list[tuple[str, int, int]]:
+    """Text as it is."""
+    return [(c, i, i + 1) for i, c in enumerate(body, at)]
+
+
+def _as_at(m: re.Match[str]) -> list[tuple[str, int, int]]:
+    """A bare `at` counts only beside a disguised dot, after a word for mail or a name with a digit or sign, or between a name that isn't a common word and a host in small letters: prose has it too."""
+    body, text = m[0], m.string
+    if body.strip().lower() == "at" and not _DOTTED.match(text, m.end()):
+        before = text[max(0, m.start() - NEAR) : m.start()]
+        name = _LAST.search(before)[0]
+        plain = not any(c in "0123456789._%+" for c in name) and not _MAIL.search(before)
+        if plain and (name.lower() in BEFORE_AT or not _HOST.match(text, m.end())):
+            return _same(body, m.start())
+    return [("@", m.start(), m.end())]
 
 
 def normalised(text: str) -> tuple[Traced, Traced] | None:
@@ -208,7 +236,7 @@ def normalised(text: str) -> tuple[Traced, Traced] | None:
     folded = Traced(text).folded()
     t = folded.replaced(_NEAR_DIGIT, lambda m: [("0" if m[0] in "oO" else "1", m.start(), m.end())])
     t = t.replaced(_SPELLED, _spelled)
-    t = t.replaced(_AT, lambda m: [("@", m.start(), m.end())])
+    t = t.replaced(_AT, _as_at)
     t = t.replaced(_DOT, lambda m: [(".", m.start(), m.end())])
     return None if t.text == text else (folded, t)
 
