@@ -181,3 +181,20 @@ def key_filter(keys: DataFrame, key: str):
         return pd.Series(out)
 
     return lambda column: maybe(*_places(column, bits))
+
+
+#: Keys that hold more than 1 of this many rows of a join's large side.
+HOT = 10_000
+
+
+def met(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows, in which a key may be frequent, with a table that has each key once. Both are read repeatedly.
+
+    Keys are counted; those of more than 1 of HOT of all rows are at most HOT, and their side is broadcast.
+    All others are joined by a shuffle in which no key is large.
+    """
+    counts = write_shared(rows.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = write_shared(unique.join(F.broadcast(counts.where(F.col("_n") * HOT > total).select(key)), key, "left_semi"), "hot-keys")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(unique, key))

@@ -7,7 +7,9 @@ The lexicon counts words of page texts and of paths, and the pieces of hyphenate
 over all pages; SEEDS are added to it. It stays a table: each distinct piece is joined
 with the counts of its own parts, of LONGEST letters at most (the longest word that the
 lexicon counts), and split by them alone, which is all of the lexicon that its split depends
-on. Parts without a word may be of any length.
+on. Parts without a word may be of any length. Parts go as (number of the piece, part), in
+batches of PARTS, and only if a filter of the lexicon may have them, so a piece of any length is
+split at a cost in proportion to it. Frequent parts and pieces are met by broadcast (`met`).
 
 Classifier. At most SAMPLE pages, chosen by the hash of their url, are labelled by their host: block if it has one of the
 SEEDS as a word, else allow. A multinomial naive Bayes with add-one smoothing learns the
@@ -19,7 +21,7 @@ the longest fitting rule gives the verdict.
 
 Cases: null url, or a url without ://, has empty host and path, no words, and is allowed;
 ties in log odds are allowed; repeated rows each get their verdict; an empty table gives
-no rows; a long host is segmented whole; null or empty html adds no words; kept columns may
+no rows; hosts and paths of any length are segmented whole; null or empty html adds no words; kept columns may
 have any name, and one that is named like a result column comes back with `_` before it.
 """
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import for_texts, kept_as, plain_columns, write_shared
+from .shared import for_texts, kept_as, key_filter, met, plain_columns, write_shared
 
 #: Pages whose words train the classifier.
 SAMPLE = 5000
@@ -42,6 +44,8 @@ LONGEST = 24
 #: What each letter of an unknown part costs.
 LETTER = 2.5
 CACHE = 200_000
+#: Parts of names that a worker holds before it sends them.
+PARTS = 100_000
 
 #: Words of hosts that are commonly blocked.
 SEEDS = (
@@ -218,10 +222,16 @@ def split_pieces(used: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n")).first()[0]
 
     def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[int, str]] = set()
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                own = list({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own, pa.string())], names=["piece", "word"])
+            for at, name in zip(*(c.to_pylist() for c in batch.columns)):
+                for i in range(len(name)):
+                    held.update((at, name[i:j]) for j in range(i + 1, min(len(name), i + LONGEST) + 1))
+                    if len(held) >= PARTS:
+                        yield _parts(held)
+                        held.clear()
+        if held:
+            yield _parts(held)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,9 +239,16 @@ def split_pieces(used: DataFrame, counts: DataFrame) -> DataFrame:
             found = [Lexicon(Counter({r["word"]: r["n"] for r in known or ()}), total).split(name) for name, known in zip(names, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["piece", "words"])
 
-    names = write_shared(used.select("piece").distinct(), "pieces")
-    known = names.mapInArrow(subwords, "piece string, word string").join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    return names.join(known, "piece", "left").select("piece", "known").mapInArrow(split, "piece string, words array<string>")
+    names = write_shared(used.select("piece").distinct().withColumn("at", F.monotonically_increasing_id()), "pieces")
+    # a part goes on only if the lexicon may have it: of a long name's parts, few do
+    may = key_filter(counts, "word")
+    parts = write_shared(names.select("at", "piece").mapInArrow(subwords, "at bigint, word string").where(may(F.col("word"))), "parts")
+    known = met(parts, counts, "word").groupBy("at").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    return names.join(known, "at", "left").select("piece", "known").mapInArrow(split, "piece string, words array<string>")
+
+
+def _parts(held: set[tuple[int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at for at, _ in held], pa.int64()), pa.array([w for _, w in held], pa.string())], names=["at", "word"])
 
 
 def judged(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -248,7 +265,7 @@ def judged(pages: DataFrame, keep: list[str], url: str = "url", html: str = "htm
             found = [(i, p) for i, h, path in zip(*(c.to_pylist() for c in batch.columns)) for p in pieces(h or "", path or "") if not p.isdigit()]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([p for _, p in found], pa.string())], names=["_row", "piece"])
 
-    used = rows.select("_row", "_host", "_path").mapInArrow(cut, "_row bigint, piece string")
+    used = write_shared(rows.select("_row", "_host", "_path").mapInArrow(cut, "_row bigint, piece string"), "used")
     counts = write_shared(lexicon_counts(pages, url, html), "lexicon")
     splits = write_shared(split_pieces(used, counts), "splits")
     # at most SAMPLE pages, spread by hash over the whole table, and their splits come to the driver
@@ -266,9 +283,9 @@ def judged(pages: DataFrame, keep: list[str], url: str = "url", html: str = "htm
             odd = pa.array([sum(odds.value.get(w, 0.0) for w in ws) for ws in words], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), odd, pa.array([len(ws) for ws in words], pa.int64())], names=["piece", "odd", "words"])
 
-    weights = splits.mapInArrow(weigh, "piece string, odd double, words bigint").where("words > 0")
+    weights = write_shared(splits.mapInArrow(weigh, "piece string, odd double, words bigint").where("words > 0"), "weights")
     # in one order, so that sums don't depend on how rows are dealt
-    sums = used.join(weights, "piece").groupBy("_row").agg(F.array_sort(F.collect_list("odd")).alias("odd"))
+    sums = met(used, weights, "piece").groupBy("_row").agg(F.array_sort(F.collect_list("odd")).alias("odd"))
     scored = rows.join(sums, "_row", "left").withColumn("_score", F.when(F.col("odd").isNotNull(), F.aggregate("odd", F.lit(float(prior)), lambda s, x: s + x)))
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     method = F.when(F.coalesce(F.col("_score") > 0, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))

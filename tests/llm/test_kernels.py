@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import re
 from collections import Counter
 
@@ -335,3 +336,35 @@ def test_long_cuts_are_encoded_whole():
     texts = ["ab " + "x1" * (token_store.LONG_CUT // 2 + 1), "ab cd"]
     got = np.concatenate([i for i, _ in encoder.column(pa.array(texts))]).tolist()
     assert got == sum((e.ids + [0] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)), [])
+
+
+@pytest.mark.parametrize("unit", ["12.5 ", "one two ", "a at b.c ", "+1 2", "1.O."])
+def test_spans_take_time_in_proportion(unit):
+    took = []
+    for size in (400_000, 800_000):
+        began = time.process_time()
+        pii.find(unit * (size // len(unit)))
+        took.append(time.process_time() - began)
+    assert took[1] < 2.3 * took[0] + 0.3
+
+
+def test_five_megabytes_of_numbers():
+    began = time.process_time()
+    assert pii.find("12.5 " * 1_000_000) == ([], [])
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("look at example.com", None), ("I was at home.Then we left", None), ("meet me at the.park", None), ("mail anna at example.com", "anna at example.com"), ("j.doe at example.com", "j.doe at example.com"),
+    ("anna at example dot com", "anna at example dot com"), ("anna(a)example.com", "anna(a)example.com"), ("from 192.168.O.1 on", "192.168.O.1"), ("E-mail: anna at example.com", "anna at example.com"),
+])
+def test_words_for_at(text, found):
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == ([found] if found else [])
+
+
+def test_a_name_of_a_million_letters():
+    lexicon = url_filter.Lexicon(Counter({"news": 50, "site": 50}))
+    began = time.process_time()
+    words = lexicon.split("q" * 500_000 + "newssite" + "q" * 500_000)
+    assert words == ["q" * 500_000, "news", "site", "q" * 500_000]
+    assert time.process_time() - began < 60

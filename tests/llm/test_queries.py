@@ -360,3 +360,49 @@ def test_pipeline_against_brute_force(spark, sf_dir, sql):
             want[doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
     got = Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert got == want and len(got) > 20
+
+
+def test_every_page_is_judged_as_by_one_model(spark, sf_dir):
+    """The query against one lexicon and one model in memory; all pages are in the sample here."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host, path = url_filter.parts("url")
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    rows = pages.select("page_id", host.alias("h"), path.alias("p"), text.alias("t")).collect()
+    assert len(rows) <= url_filter.SAMPLE
+    model = url_filter.UrlModel([(r.h, r.p, r.t) for r in rows])
+    got = {r.page_id: r for r in url_filter.judged(pages, ["page_id"]).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        mine, score = got[r.page_id], model.score(r.h, r.p)
+        assert (mine.host, mine.path) == (r.h, r.p) and (mine.score is None) == (score == -math.inf)
+        assert mine.score is None or mine.score == pytest.approx(score)
+        fits = [(len(h + p), kind, h + p) for kind, h, p in url_filter.RULES if (r.h == h or r.h.endswith("." + h)) and r.p.startswith(p)]
+        assert (mine.rule, mine.verdict) == ((max(fits)[2], max(fits)[1]) if fits else (None, "block" if score > 0 else "allow"))
+
+
+def test_urls_of_any_length(spark):
+    long = "q" * 100_000
+    rows = [(1, f"http://{long}casino.example.com/{long}", "<p>casino news"), (2, f"http://a.example.com/{'news/' * 20_000}", None), (3, None, None)]
+    got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(rows, "page_id bigint, url string, html string"), ["page_id"]).collect()}
+    assert got[1].host == f"{long}casino.example.com" and got[1].verdict == "block" and got[3].verdict == "allow"
+
+
+def test_groups_have_their_own_ceilings(spark):
+    """Texts of one source have more symbols where they have any, and both quartiles are 0 in both."""
+    rows = []
+    for source, times in (("plain", 1), ("code", 30)):
+        for i in range(400):
+            words = prose(1000 * times + i, 100).split()
+            if i % 8 == 0:
+                words[::10] = ["#" * times] * 10
+            rows.append((i, " ".join(words), "en", source))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.source: r for r in quality.thresholds(quality.sketches(quality.measured(docs, ["lang", "source"]), "lang", "source")).collect()}
+    assert got["code"].symbol_share > 1.5 * got["plain"].symbol_share and got["plain"].symbol_share > 0.02
+
+
+def test_ceilings_follow_the_groups(spark, sf_dir):
+    rows = quality.measured(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["lang", "source"])
+    got = quality.thresholds(quality.sketches(rows, "lang", "source")).collect()
+    for c in quality.SLACK:
+        assert len({round(r[c], 6) for r in got}) > 1
