@@ -162,3 +162,30 @@ def test_pdf_words_and_cells():
     words = pdf.words_of(p.chars)
     assert [w["text"] for w in words] == ["Hello", "(w)", "a", "b"] and words[0]["x0"] == 50 and words[0]["size"] == 12
     assert [[c is not None for c in row] for row in pdf.ruled_cells(p.rules)[0]] == [[True, True]]
+
+
+def test_html_cells_opened_and_ended_again():
+    (t,) = html.decode(b"<table><tr><td>lost<td>a</td></td></tr><tr><td>b</tr></table>")
+    assert t["n_rows"] == 1 and [[n["text"] for n in c] for c in t["cells"][0]] == [["a"], ["a"]]
+
+
+def test_html_spans_reach_over_rows_and_columns():
+    cells, width, merges = html.place([[("a", 3, 1), ("b", 1, 2)], [("c", 1, 1), ("d", 2, 1)], [("e", 1, 1)], []])
+    assert cells == [["a", "b", None], [None, "c", "d"], [None, "e", None], []][:3] + [[None] * 3] and width == 3
+    assert merges == [(0, 0, 3, 1), (0, 1, 1, 2), (1, 2, 2, 1)]
+
+
+def test_html_code_in_a_table_is_a_block_of_the_page():
+    nodes = html.decode(b"<table><tr><td>x<pre>c</pre></td></tr></table>y")
+    assert [n["type"] for n in nodes] == ["code", "table", "paragraph"]
+
+
+def test_html_long_lines_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        began = time.process_time()
+        assert len(html.decode("<p>é <b>x</b></p>".encode() * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.3
