@@ -141,10 +141,13 @@ def blob_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATHS = ("a/b.md", "x.MARKDOWN", "p/.md", "q.html", "q.xhtml", "r.htm", "s.xlsx", "t.docx", "u.pptx", "v.pdf", "w.txt", "noext", "dir.md/file", "z.tar.pdf")
 
 
-@query("WITH p(path) AS (VALUES " + ", ".join(f"('{p}')" for p in _PATHS) + r"""), s AS (SELECT path, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS ext FROM p)
+@query("WITH p AS (SELECT c_custkey // 14 || '/' || [" + ", ".join(f"'{p}'" for p in _PATHS) + r"""][c_custkey % 14 + 1] AS path FROM customer), s AS (SELECT path, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS ext FROM p)
 SELECT path, CASE WHEN ext IN ('.md', '.markdown') THEN 'markdown' WHEN ext IN ('.html', '.htm', '.xhtml') THEN 'html' WHEN ext IN ('.xlsx', '.docx', '.pptx', '.pdf') THEN substr(ext, 2) END AS fmt FROM s""")
 def format_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", C.format_of("path").alias("fmt"))
+    """A file for each customer, by its ending."""
+    k = F.col("c_custkey")
+    path = F.concat(F.floor(k / 14).cast("string"), F.lit("/"), F.element_at(F.array(*map(F.lit, _PATHS)), (k % 14 + 1).cast("int")))
+    return table(spark, sf_dir, "customer").select(path.alias("path")).select("path", C.format_of("path").alias("fmt"))
 
 
 # Markdown
@@ -343,9 +346,9 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     line = table(spark, sf_dir, "lineitem")
-    page = (F.col("l_orderkey") % 500).cast("int")
+    page = F.expr("cast(l_orderkey div 100 as int)")
     words = line.select(
-        F.lit("d").alias("doc_id"), page.alias("page"), F.hash("l_orderkey", "l_linenumber").alias("seq"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 128).alias("x1"),
+        F.floor(page / 20).cast("string").alias("doc_id"), page.alias("page"), F.hash("l_orderkey", "l_linenumber").alias("seq"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 128).alias("x1"),
         (F.col("l_partkey") % 70 * 10).cast("double").alias("top"), (F.col("l_partkey") % 70 * 10 + 8).cast("double").alias("bottom"), (F.lit(8.0) + F.col("l_linenumber")).alias("size"), F.lit("F").alias("fontname"),
     )
     pages_ = words.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("n_chars")).withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
@@ -354,7 +357,7 @@ def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return words, pages_, pictures, cells
 
 
-@query("""WITH w AS (SELECT l_orderkey % 500 AS page, l_quantity * 10 AS x0, l_partkey % 70 * 10 AS top FROM lineitem), s AS (SELECT page, count(*) AS chars, count(*) * 1024.0 / 480000 AS t, CASE WHEN page % 3 = 0 THEN page * 12 * 800.0 / 480000 ELSE 0 END AS i FROM w GROUP BY page)
+@query("""WITH w AS (SELECT l_orderkey // 100 AS page, l_quantity * 10 AS x0, l_partkey % 70 * 10 AS top FROM lineitem), s AS (SELECT page, count(*) AS chars, count(*) * 1024.0 / 480000 AS t, CASE WHEN page % 3 = 0 THEN page * 12 * 800.0 / 480000 ELSE 0 END AS i FROM w GROUP BY page)
 SELECT page::BIGINT AS page, chars::BIGINT AS chars, CASE WHEN chars = 0 AND i < 0.2 THEN 'empty' WHEN (chars < 20 AND i >= 0.2) OR (i > 0.8 AND t < 0.05) THEN 'scanned' WHEN page % 5 = 0 THEN 'hybrid' ELSE 'code' END AS route FROM s""")
 def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's way: empty, scanned, hybrid or laid out from its own text."""
@@ -363,13 +366,13 @@ def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.select(long("page"), long("chars"), "route")
 
 
-@query("""SELECT (l_orderkey % 500)::BIGINT AS page, count(*) AS words FROM lineitem WHERE (l_orderkey % 500) % 5 <> 0 OR NOT (l_quantity * 10 + 64 BETWEEN 100 AND 200 AND l_partkey % 70 * 10 + 4 BETWEEN 100 AND 220) GROUP BY 1""")
+@query("""SELECT (l_orderkey // 100)::BIGINT AS page, count(*) AS words FROM lineitem WHERE (l_orderkey // 100) % 5 <> 0 OR NOT (l_quantity * 10 + 64 BETWEEN 100 AND 200 AND l_partkey % 70 * 10 + 4 BETWEEN 100 AND 220) GROUP BY 1""")
 def words_outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, _, _, cells = _layout(spark, sf_dir)
     return pdf_layout.outside_tables(words, pdf_layout.table_boxes(cells)).groupBy(long("page")).agg(F.count("*").alias("words"))
 
 
-@query("""WITH w AS (SELECT l_orderkey % 500 AS page, l_quantity * 10 AS x0, (l_partkey % 70 * 10) AS top, 8.0 + l_linenumber AS size FROM lineitem)
+@query("""WITH w AS (SELECT l_orderkey // 100 AS page, l_quantity * 10 AS x0, (l_partkey % 70 * 10) AS top, 8.0 + l_linenumber AS size FROM lineitem)
 SELECT page::BIGINT AS page, top::DOUBLE AS top, min(x0)::DOUBLE AS x0, max(x0 + 128)::DOUBLE AS x1, median(size)::DOUBLE AS size, count(*) AS words FROM w GROUP BY page, top""")
 def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words clustered into lines; here every distinct top is one."""
@@ -378,10 +381,10 @@ def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.select(long("page"), "top", "x0", "x1", "size", F.size(F.split("text", " ")).cast("long").alias("words"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey % 7 AS doc, l_linenumber FROM lineitem) SELECT doc::BIGINT AS doc, 10 + l_linenumber::DOUBLE AS size, least(6, dense_rank() OVER (PARTITION BY doc ORDER BY l_linenumber DESC))::BIGINT AS level FROM s WHERE l_linenumber > 1""")
+@query("""WITH s AS (SELECT DISTINCT l_orderkey // 1000 AS doc, l_linenumber FROM lineitem) SELECT doc::BIGINT AS doc, 10 + l_linenumber::DOUBLE AS size, least(6, dense_rank() OVER (PARTITION BY doc ORDER BY l_linenumber DESC))::BIGINT AS level FROM s WHERE l_linenumber > 1""")
 def heading_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading sizes ranked over a whole document: pages of body lines with one larger line each."""
-    sizes = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("doc_id"), "l_linenumber").distinct()
+    sizes = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 1000").alias("doc_id"), "l_linenumber").distinct()
     line = lambda size, no: F.struct(size.alias("size"), F.lit("words").alias("text"), F.lit(no).alias("line_no"))
     rows = sizes.select("doc_id", F.col("l_linenumber").alias("page"), F.lit(0).alias("column"), F.explode(F.array(line(F.lit(10.0), 0), line(F.lit(10.0), 1), line(F.col("l_linenumber") + 10.0, 2))).alias("x")).select("doc_id", "page", "column", "x.*")
     return pdf_layout.heading_levels(rows).select(F.col("doc_id").cast("long").alias("doc"), "size", long("level"))
@@ -407,9 +410,12 @@ _BAD = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(x.replace("'", "''") for x in (n, p, r)) + "')" for n, _, p, r in _BAD if p) + ") v(doc_id, path, reason)")
+@query("SELECT c_custkey::VARCHAR AS doc_id, path, reason FROM customer JOIN (VALUES " + ", ".join(f"({i}, '" + "', '".join(x.replace("'", "''") for x in (p, r)) + "')" for i, (_, _, p, r) in enumerate(_BAD) if p) + ") v(i, path, reason) ON c_custkey % 6 = i")
 def json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.validate(spark.createDataFrame([(n, j) for n, j, *_ in _BAD], "doc_id string, json string"))
+    """A document for each customer, in turn with one of five faults and without."""
+    told = F.element_at(F.array(*[F.lit(j) for _, j, *_ in _BAD]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    key = F.col("c_custkey").cast("string")
+    return B.validate(table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.replace(told, F.lit('"doc_id":"d"'), F.concat(F.lit('"doc_id":"'), key, F.lit('"'))).alias("json")))
 
 
 @query("SELECT count(*)::BIGINT AS rows, 0::BIGINT AS broken FROM documents WHERE trim(text) <> ''")

@@ -1,7 +1,7 @@
 """Queries over documents that are written from rows: the rows are the expected answer.
 
-A document for each nation, from its suppliers: Word, slides, workbooks, PDF and HTML, so
-every decoder runs on as many documents and blocks as the tables have at a scale.
+Documents of about 40 suppliers of a nation: Word, slides, workbooks, PDF and HTML, so every
+decoder runs on as many documents and blocks as the tables have at a scale.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from .scratch import settled
 from .sources import blocks_json, clients, decode
 from .written import text
 
-#: Suppliers with their place among those of their nation, as SQL.
-_S = "s AS (SELECT s_nationkey::BIGINT AS doc, s_suppkey::BIGINT AS k, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"
+#: The number of a supplier's document: about 40 suppliers of a nation share one, so documents become more with the table, not longer.
+_DOC = "(s_nationkey + 25 * (s_suppkey // 1000))"
+_SPARK_DOC = "s_nationkey + 25 * (s_suppkey div 1000)"
+#: Suppliers with their place in their document, as SQL.
+_S = f"s AS (SELECT {_DOC}::BIGINT AS doc, s_suppkey::BIGINT AS k, s_name AS name, row_number() OVER (PARTITION BY {_DOC} ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY {_DOC}) AS n FROM supplier)"
 
 
 def _doc() -> Column:
@@ -34,8 +37,8 @@ def _field(name: str):
 
 
 def _grouped(spark: SparkSession, sf_dir: str, **parts: Column) -> DataFrame:
-    """A row for each nation: doc_id, n, and parts of its suppliers (k, name, i) joined in order."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    """A row for each document: doc_id, n, and parts of its suppliers (k, name, i) joined in order."""
+    s = table(spark, sf_dir, "supplier").select(F.expr(_SPARK_DOC).alias("doc"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
     rows = s.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("x")).select("doc", F.size("x").alias("n"), F.posexplode("x").alias("i", "x"))
     rows = rows.select("doc", "n", (F.col("i") + 1).alias("i"), "x.k", "x.name")
     joined = rows.select("doc", "n", "i", *(c.alias(p) for p, c in parts.items())).groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("i", *parts))).alias("x"))
@@ -336,7 +339,7 @@ def json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_doc(), long("cell_row"), long("cell_col"), long("cell_pos"), "type", "text")
 
 
-@query("SELECT (SELECT count(DISTINCT s_nationkey) FROM supplier)::BIGINT AS documents, 0::BIGINT AS different")
+@query(f"SELECT (SELECT count(DISTINCT {_DOC}) FROM supplier)::BIGINT AS documents, 0::BIGINT AS different")
 def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns of all blocks of Word documents are as before after JSON."""
     before = settled(_word_blocks(spark, sf_dir))
@@ -356,7 +359,7 @@ def json_version_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("parent_uid is not null").drop("null_slots").join(tables, ["doc_id", "parent_uid"]).select(_doc(), long("cell_row"), long("cell_col"), "type", "text", "null_slots")
 
 
-@query("SELECT DISTINCT s_nationkey::BIGINT AS doc, 3::BIGINT AS page_count, 'text/plain' AS mimetype, '{\"a\":' || s_nationkey || '}' AS metadata, sha256(s_nationkey::VARCHAR) AS raw_sha256 FROM supplier")
+@query(f"SELECT DISTINCT {_DOC}::BIGINT AS doc, 3::BIGINT AS page_count, 'text/plain' AS mimetype, '{{\"a\":' || {_DOC} || '}}' AS metadata, sha256({_DOC}::VARCHAR) AS raw_sha256 FROM supplier")
 def json_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What documents say of themselves, after JSON."""
     key = F.col("doc_id")
@@ -384,7 +387,7 @@ def block_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_S}, g AS (SELECT doc, i, k, sum((k % 3 = 0 OR i = 1)::INT) OVER (PARTITION BY doc ORDER BY i) AS island FROM s) SELECT doc, min(i)::BIGINT AS row, count(*) AS rowspan FROM g GROUP BY doc, island HAVING count(*) > 1""")
 def cell_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that go on with the one above, as spans."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("k"))
+    s = table(spark, sf_dir, "supplier").select(F.expr(_SPARK_DOC).alias("doc_id"), F.col("s_suppkey").alias("k"))
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))
     cells = s.withColumn("row", at).select("doc_id", F.lit("b0").alias("uid"), F.lit(0).alias("col"), "row", ((F.col("k") % 3 != 0) & (F.col("row") > 1)).alias("continues"))
     return B.vertical_merges(cells).select(_doc(), long("row"), long("rowspan"))
@@ -465,7 +468,7 @@ def image_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.new_blobs(found, have).select("sha256", "mime", "ending", F.octet_length("content").cast("long").alias("bytes"))
 
 
-@query("""WITH d AS (SELECT DISTINCT s_nationkey::BIGINT AS doc FROM supplier) SELECT 'docx' AS fmt, doc, sha256('picture ' || doc) AS image_id, 'image/png' AS mime FROM d UNION ALL SELECT 'xlsx', doc, sha256('sheet picture ' || doc), 'image/png' FROM d
+@query(f"""WITH d AS (SELECT DISTINCT {_DOC}::BIGINT AS doc FROM supplier) SELECT 'docx' AS fmt, doc, sha256('picture ' || doc) AS image_id, 'image/png' AS mime FROM d UNION ALL SELECT 'xlsx', doc, sha256('sheet picture ' || doc), 'image/png' FROM d
 UNION ALL SELECT 'markdown', doc, sha256('local ' || doc), 'image/jpeg' FROM d UNION ALL SELECT 'pdf', doc, sha256('region 1 300.0 642.0 360.0 692.0'), 'image/png' FROM d""")
 def fetched_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of pictures by the kind of their locator: package members, files beside a document, regions of pages."""
@@ -580,10 +583,15 @@ def _crop(image: bytes, box: clients.Box) -> tuple[bytes, int, int]:
     return image, int(box[2] - box[0]), int(box[3] - box[1])
 
 
+def _eight(page: Column) -> Column:
+    """The document of a page: eight pages each, so documents become more with the table."""
+    return F.floor(page / 8).cast("string").alias("doc_id")
+
+
 def _model_pages(spark: SparkSession, sf_dir: str, **more: object) -> DataFrame:
     """A page for each supplier: of four, three with text and a ruled table, one a scan."""
     k = F.col("s_suppkey").cast("int")
-    s = table(spark, sf_dir, "supplier").select(F.lit("d").alias("doc_id"), k.alias("page"))
+    s = table(spark, sf_dir, "supplier").select(_eight(k), k.alias("page"))
     own = s.where("page % 4 <> 3")
     at = lambda i, word, font, x, top: F.struct(F.lit(i).alias("seq"), word.alias("text"), F.lit(x).alias("x0"), F.lit(x + 30.0).alias("x1"), F.lit(top).alias("top"), F.lit(top + 10.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit(font).alias("fontname"))
     line = [at(0, F.lit("Bill"), "F", 50.0, 50.0), at(1, F.lit("Supplier"), "F", 50.0, 80.0), at(2, F.col("page").cast("string"), "F-Bold", 90.0, 80.0), at(3, F.lit("pays"), "F", 130.0, 80.0), at(4, F.lit("left"), "F", 105.0, 205.0), at(5, F.lit("right"), "F", 155.0, 205.0)]
@@ -591,7 +599,7 @@ def _model_pages(spark: SparkSession, sf_dir: str, **more: object) -> DataFrame:
     pages = s.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.when(F.col("page") % 4 == 3, 0).otherwise(90).alias("n_chars"))
     pictures = s.where("page % 4 = 3").select("doc_id", "page", F.lit(0).alias("seq"), F.lit(0.0).alias("x0"), F.lit(600.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(800.0).alias("bottom"), F.lit("scan").alias("name"))
     cells = own.select("doc_id", "page", F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.lit(100.0).alias("x0"), F.lit(200.0).alias("top"), F.lit(200.0).alias("x1"), F.lit(240.0).alias("bottom"))
-    docs = spark.createDataFrame([("d", b"")], "doc_id string, content binary")
+    docs = s.select("doc_id").distinct().withColumn("content", F.lit(b""))
     routes = pdf_layout.triage(words, pages, pictures, pdf_layout.table_boxes(cells))
     models = page_models.Models(lambda: _draw, PageReader, second=lambda: PageReader(True), detector=lambda: _detect, **more)
     rows, _ = page_models.model_blocks(docs, words, pages, pictures, cells, routes, models)
@@ -608,7 +616,7 @@ SELECT page, place::BIGINT AS place, type, text, level::BIGINT AS level, provena
 def model_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that a model reads: held to their text, to a second reader and a detector; marks from fonts; crops of what nothing confirms."""
     rows = B.top_level(_model_pages(spark, sf_dir))
-    place = F.row_number().over(Window.partitionBy("span.page").orderBy("ordinal")) - 1
+    place = F.row_number().over(Window.partitionBy("doc_id", "span.page").orderBy("ordinal")) - 1
     return rows.select(F.col("span.page").cast("long").alias("page"), place.cast("long").alias("place"), "type", "text", long("level"), "provenance", _runs().alias("runs"), "source_crop")
 
 
@@ -625,7 +633,7 @@ def structured_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM supplier, range(2) x(c), range(20) y(r)""")
 def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of two columns, found by the band between them; a line holds what is near its first word, not its last."""
-    s = table(spark, sf_dir, "supplier").select(F.lit("d").alias("doc_id"), F.col("s_suppkey").cast("int").alias("page"))
+    s = table(spark, sf_dir, "supplier").select(_eight(F.col("s_suppkey")), F.col("s_suppkey").cast("int").alias("page"))
     at = F.explode(F.sequence(F.lit(0), F.lit(79)))
     rows = s.withColumn("i", at).withColumns({"row": F.floor(F.col("i") / 8), "c": F.col("i") % 8})
     step = F.col("c") % 4
