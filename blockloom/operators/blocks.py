@@ -152,9 +152,9 @@ def blocks_json(blocks: DataFrame) -> DataFrame:
 
 
 def documents_json(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, json. docs: doc_id, source_path, fmt and optionally raw_sha256, mimetype, page_count, access_level, parser_version, metadata (JSON)."""
+    """doc_id, json. docs: doc_id, source_path, fmt, optionally metadata (JSON); other columns of docs are fields of the head too."""
     body = blocks_json(blocks).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "json"))).alias("parts"))
-    named = [c for c in ("raw_sha256", "mimetype", "page_count", "access_level", "parser_version") if c in docs.columns]
+    named = [c for c in docs.columns if c not in ("doc_id", "source_path", "fmt", "metadata", "content")]
     more = [F.parse_json("metadata").alias("metadata")] if "metadata" in docs.columns else []
     head = F.to_json(F.struct(F.lit(IR_VERSION).alias("ir_version"), "doc_id", "source_path", "fmt", *named, *more))
     joined = docs.join(body, "doc_id", "left")

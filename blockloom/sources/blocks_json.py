@@ -66,9 +66,13 @@ def decode(raw: bytes) -> list[ir.Node]:
     return [node(b, f"blocks[{i}]") for i, b in enumerate(blocks)]
 
 
-def read(docs: DataFrame, column: str = "json", with_errors: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, source_path, fmt and what else the head holds) and block rows of docs (doc_id, json)."""
+#: Fields of a document's head that are read unless others are asked for, and their types.
+HEAD = {"raw_sha256": "string", "mimetype": "string", "page_count": "int", "access_level": "string"}
+
+
+def read(docs: DataFrame, column: str = "json", with_errors: bool = False, fields: dict[str, str] = HEAD) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, source_path, fmt, scalar fields of the head, metadata) and block rows of docs (doc_id, json)."""
     v = F.try_parse_json(column)
     of = lambda name, kind="string": F.try_variant_get(v, f"$.{name}", kind).alias(name)
-    head = docs.select(F.coalesce(of("doc_id"), F.col("doc_id")).alias("doc_id"), of("source_path"), of("fmt"), of("raw_sha256"), of("mimetype"), of("page_count", "int"), of("access_level"), of("parser_version"), F.to_json(F.try_variant_get(v, "$.metadata", "variant")).alias("metadata"))
+    head = docs.select(F.coalesce(of("doc_id"), F.col("doc_id")).alias("doc_id"), of("source_path"), of("fmt"), *(of(name, kind) for name, kind in fields.items()), F.to_json(F.try_variant_get(v, "$.metadata", "variant")).alias("metadata"))
     return head, decoding.blocks(docs.select("doc_id", column), "json", "doc_id", column, with_errors=with_errors)
