@@ -4,7 +4,7 @@ Writing: rows are range-partitioned by key, then digest of the text, and sorted
 partitions; each partition is one shard, `shard-<n>.ids`: the ids of its texts one after
 another, each text closed by END_ID, as raw little-endian unsigned integers of 2 bytes (4 if
 the vocabulary needs them). Shard numbers follow the key order; there is one for about
-SHARD_BYTES of text, and a key of many rows spans several. A shard is written under a name
+SHARD_BYTES of text, SHARDS at most, and a key of many rows spans several. A shard is written under a name
 of its own attempt and then renamed, so a task that runs again leaves the same file.
 
 Index: keys hash to index parts of about PART_KEYS keys. A part is `part-<n>.npz`: a
@@ -49,6 +49,8 @@ END_ID = 0
 PART_KEYS = 1_000_000
 #: Bytes of a text that a shard holds, about.
 SHARD_BYTES = 32 << 20
+#: Shards of a store at most, so what is known of each shard stays small everywhere; beyond, shards hold more.
+SHARDS = 16_384
 #: Bytes of cuts and their ids that a worker remembers, and the cuts that wait to be merged.
 CACHE_BYTES = 40 << 20
 MERGE_AT = 100_000
@@ -216,7 +218,7 @@ class TokenStore:
         store.create_dir(root, recursive=True)
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
         volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        n = partitions or max(1, -(-volume // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, volume >> 20))
+        n = partitions or max(1, min(SHARDS, -(-volume // SHARD_BYTES)), min(spark.sparkContext.defaultParallelism, volume >> 20))
 
         def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -260,7 +262,7 @@ class TokenStore:
         manifest.write.parquet(f"{path}/written")
         manifest = spark.read.schema(manifest.schema).parquet(f"{path}/written")
 
-        # one row a shard: as many as partitions, however large the table
+        # one row a shard: SHARDS at most, however large the table
         ends = manifest.groupBy("shard").agg(
             F.sum("n").alias("ids"), F.count("*").alias("texts"), F.min_by("key", "offset").alias("first"),
             F.max_by(F.struct("key", "occurrence"), "offset").alias("last"),
