@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ir
@@ -133,3 +133,19 @@ def convert(
 def paired(docs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Each source file with its output, by document."""
     return docs.join(outputs, "doc_id")
+
+
+def convert_folder(spark: SparkSession, source: str, out: str, recursive: bool = True, **more: object) -> DataFrame:
+    """Converts every file below a folder into out (see convert) and writes what became of it, one row a file, to out/summary.
+
+    Rows: doc_id, source_path, fmt, status (converted, failed or unsupported), reason. Files that fail end nothing.
+    """
+    files = decode.read_files(spark, source, recursive)
+    known = files.where("fmt is not null")
+    made = convert(known, out, **more)
+    failed = made["errors"].groupBy("doc_id").agg(F.min("error").alias("reason"))
+    done = known.select("doc_id", "source_path", "fmt").join(failed, "doc_id", "left")
+    done = done.select("doc_id", "source_path", "fmt", F.when(F.col("reason").isNull(), "converted").otherwise("failed").alias("status"), "reason")
+    others = decode.unsupported(files).select("doc_id", "source_path", F.lit(None).cast("string").alias("fmt"), F.lit("unsupported").alias("status"), "reason")
+    done.unionByName(others).write.mode("overwrite").parquet(f"{out}/summary")
+    return spark.read.parquet(f"{out}/summary")
