@@ -111,12 +111,14 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+#: By first letter, so that a word that can't be one of them is told by few comparisons.
+_FIRST = sorted({w[0] for w in DIGIT_WORDS})
+_WORDS = "|".join(f"{c}(?:{'|'.join(w[1:] for w in sorted(DIGIT_WORDS, key=len, reverse=True) if w[0] == c)})" for c in _FIRST)
 _TOKEN = rf"(?:(?:{_WORDS})(?![^\W\d_])|[0-9])"
 _POINT = r"(?:[ ]?(?:dot|point|punkt|punto)[ ]|[ ]?\.[ ]?)"
 _OCTET = rf"{_TOKEN}(?:(?:[ -]{{1,2}}|(?<=[0-9])(?=[0-9])){_TOKEN}){{0,2}}"
 #: Two digits or more, spelled or figures, with what may stand between them, or four with three dots.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?P<plus>plus|\+)[ -]?)?(?:[(]?{_TOKEN}(?:(?:[ ,()-]{{1,3}}|(?<=[0-9])(?=[0-9])|{_POINT}){_TOKEN})+|{_OCTET}(?:{_POINT}{_OCTET}){{3,}})", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<![^\W_])(?=[(+0-9p{''.join(_FIRST)}])(?=(?:plus[ -]?|\+[ -]?)?[(]?{_TOKEN})(?:(?P<plus>plus|\+)[ -]?)?(?:[(]?{_TOKEN}(?:(?:[ ,()-]{{1,3}}|(?<=[0-9])(?=[0-9])|{_POINT}){_TOKEN})+|{_OCTET}(?:{_POINT}{_OCTET}){{3,}})", re.IGNORECASE)
 _WORD = re.compile(rf"(?P<plus>plus)|(?P<dot>dot|point|punkt|punto|\.)|(?P<digit>{_WORDS}|[0-9])", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9._%+-]"
 _AT = re.compile(rf"(?<={_NAME})[ ]*(?:[(\[{{<][ ]*(?:at|@|arroba|ät|chez)[ ]*[)\]}}>]|[(\[{{<]a[)\]}}>](?=[A-Za-z0-9-]+\.[A-Za-z])|[ ](?:at|arroba)[ ](?=[ ]*[A-Za-z0-9-]+(?:\.|[ ]*[(\[{{<][ ]*(?:dot|punkt|punto|point|\.)|[ ](?:dot|punkt|punto|point)[ ]))|[ ]@[ ]?|@[ ])[ ]*(?=[A-Za-z0-9])", re.IGNORECASE)
@@ -178,13 +180,15 @@ class Traced:
         return Traced("".join(chars), start, end)
 
     def replaced(self, pattern: re.Pattern[str], by) -> Traced:
-        """by(match): pieces (text, from, to) that stand for the match; a piece's characters take its whole span."""
+        """by(match): pieces (text, from, to) that stand for the match, or None if it stays; a piece's characters take its whole span."""
         chars, start, end, done = [], [], [], 0
         for m in pattern.finditer(self.text):
+            if (pieces := by(m)) is None:
+                continue
             chars.append(self.text[done : m.start()])
             start += self.start[done : m.start()]
             end += self.end[done : m.start()]
-            for piece, a, b in by(m):
+            for piece, a, b in pieces:
                 chars.append(piece)
                 start += [self.start[a]] * len(piece)
                 end += [self.end[b - 1]] * len(piece)
@@ -207,19 +211,14 @@ def _as_digits(m: re.Match[str]) -> Iterator[tuple[str, int, int]]:
             yield ".", a, b
 
 
-def _spelled(m: re.Match[str]) -> list[tuple[str, int, int]]:
+def _spelled(m: re.Match[str]) -> list[tuple[str, int, int]] | None:
     body, at = m[0], m.start()
     if not any(c.isalpha() for c in body.replace("plus", "")):
-        return _same(body, at)  # figures only
+        return None  # figures only
     return [("+", at, at + 1)] * body.startswith("+") + list(_as_digits(m))
 
 
-def _same(body: str, at: int) -> list[tuple[str, int, int]]:
-    """Text as it is."""
-    return [(c, i, i + 1) for i, c in enumerate(body, at)]
-
-
-def _as_at(m: re.Match[str]) -> list[tuple[str, int, int]]:
+def _as_at(m: re.Match[str]) -> list[tuple[str, int, int]] | None:
     """A bare `at` counts only beside a disguised dot, after a word for mail or a name with a digit or sign, or between a name that isn't a common word and a host in small letters: prose has it too."""
     body, text = m[0], m.string
     if body.strip().lower() == "at" and not _DOTTED.match(text, m.end()):
@@ -227,7 +226,7 @@ def _as_at(m: re.Match[str]) -> list[tuple[str, int, int]]:
         name = _LAST.search(before)[0]
         plain = not any(c in "0123456789._%+" for c in name) and not _MAIL.search(before)
         if plain and (name.lower() in BEFORE_AT or not _HOST.match(text, m.end())):
-            return _same(body, m.start())
+            return None
     return [("@", m.start(), m.end())]
 
 
