@@ -194,3 +194,36 @@ def test_stream(spark, tmp_path):
     files = ingest.arriving(spark, str(tmp_path / "in"))
     ingest.start(files, str(tmp_path / "out"), str(tmp_path / "ck"), formats=("markdown",)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "blocks")).count() == 1
+
+
+def test_words_meet_boxes_by_bins(spark):
+    """Against all pairs of a page, with edges, boxes beyond the grid, empty and missing ones; candidates are few."""
+    import random
+
+    from blockloom.operators import pdf_layout
+
+    rng = random.Random(6)
+    spot = lambda: rng.choice([-20.0, 0.0, 50.0, 100.0, 3999.0, 5000.0, float(rng.randrange(0, 700)), rng.random() * 700])
+    words, boxes = [], []
+    for i in range(600):
+        x, y = spot(), spot()
+        words.append(("d", i % 3, i, x - 1, x + 1, y - 1, y + 1, f"w{i}"))
+    for i in range(120):
+        x, y = spot(), spot()
+        boxes.append(("d", i % 4, i, x, x + rng.choice([0.0, -5.0, 50.0, 400.0, 9000.0]), y, y + rng.choice([10.0, 50.0, 300.0])))
+    boxes.append(("d", 0, 999, None, None, None, None))
+    w = spark.createDataFrame(words, "doc_id string, page int, seq int, x0 double, x1 double, top double, bottom double, text string")
+    b = spark.createDataFrame(boxes, "doc_id string, page int, table_no int, x0 double, x1 double, top double, bottom double")
+    centre = lambda r: ((r[3] + r[4]) / 2, (r[5] + r[6]) / 2)
+    want = {}
+    for _, page, no, x0, x1, top, bottom in boxes:
+        inside = [r for r in words if x0 is not None and r[1] == page and x0 <= centre(r)[0] < x1 and top <= centre(r)[1] < bottom]
+        want[no] = " ".join(r[7] for r in sorted(inside, key=lambda r: (r[5], r[3], r[7])))
+    assert {r.table_no: r.text for r in pdf_layout.words_in_boxes(w, b, ["table_no"]).collect()} == want
+    out = {r[2] for r in words if not any(x0 is not None and page == r[1] and x0 <= centre(r)[0] <= x1 and top <= centre(r)[1] <= bottom for _, page, _, x0, x1, top, bottom in boxes)}
+    assert {r.seq for r in pdf_layout.outside_tables(w, b).collect()} == out
+
+    cells = spark.range(2000).selectExpr("'d' doc_id", "0 page", "cast(id as int) table_no", "id % 40 * 10.0D x0", "id % 40 * 10.0D + 10 x1", "id div 40 * 10.0D top", "id div 40 * 10.0D + 10 bottom")
+    grid = spark.range(400).selectExpr("'d' doc_id", "0 page", "cast(id as int) seq", "id * 7 % 400 + 0.25D x0", "id * 7 % 400 + 0.75D x1", "id * 11 % 500 + 0.25D top", "id * 11 % 500 + 0.75D bottom", "'w' text")
+    candidates = pdf_layout.binned(grid).join(pdf_layout.box_index(cells, ["table_no"]), ["doc_id", "page", "_across", "_down"]).count()
+    assert candidates <= 400 * 36
