@@ -9,6 +9,7 @@ if only an empty one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -53,6 +54,11 @@ def run(text: str, marks: list[str] | None = None, link: str | None = None) -> N
     return {"text": text, "marks": list(marks or ()), "link": link}
 
 
+def locator(**parts: Any) -> str:
+    """Where a picture's bytes are, as JSON in one spelling: keys in order, no white space."""
+    return json.dumps(parts, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def tidy_runs(runs: list[Node]) -> list[Node]:
     """Without empty runs, equal neighbours joined, and the outer white space of the first and last run stripped."""
     out: list[Node] = []

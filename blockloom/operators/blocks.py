@@ -166,13 +166,25 @@ def validate(docs: DataFrame, json: str = "json") -> DataFrame:
     return docs.select("doc_id", fault_of(json).alias("fault")).where("fault is not null").select("doc_id", "fault.path", "fault.reason")
 
 
+def head_fault(v: Column) -> Column:
+    """Path and reason why a parsed document can't be read whatever its blocks are: the version gate, required fields, a list of blocks."""
+    version = F.schema_of_variant(F.try_variant_get(v, "$.ir_version", "variant"))
+    absent = lambda name: F.try_variant_get(v, f"$.{name}", "variant").isNull() | F.is_variant_null(F.try_variant_get(v, f"$.{name}", "variant"))
+    missing = lambda name: F.when(absent(name), F.struct(F.lit("<root>").alias("path"), F.lit(f"required field '{name}' missing").alias("reason")))
+    fault = lambda path, reason: F.struct(F.lit(path).alias("path"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
+    number = F.try_variant_get(v, "$.ir_version", "bigint")
+    return F.coalesce(
+        F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), fault("<root>", "expected an object")),
+        F.when(version.isNotNull() & ~version.isin("BIGINT", "BOOLEAN", "VOID"), fault("ir_version", F.concat(F.lit("expected an int, got "), F.lower(version)))),
+        F.when(number > IR_VERSION, fault("ir_version", F.concat(F.lit("file is IR v"), number.cast("string"), F.lit(f", this reader supports up to v{IR_VERSION}")))),
+        missing("doc_id"), missing("source_path"), missing("fmt"),
+        F.when(~absent("blocks") & F.try_variant_get(v, "$.blocks", "array<variant>").isNull(), fault("blocks", "expected a list")),
+    )
+
+
 def fault_of(json: str = "json") -> Column:
     """Path and reason why a document can't be read, null if it can: the version gate, required fields, block types and ids."""
     v = F.try_parse_json(json)
-    get = lambda path, kind="string": F.try_variant_get(v, path, kind)
-    version = F.schema_of_variant(F.try_variant_get(v, "$.ir_version", "variant"))
-    missing = lambda name: F.when(F.try_variant_get(v, f"$.{name}", "variant").isNull(), F.struct(F.lit("<root>").alias("path"), F.lit(f"required field '{name}' missing").alias("reason")))
-    fault = lambda path, reason: F.struct(F.lit(path).alias("path"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
     listed = F.try_variant_get(v, "$.blocks", "array<variant>")
     of = lambda b, name: F.try_variant_get(b, f"$.{name}", "string")
 
@@ -188,14 +200,7 @@ def fault_of(json: str = "json") -> Column:
         )
 
     faults = F.filter(F.transform(listed, block), lambda x: x.isNotNull())
-    return F.coalesce(
-        F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), fault("<root>", "expected an object")),
-        F.when(version.isNotNull() & ~version.isin("BIGINT", "BOOLEAN", "VOID"), fault("ir_version", F.concat(F.lit("expected an int, got "), F.lower(version)))),
-        F.when(get("$.ir_version", "bigint") > IR_VERSION, fault("ir_version", F.concat(F.lit("file is IR v"), get("$.ir_version"), F.lit(f", this reader supports up to v{IR_VERSION}")))),
-        missing("doc_id"), missing("source_path"), missing("fmt"),
-        F.when(F.try_variant_get(v, "$.blocks", "variant").isNotNull() & listed.isNull(), fault("blocks", "expected a list")),
-        F.try_element_at(faults, F.lit(1)),
-    )
+    return F.coalesce(head_fault(v), F.try_element_at(faults, F.lit(1)))
 
 
 def check_invariants(blocks: DataFrame) -> DataFrame:

@@ -1,69 +1,166 @@
-"""Documents as JSON back to block nodes, also of older versions whose cells are strings."""
+"""Documents as JSON back to block rows, also of older versions whose cells are strings.
 
-from __future__ import annotations
+A document is parsed once, as a variant, and its blocks are unfolded table level by table
+level inside its row: what a level's tables hold is the next level's work. Each block
+carries its path, the numbers on the way to it, whose order is the order of the rows. No
+shuffle, no job before the reader's own action, no Python, and no limit on levels but the
+JSON parser's own.
+"""
 
-import json
-from typing import Any
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ir
-from . import decode as decoding
-
-#: Fields that a block's node takes over as they are.
-_PLAIN = tuple(c for c in ir.COLUMNS if c not in ("doc_id", "ordinal", "uid", "parent_uid", "cell_row", "cell_col", "cell_pos", "n_rows", "n_cols", "merges", "null_slots", "locator", "runs", "signals"))
-
-
-def _need(data: Any, name: str, path: str) -> Any:
-    if not isinstance(data, dict):
-        raise ValueError(f"{path}: expected an object")
-    if data.get(name) is None:
-        raise ValueError(f"{path}: required field '{name}' missing")
-    return data[name]
-
-
-def cell(data: Any, path: str) -> list[ir.Node] | None:
-    """A table's slot: null, a string (version 1), or an object with blocks."""
-    if data is None or isinstance(data, str):
-        return ir.text_cell(data)
-    return [node(b, f"{path}.blocks[{i}]", inner=True) for i, b in enumerate(_need(data, "blocks", path))]
-
-
-def node(data: Any, path: str, inner: bool = False) -> ir.Node:
-    kind = _need(data, "type", path)
-    if kind not in ir.BLOCK_TYPES:
-        raise ValueError(f"{path}.type: unknown block type '{kind}'")
-    out = {k: data[k] for k in _PLAIN if data.get(k) is not None}
-    if not inner:
-        _need(data, "id", path)
-    if data.get("runs"):
-        out["runs"] = [ir.run(r["text"], r.get("marks"), r.get("link")) for r in data["runs"]]
-    if data.get("locator") is not None:
-        out["locator"] = json.dumps(data["locator"])
-    if kind == "table":
-        table = _need(data, "table", path)
-        rows = [[cell(c, f"{path}.table.cells[{r}][{k}]") for k, c in enumerate(row)] for r, row in enumerate(table.get("cells") or [])]
-        merges = [tuple(m.get(k, 1 if "span" in k else None) for k in ("row", "col", "rowspan", "colspan")) for m in table.get("merges") or []]
-        out |= ir.table_block(rows, int(_need(table, "n_cols", path)), merges)
-        out["n_rows"] = int(_need(table, "n_rows", path))
-    return out
-
-
-def decode(raw: bytes) -> list[ir.Node]:
-    """Block nodes of a document; a fault is a ValueError with its path."""
-    data = json.loads(raw)
-    for name in ("doc_id", "source_path", "fmt"):
-        _need(data, name, "<root>")
-    version = data.get("ir_version", 1)
-    if not isinstance(version, int):
-        raise ValueError(f"ir_version: expected an int, got {type(version).__name__}")
-    if version > ir.IR_VERSION:
-        raise ValueError(f"ir_version: file is IR v{version}, this reader supports up to v{ir.IR_VERSION}")
-    blocks = data.get("blocks") or []
-    if not isinstance(blocks, list):
-        raise ValueError("blocks: expected a list")
-    return [node(b, f"blocks[{i}]") for i, b in enumerate(blocks)]
+from ..functions.columns import let
+from ..operators import blocks as B
+
+#: Fields that a block's row takes over as they are.
+_PLAIN = tuple(c for c in ir.COLUMNS if c not in ("doc_id", "ordinal", "uid", "parent_uid", "cell_row", "cell_col", "cell_pos", "id", "n_rows", "n_cols", "merges", "null_slots", "locator", "runs", "signals"))
+_TABLE = f"struct<n_rows:int,n_cols:int,cells:array<array<variant>>,merges:{ir.COLUMNS['merges']}>"
+_BLOCK = "struct<" + ",".join(f"{c}:{ir.COLUMNS[c]}" for c in (*_PLAIN, "id", "runs")) + f",locator:variant,table:{_TABLE}>"
+_NODES = "array<struct<b:variant,path:array<int>>>"
+#: Fields whose values have to be of their type; any scalar will do for a string.
+_TYPED = tuple(c for c in (*_PLAIN, "runs") if ir.COLUMNS[c] != "string")
+
+
+def _at(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _absent(v: Column) -> Column:
+    """Neither a missing field nor JSON's null says anything."""
+    return v.isNull() | F.is_variant_null(v)
+
+
+def _object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _string(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def _or_empty(found: Column, kind: str) -> Column:
+    return F.coalesce(found, F.array().cast(kind))
+
+
+def _cells(b: Column) -> Column:
+    return _or_empty(F.when(_at(b, "$.type", "string") == "table", _at(b, "$.table.cells", "array<array<variant>>")), "array<array<variant>>")
+
+
+def _inside(slot: Column) -> Column:
+    """The blocks of a table's slot: null, a string (version 1), or an object with blocks."""
+    said = slot.cast("string")
+    alone = F.array(F.to_variant_object(F.struct(F.lit("paragraph").alias("type"), said.alias("text"))))
+    return _or_empty(F.when(_string(slot), F.when(said != "", alone)).when(_object(slot), _at(slot, "$.blocks", "array<variant>")), "array<variant>")
+
+
+def _below(node: Column) -> Column:
+    """The nodes one level below a node."""
+    block = lambda r, c: lambda b, k: F.struct(b.alias("b"), F.concat(node["path"], F.array(r, c, k)).alias("path"))
+    row = lambda line, r: F.flatten(F.transform(_or_empty(line, "array<variant>"), lambda slot, c: F.transform(_inside(slot), block(r, c))))
+    return F.flatten(F.transform(_cells(node["b"]), row))
+
+
+def _levels(json: str) -> Column:
+    """At least as many as tables lie in each other: a level opens three brackets (cells, row, blocks)."""
+    plain = F.regexp_replace(F.regexp_replace(json, r"(?s)\\.", ""), r'"[^"]*"', "")
+    open_now = lambda acc, c: acc["now"] + F.when(c == "[", F.lit(1)).otherwise(F.lit(-1))
+    deepest = F.aggregate(
+        F.split(F.regexp_replace(plain, r"[^\[\]]+", ""), "(?!^)"), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
+        lambda acc, c: F.struct(open_now(acc, c).alias("now"), F.greatest(acc["top"], open_now(acc, c)).alias("top")), lambda acc: acc["top"],
+    )
+    return (deepest / 3).cast("int")
+
+
+def _nodes(v: Column, json: str) -> Column:
+    """All nodes of a document, (b, path), in the order of their rows."""
+    top = F.transform(_or_empty(_at(v, "$.blocks", "array<variant>"), "array<variant>"), lambda b, i: F.struct(b.alias("b"), F.array(i).alias("path")))
+    start = F.struct(F.array().cast(_NODES).alias("done"), top.alias("todo")).cast(f"struct<done:{_NODES},todo:{_NODES}>")
+    turn = lambda acc, _: F.when(F.size(acc["todo"]) == 0, acc).otherwise(F.struct(F.concat(acc["done"], acc["todo"]).alias("done"), F.flatten(F.transform(acc["todo"], _below)).alias("todo")))
+    every = F.aggregate(F.sequence(F.lit(0), _levels(json) + 1), start, turn, lambda acc: acc["done"])
+    order = lambda nodes: F.array_sort(F.transform(nodes, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i"))))
+    return let(every, lambda nodes: F.transform(order(nodes), lambda o: nodes[o["i"]]))
+
+
+def _steps(path: Column, one) -> Column:
+    """The text of the steps below a top-level block."""
+    return F.when(F.size(path) > 1, F.array_join(F.transform(F.sequence(F.lit(1), F.size(path) - 3, F.lit(3)), lambda i: one(*(F.get(path, i + k).cast("string") for k in range(3)))), "")).otherwise("")
+
+
+def _uid(path: Column) -> Column:
+    return F.concat(F.lit("b"), F.get(path, F.lit(0)).cast("string"), _steps(path, lambda r, c, k: F.concat(F.lit("/"), r, F.lit("."), c, F.lit("."), k)))
+
+
+def _where(path: Column) -> Column:
+    return F.concat(F.lit("blocks["), F.get(path, F.lit(0)).cast("string"), F.lit("]"), _steps(path, lambda r, c, k: F.concat(F.lit(".table.cells["), r, F.lit("]["), c, F.lit("].blocks["), k, F.lit("]"))))
+
+
+def _fault(node: Column) -> Column:
+    """Path and reason why a block can't be read; null if it can."""
+    b, path = node["b"], node["path"]
+    need = lambda name, v: F.when(_absent(_at(v, f"$.{name}")), F.lit(f": required field '{name}' missing"))
+    wrong = lambda name, v, kind, of="": F.when(_at(v, f"$.{name}", kind).isNull() & ~_absent(_at(v, f"$.{name}")), F.lit(f"{of}.{name}: expected {kind.split('<')[0].replace('array', 'a list')}"))
+    kind = _at(b, "$.type", "string")
+    runs = _or_empty(_at(b, "$.runs", ir.COLUMNS["runs"]), ir.COLUMNS["runs"])
+
+    def in_table(table: Column) -> Column:
+        in_slot = lambda x: F.when(~_absent(x) & ~_string(x), F.when(~_object(x), F.lit(": expected an object")).otherwise(F.coalesce(need("blocks", x), wrong("blocks", x, "array<variant>"))))
+        in_row = lambda line, r: F.when(line.isNull(), F.array(F.concat(r.cast("string"), F.lit("]: expected a list")))).otherwise(F.transform(line, lambda x, c: F.concat(r.cast("string"), F.lit("]["), c.cast("string"), F.lit("]"), in_slot(x))))
+        rows = F.filter(F.flatten(F.transform(_cells(b), in_row)), lambda x: x.isNotNull())
+        return F.coalesce(
+            F.when(~_object(table), F.lit(".table: expected an object")), need("n_rows", table), need("n_cols", table),
+            *[wrong(*x, of=".table") for x in (("n_rows", table, "int"), ("n_cols", table, "int"), ("cells", table, "array<variant>"))], F.concat(F.lit(".table.cells["), F.try_element_at(rows, F.lit(1))),
+        )
+
+    reason = F.coalesce(
+        F.when(~_object(b), F.lit(": expected an object")),
+        need("type", b),
+        F.when(~F.coalesce(kind.isin(*ir.BLOCK_TYPES), F.lit(False)), F.concat(F.lit(".type: unknown block type '"), F.coalesce(kind, F.lit("")), F.lit("'"))),
+        F.when(F.size(path) == 1, need("id", b)),
+        *[wrong(c, b, ir.COLUMNS[c]) for c in _TYPED],
+        F.when(F.exists(runs, lambda r: r["text"].isNull()), F.lit(".runs: required field 'text' missing")),
+        F.when(kind == "table", F.coalesce(need("table", b), in_table(_at(b, "$.table")))),
+    )
+    return F.when(reason.isNotNull(), F.concat(_where(path), reason))
+
+
+def blocks(docs: DataFrame, column: str = "json", with_errors: bool = False) -> DataFrame:
+    """Block rows of docs (doc_id, json), in the order of the document, nested blocks after their table.
+
+    A document without text gives no rows; one that can't be read ends the job with its path and reason, or, with_errors,
+    gives one row with them in a column error. What isn't one JSON object, has a key twice or is too large for a variant
+    can't be read. Fields of other names are passed over.
+    """
+    rows = docs.where(F.col(column).isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col(column).cast("string").alias("json"))
+    rows = rows.withColumn("v", F.try_parse_json("json")).withColumn("nodes", _nodes(F.col("v"), "json"))
+    head = B.head_fault(F.col("v"))
+    first = F.try_element_at(F.filter(F.transform("nodes", _fault), lambda x: x.isNotNull()), F.lit(1))
+    rows = rows.select("doc_id", "nodes", F.coalesce(F.concat(head["path"], F.lit(": "), head["reason"]), first).alias("error"))
+    if not with_errors:
+        ended = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("document '"), F.col("doc_id"), F.lit("': "), F.col("error"))).cast(_NODES))
+        rows = rows.withColumn("nodes", F.coalesce(ended, F.col("nodes")))
+    else:
+        rows = rows.withColumn("nodes", F.when(F.col("error").isNull(), F.col("nodes")).otherwise(F.array(F.lit(None)).cast(_NODES)))
+    rows = rows.select("doc_id", "error", F.posexplode("nodes").alias("at", "node")).withColumn("x", _at(F.col("node.b"), "$", _BLOCK))
+
+    path, x, table = F.col("node.path"), F.col("x"), F.col("x.table")
+    nested, is_table = F.size(path) > 1, F.col("x.type") == "table"
+    runs = F.when(F.size(x["runs"]) > 0, F.transform(x["runs"], lambda r: F.struct(r["text"].alias("text"), F.coalesce(r["marks"], F.array().cast("array<string>")).alias("marks"), r["link"].alias("link"))))
+    merges = F.transform(table["merges"], lambda m: F.struct(m["row"].alias("row"), m["col"].alias("col"), F.coalesce(m["rowspan"], F.lit(1)).alias("rowspan"), F.coalesce(m["colspan"], F.lit(1)).alias("colspan")))
+    slots = F.flatten(F.transform(table["cells"], lambda line, r: F.filter(F.transform(line, lambda s, c: F.when(_absent(s), F.struct(r.alias("row"), c.alias("col")))), lambda s: s.isNotNull())))
+    made = {c: x[c] for c in _PLAIN} | {
+        "doc_id": F.col("doc_id"), "ordinal": F.when(F.col("error").isNull(), F.col("at")), "uid": _uid(path), "parent_uid": F.when(nested, _uid(F.slice(path, 1, F.size(path) - 3))),
+        **{name: F.when(nested, F.get(path, F.size(path) - 3 + k)) for k, name in enumerate(("cell_row", "cell_col", "cell_pos"))},
+        "id": F.when(nested, F.lit("")).when(x["id"] != "", x["id"]).otherwise(_uid(path)), "runs": runs,
+        "locator": F.when(~_absent(x["locator"]), F.to_json(x["locator"])),
+        "n_rows": F.when(is_table, table["n_rows"]), "n_cols": F.when(is_table, table["n_cols"]),
+        "merges": F.when(is_table, _or_empty(merges, ir.COLUMNS["merges"])), "null_slots": F.when(is_table, _or_empty(slots, ir.COLUMNS["null_slots"])),
+        "signals": F.lit(None),
+    }
+    return rows.select(*[made[c].cast(kind).alias(c) for c, kind in ir.COLUMNS.items()], *(["error"] if with_errors else []))
 
 
 #: Fields of a document's head that are read unless others are asked for, and their types.
@@ -75,4 +172,4 @@ def read(docs: DataFrame, column: str = "json", with_errors: bool = False, field
     v = F.try_parse_json(column)
     of = lambda name, kind="string": F.try_variant_get(v, f"$.{name}", kind).alias(name)
     head = docs.select(F.coalesce(of("doc_id"), F.col("doc_id")).alias("doc_id"), of("source_path"), of("fmt"), *(of(name, kind) for name, kind in fields.items()), F.to_json(F.try_variant_get(v, "$.metadata", "variant")).alias("metadata"))
-    return head, decoding.blocks(docs.select("doc_id", column), "json", "doc_id", column, with_errors=with_errors)
+    return head, blocks(docs.select("doc_id", column), column, with_errors)

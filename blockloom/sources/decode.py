@@ -54,8 +54,6 @@ def decoder_for(fmt: str) -> Decoder:
         from . import pptx as found
     elif fmt == "xlsx":
         from . import xlsx as found
-    elif fmt == "json":
-        from . import blocks_json as found
     else:
         raise ValueError(f"no decoder for format {fmt!r}")
     return found.decode

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 
-from ..ir import Node, has_marks, run, table_block, text_block, tidy_runs
+from ..ir import Node, has_marks, locator, run, table_block, text_block, tidy_runs
 from .html import IMAGE_MARKER, only_markers
 from .ooxml import Element, Package, byte_ranges, q, value
 
@@ -109,7 +109,7 @@ class Docx:
                 self.images += 1
                 runs.append(run(f"<image{self.images}>"))
                 part = self.relations.get(rid, (None, None))[1]
-                images.append({"type": "image", "image_index": self.images, "locator": json.dumps({"part": part or "?"}), "mime": self.package.media_type(part) if part else None})
+                images.append({"type": "image", "image_index": self.images, "locator": locator(part=part or "?"), "mime": self.package.media_type(part) if part else None})
 
         todo: list[tuple[Element, list[str]]] = [(x, []) for x in reversed(p)]
         while todo:

@@ -6,11 +6,10 @@ Precedence: fence, heading, pipe table, underlined heading, list, paragraph.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 
-from ..ir import Node, run, table_block, text_block, tidy_runs
+from ..ir import Node, locator, run, table_block, text_block, tidy_runs
 from .html import only_markers
 
 # The grammar of lines and of inline constructs.
@@ -170,7 +169,7 @@ class MarkdownFold:
 
         def marker(m: re.Match[str]) -> str:
             self.images += 1
-            to.append({"type": "image", "image_index": self.images, "locator": json.dumps({"src": m[2]}, ensure_ascii=False), "alt_text": m[1] or None, "span": span(m)})
+            to.append({"type": "image", "image_index": self.images, "locator": locator(src=m[2]), "alt_text": m[1] or None, "span": span(m)})
             return f"<image{self.images}>"
 
         return IMAGE.sub(marker, text)

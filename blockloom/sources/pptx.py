@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from ..ir import Node, run, table_block, text_block, text_cell, tidy_runs
+from ..ir import Node, locator, run, table_block, text_block, text_cell, tidy_runs
 from .ooxml import Element, Package, q
 
 MAIN = "ppt/presentation.xml"
@@ -146,7 +146,7 @@ class Pptx:
         self.images += 1
         blip = next(shape.iter(q("a:blip")), None)
         part = rels.get(blip.get(q("r:embed")), (None, None))[1] if blip is not None else None
-        return {"type": "image", "image_index": self.images, "locator": json.dumps({"part": part} if part else {}), "mime": self.package.media_type(part) if part else None, "alt_text": alt}
+        return {"type": "image", "image_index": self.images, "locator": locator(**({"part": part} if part else {})), "mime": self.package.media_type(part) if part else None, "alt_text": alt}
 
     def preview(self, shape: Element, data: Element, rels: dict[str, tuple[str, str]]) -> list[Node]:
         """The picture that stands for an embedded object, if it has one."""

@@ -7,11 +7,10 @@ dates by the number format of their cell.
 from __future__ import annotations
 
 import datetime
-import json
 import posixpath
 import re
 
-from ..ir import Node, table_block, text_block, text_cell
+from ..ir import Node, locator, table_block, text_block, text_cell
 from .ooxml import MEDIA, Element, Package, element_range, number_in, q
 
 MAIN = "xl/workbook.xml"
@@ -99,7 +98,7 @@ class Xlsx:
                 continue
             media = rels[embed][1]
             at = {f"anchor_{k}": int(x) for k in ("row", "col") if (x := anchor.findtext(f"{q('xdr:from')}/{q(f'xdr:{k}')}"))}
-            out.append({"locator": json.dumps({"part": media, **at}), "mime": MEDIA.get(posixpath.splitext(media)[1].lower())})
+            out.append({"locator": locator(part=media, **at), "mime": MEDIA.get(posixpath.splitext(media)[1].lower())})
         return out
 
     def sheet(self, root: Element, epoch: datetime.datetime) -> tuple[list[list[str | None]], list[tuple[int, int, int, int]]]:
