@@ -16,7 +16,7 @@ from .functions import columns as C
 from .operators import blocks as B
 from .operators import headings, pdf_layout, render
 from .scratch import settled
-from .sources import decode
+from .sources import blocks_json, decode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -412,6 +412,15 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.agg(F.count("*").alias("documents"), F.count(B.fault_of()).alias("faults"))
 
 
+@query(ORACLES["html_blocks"])
+def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered text blocks of every page that went through JSON and back."""
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.coalesce("url", F.lit("")).alias("source_path"), F.lit("html").alias("fmt"))
+    rows = B.top_level(blocks_json.blocks(B.documents_json(docs, settled(pages(spark, sf_dir))))).where("type in ('heading', 'paragraph')")
+    order = Window.partitionBy("doc_id").orderBy("ordinal")
+    return rows.select(F.col("doc_id").cast("long").alias("page_id"), (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "text")
+
+
 _BAD = (
     ("no id", '{"doc_id":"d","source_path":"p","fmt":"html","blocks":[{"type":"heading","id":"b0"},{"type":"heading"}]}', "blocks[1]", "required field 'id' missing"),
     ("no type", '{"doc_id":"d","source_path":"p","fmt":"html","blocks":[{}]}', "blocks[0]", "required field 'type' missing"),
