@@ -131,8 +131,8 @@ def blocks(docs: DataFrame, column: str = "json", with_errors: bool = False) ->
     """Block rows of docs (doc_id, json), in the order of the document, nested blocks after their table.
 
     A document without text gives no rows; one that can't be read ends the job with its path and reason, or, with_errors,
-    gives one row with them in a column error. What isn't one JSON object, has a key twice or is too large for a variant
-    can't be read. Fields of other names are passed over.
+    gives one row with them in a column error. What isn't one JSON object, has a key twice, is too large for a variant
+    or holds one string that is too long for the JVM's JSON parser (about 20 million characters) can't be read. Fields of other names are passed over.
     """
     rows = docs.where(F.col(column).isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col(column).cast("string").alias("json"))
     rows = rows.withColumn("v", F.try_parse_json("json")).withColumn("nodes", _nodes(F.col("v"), "json"))
