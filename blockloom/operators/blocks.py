@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..ir import BLOCK_TYPES, IR_VERSION
+from .nesting import fold_tables
 
 
 def top_level(blocks: DataFrame, kind: str | None = None) -> DataFrame:
@@ -117,7 +118,7 @@ def is_empty_table() -> Column:
 
 # Documents as JSON
 
-def block_json(inner: Column | None = None) -> Column:
+def block_json() -> Column:
     """A block without nested content as JSON; absent fields are left out."""
     runs = F.when(F.size("runs") > 0, F.transform("runs", lambda r: F.struct(r["text"].alias("text"), r["marks"].alias("marks"), F.when(r["link"] != "", r["link"]).alias("link"))))
     text = F.when(F.col("type").isin("heading", "paragraph", "code"), F.coalesce("text", F.lit("")))
@@ -127,28 +128,24 @@ def block_json(inner: Column | None = None) -> Column:
         runs.alias("runs"), "language", "table_description", "describe_status", "describe_attempts", "image_index", F.parse_json("locator").alias("locator"),
         "alt_text", "image_id", "ocr_text", "ocr_meaningful", "mime", "width", "height",
     ]
-    flat = F.to_json(F.struct(*fields))
-    return flat if inner is None else F.when(F.col("type") == "table", F.concat(F.regexp_replace(flat, r"\}$", ""), F.lit(',"table":'), inner, F.lit("}"))).otherwise(flat)
+    return F.to_json(F.struct(*fields))
 
 
 def blocks_json(blocks: DataFrame) -> DataFrame:
-    """doc_id, ordinal, json of top-level blocks, with the cells of tables inside them, from the inside out."""
-    rows = blocks.withColumn("depth", F.size(F.split("uid", "/")) - 1)
-    deepest = rows.where("type = 'table'").agg(F.max("depth")).first()[0]
-    done = rows.where("type <> 'table'").withColumn("json", block_json())
-    for level in range(-1 if deepest is None else deepest, -1, -1):
-        cells = done.where(F.col("depth") == level + 1).groupBy("doc_id", "parent_uid", "cell_row", "cell_col").agg(F.sort_array(F.collect_list(F.struct("cell_pos", "json"))).alias("parts"))
-        cells = cells.select("doc_id", F.col("parent_uid").alias("uid"), F.struct(F.col("cell_row").alias("r"), F.col("cell_col").alias("c")).alias("at"), F.concat(F.lit('{"blocks":['), F.array_join(F.transform("parts", lambda p: p["json"]), ","), F.lit("]}")).alias("cell"))
-        listed = cells.groupBy("doc_id", "uid").agg(F.map_from_entries(F.collect_list(F.struct("at", "cell"))).alias("found"))
-        part = rows.where((F.col("type") == "table") & (F.col("depth") == level)).join(listed, ["doc_id", "uid"], "left")
-        none = lambda r, c: F.exists("null_slots", lambda s: (s["row"] == r) & (s["col"] == c))
-        upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-        slot = lambda r, c: F.when(none(r, c), F.lit("null")).otherwise(F.coalesce(F.try_element_at("found", F.struct(r.alias("r"), c.alias("c"))), F.lit('{"blocks":[]}')))  # noqa: E731, B023
-        grid = F.transform(upto("n_rows"), lambda r: F.concat(F.lit("["), F.array_join(F.transform(upto("n_cols"), lambda c: slot(r, c)), ","), F.lit("]")))  # noqa: B023
-        table = F.concat(F.lit('{"n_rows":'), F.col("n_rows").cast("string"), F.lit(',"n_cols":'), F.col("n_cols").cast("string"), F.lit(',"cells":['), F.array_join(grid, ","), F.lit('],"merges":'), F.coalesce(F.to_json("merges"), F.lit("[]")), F.lit("}"))
-        part = part.withColumns({"merges": F.coalesce("merges", F.array().cast(dict(blocks.dtypes)["merges"])), "null_slots": F.coalesce("null_slots", F.array().cast(dict(blocks.dtypes)["null_slots"]))})
-        done = done.unionByName(part.withColumn("json", block_json(table)).drop("found"))
-    return done.where("parent_uid is null").select("doc_id", "ordinal", "json")
+    """doc_id, ordinal, json of top-level blocks, with the cells of tables inside them."""
+    rows = blocks.withColumn("_json", block_json())
+
+    def slot(s: Column) -> Column:
+        parts = F.transform(s["parts"], lambda p: F.when(p["type"] == "table", p["child"]["json"]).otherwise(p["part"]["json"]))
+        return F.when(s["absent"], F.lit("null")).otherwise(F.concat(F.lit('{"blocks":['), F.array_join(parts, ","), F.lit("]}")))
+
+    def table(t: Column, lines: Column) -> Column:
+        listed = F.transform(lines, lambda line: F.concat(F.lit("["), F.array_join(F.transform(line, slot), ","), F.lit("]")))
+        grid = F.concat(F.lit('{"n_rows":'), t["n_rows"].cast("string"), F.lit(',"n_cols":'), t["n_cols"].cast("string"), F.lit(',"cells":['), F.array_join(listed, ","), F.lit('],"merges":'), F.coalesce(F.to_json(t["merges"]), F.lit("[]")), F.lit("}"))
+        return F.struct(F.concat(F.regexp_replace(t["_json"], r"\}$", ""), F.lit(',"table":'), grid, F.lit("}")).alias("json"))
+
+    tables = fold_tables(rows, F.struct(F.col("_json").alias("json")), "struct<json:string>", table).where("parent_uid is null")
+    return rows.where("type <> 'table' and parent_uid is null").select("doc_id", "ordinal", F.col("_json").alias("json")).unionByName(tables.select("doc_id", "ordinal", "made.json"))
 
 
 def documents_json(docs: DataFrame, blocks: DataFrame) -> DataFrame:

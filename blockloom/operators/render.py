@@ -1,7 +1,7 @@
 """Block rows back to Markdown, by DataFrame operations.
 
-Inline content is an expression per row. Nested tables are rendered from the inside out:
-a level of cells is folded into their tables' text, then the next level up. Lists are
+Inline content is an expression per row. Nested tables are rendered from the inside out,
+at the row of the outermost table. Lists are
 runs of neighbours with one list_id (gaps and islands); their numbers are ranks within
 islands that end at a shallower item. A list that holds more than paragraphs becomes
 nested HTML, in one Python call per list. A document is the ordered join of its parts.
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .nesting import fold_tables
 
 
 def _image_src() -> Column:
@@ -38,79 +39,70 @@ def code_html() -> Column:
     return F.concat(F.lit("<pre><code>"), C.escape_html(F.coalesce("text", F.lit(""))), F.lit("</code></pre>"))
 
 
-def depth() -> Column:
-    return F.size(F.split("uid", "/")) - 1
+#: What is rendered of a table.
+VIEWS = "struct<table_html:string,table_md:string,table_simple:boolean,table_text:string,table_plain:string>"
 
 
 def with_tables(blocks: DataFrame) -> DataFrame:
-    """Adds table_html, table_md, table_simple and table_text to tables (all null for other blocks), nested ones resolved.
+    """Adds table_html, table_md, table_simple, table_text and table_plain to tables (all null for other blocks), nested ones resolved.
 
-    table_text is the plain view of a table within a cell: Markdown rows, or `header: value` lines if it holds a table itself.
+    table_text is the plain view of a table within a cell: Markdown rows, or `header: value` lines if it holds a table itself;
+    table_plain is the view of models: cells joined by bars, spans listed below.
     """
-    rows = blocks.withColumn("depth", depth())
-    deepest = rows.where("type = 'table'").agg(F.max("depth")).first()[0]
-    done = rows.where("type <> 'table'")
-    for c, kind in (("table_html", "string"), ("table_md", "string"), ("table_simple", "boolean"), ("table_text", "string"), ("table_plain", "string")):
-        done = done.withColumn(c, F.lit(None).cast(kind))
-    if deepest is None:
-        return done.drop("depth")
-    for level in range(deepest, -1, -1):
-        inner = done.where(F.col("depth") == level + 1)
-        tables = rows.where((F.col("type") == "table") & (F.col("depth") == level))
-        done = done.unionByName(_tables(tables, inner))
-    return done.drop("depth")
-
-
-def _tables(tables: DataFrame, inner: DataFrame) -> DataFrame:
-    """Tables of one level with their inner rows folded in."""
-    html = F.when(F.col("type") == "table", F.col("table_html")).when(F.col("type") == "image", image_html()).when(F.col("type") == "code", code_html()).otherwise(C.inline_fragment("text", "runs", html=True))
-    text = F.when(F.col("type") == "table", F.col("table_text")).when(F.col("type") != "image", F.coalesce("text", F.lit("")))
+    html = F.when(F.col("type") == "image", image_html()).when(F.col("type") == "code", code_html()).otherwise(C.inline_fragment("text", "runs", html=True))
+    text = F.when(F.col("type") != "image", F.coalesce("text", F.lit("")))
     marker = F.when(F.col("type") == "image", F.concat(F.lit("<image"), F.col("image_index").cast("string"), F.lit(">")))
-    part = F.struct("cell_pos", html.alias("html"), text.alias("text"), marker.alias("marker"), F.replace(C.inline_fragment("text", "runs"), F.lit("\n"), F.lit(" ")).alias("md"), "type")
-    cells = inner.groupBy("doc_id", "parent_uid", "cell_row", "cell_col").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    full = lambda field: F.filter(F.transform("parts", lambda p: p[field]), lambda x: F.length(x) > 0)
-    flat = F.array_join(full("text"), "\n")
+    part = F.struct(html.alias("html"), text.alias("text"), marker.alias("marker"), F.replace(C.inline_fragment("text", "runs"), F.lit("\n"), F.lit(" ")).alias("md"))
+    tables = fold_tables(blocks, part, VIEWS, lambda t, lines: C.let(F.transform(lines, lambda line: F.transform(line, _slot_view)), lambda views: _views(t, views)))
+    lists = {c: F.coalesce(c, F.array().cast(dict(blocks.dtypes)[c])) for c in ("merges", "null_slots")}
+    tables = tables.withColumns(lists).select(*blocks.columns, "made.*")
+    return blocks.where("type <> 'table'").unionByName(tables, allowMissingColumns=True)
+
+
+def _slot_view(slot: Column) -> Column:
+    """A slot of a table as HTML, as plain text and as Markdown, and what it holds."""
+    parts = slot["parts"]
+    full = lambda of: F.filter(F.transform(parts, of), lambda x: F.length(x) > 0)
+    either = lambda view, own: lambda p: F.when(p["type"] == "table", p["child"][view]).otherwise(p["part"][own])
     # a marker that the text doesn't carry comes at its end
-    plain = F.aggregate(full("marker"), flat, lambda s, m: F.when(F.contains(s, m), s).when(s == "", m).otherwise(F.concat(s, F.lit("\n"), m)))
-    cells = cells.select(
-        "doc_id", F.col("parent_uid").alias("uid"), F.col("cell_row").alias("r"), F.col("cell_col").alias("c"),
-        F.array_join(full("html"), "<br>").alias("html"), plain.alias("plain"), F.element_at("parts", 1)["md"].alias("md"),
-        ((F.size("parts") <= 1) & F.forall("parts", lambda p: p["type"].isin("paragraph", "heading"))).alias("simple"), F.exists("parts", lambda p: p["type"] == "table").alias("has_table"),
+    ended = lambda s, m: F.when(F.contains(s, m), s).when(s == "", m).otherwise(F.concat(s, F.lit("\n"), m))
+    return F.struct(
+        slot["absent"].alias("absent"), F.array_join(full(either("table_html", "html")), "<br>").alias("html"),
+        F.aggregate(full(lambda p: p["part"]["marker"]), F.array_join(full(either("table_text", "text")), "\n"), ended).alias("plain"),
+        F.coalesce(F.get(parts, F.lit(0))["part"]["md"], F.lit("")).alias("md"),
+        ((F.size(parts) <= 1) & F.forall(parts, lambda p: p["type"].isin("paragraph", "heading"))).alias("simple"), F.exists(parts, lambda p: p["type"] == "table").alias("has_table"),
+    )
+
+
+def _views(t: Column, views: Column) -> Column:
+    """A table from its row and the views of its slots, line by line."""
+    merges = F.coalesce(t["merges"], F.array().cast("array<struct<row:int,col:int,rowspan:int,colspan:int>>"))
+    grid = lambda f, glue, a, z: F.transform(views, lambda line: F.concat(F.lit(a), F.array_join(F.transform(line, f), glue), F.lit(z)))
+    every = lambda holds: F.forall(views, lambda line: F.forall(line, holds))
+
+    def td(v: Column, r: Column, c: Column) -> Column:
+        attribute = lambda m, n: F.coalesce(F.when(m[n] > 1, F.concat(F.lit(f' {n}="'), m[n].cast("string"), F.lit('"'))), F.lit(""))
+        own = C.let(F.try_element_at(F.filter(merges, lambda m: (m["row"] == r) & (m["col"] == c)), F.lit(-1)), lambda m: F.concat(attribute(m, "rowspan"), attribute(m, "colspan")))
+        return F.concat(F.lit("<td"), own, F.lit(">"), v["html"], F.lit("</td>"))
+
+    html = F.transform(views, lambda line, r: F.concat(F.lit("<tr>"), F.array_join(F.transform(line, lambda v, c: F.when(~v["absent"], td(v, r, c))), ""), F.lit("</tr>")))
+    ruled = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.greatest(t["n_cols"], F.lit(0))), " | "), F.lit(" |"))
+    head = lambda made: C.let(made, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(ruled), F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))), "\n"))
+    one_line = lambda v: F.regexp_replace(F.replace(v["plain"], F.lit("\n"), F.lit(" ")), r"(?U)^\s+|\s+$", "")
+    title = lambda v, c: C.let(one_line(v), lambda x: F.when(x != "", x).otherwise(F.concat(F.lit("col"), c.cast("string"))))
+    titles = F.transform(F.get(views, F.lit(0)), title)
+    body = F.slice(views, 2, F.greatest(F.size(views), F.lit(1)))
+    pairs = C.let(titles, lambda names: F.array_join(F.transform(body, lambda line: F.array_join(F.transform(line, lambda v, c: F.concat(F.get(names, c), F.lit(": "), v["plain"])), "\n")), "\n\n"))
+    span = lambda m: F.concat(F.lit("cell (row "), m["row"].cast("string"), F.lit(", col "), m["col"].cast("string"), F.lit(") spans "), m["rowspan"].cast("string"), F.lit("x"), m["colspan"].cast("string"))
+    merged = F.when(F.size(merges) > 0, F.concat(F.lit("\n[merged: "), F.array_join(F.transform(merges, span), "; "), F.lit("]"))).otherwise(F.lit(""))
+    plain_grid = F.coalesce(F.size(t["null_slots"]), F.lit(0)) <= 0
+    return F.struct(
+        F.concat(F.lit("<table>"), F.array_join(html, ""), F.lit("</table>")).alias("table_html"),
+        F.when(t["n_cols"] == 0, F.lit("")).otherwise(head(grid(lambda v: v["md"], " | ", "| ", " |"))).alias("table_md"),
+        ((F.size(merges) == 0) & plain_grid & every(lambda v: v["simple"])).alias("table_simple"),
+        F.when(t["n_rows"] == 0, F.lit("")).when(~every(lambda v: ~v["has_table"]), pairs).otherwise(head(grid(lambda v: F.replace(one_line(v), F.lit("|"), F.lit("\\|")), " | ", "| ", " |"))).alias("table_text"),
+        F.concat(F.array_join(grid(lambda v: v["plain"], " | ", "", ""), "\n"), merged).alias("table_plain"),
     )
-    listed = cells.groupBy("doc_id", "uid").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("r", "c"), F.struct("html", "plain", "md", "simple", "has_table")))).alias("found"))
-    joined = tables.join(listed, ["doc_id", "uid"], "left")
-
-    none = lambda r, c: F.exists("null_slots", lambda s: (s["row"] == r) & (s["col"] == c))
-    of = lambda r, c: F.try_element_at("found", F.struct(r.alias("r"), c.alias("c")))
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    grid = lambda f, glue, a, z: F.transform(upto("n_rows"), lambda r: F.concat(F.lit(a), F.array_join(F.filter(F.transform(upto("n_cols"), lambda c: f(r, c)), lambda x: x.isNotNull()), glue), F.lit(z)))
-
-    def td(r: Column, c: Column) -> Column:
-        m = F.try_element_at(F.filter("merges", lambda m: (m["row"] == r) & (m["col"] == c)), F.lit(-1))
-        attribute = lambda n: F.coalesce(F.when(m[n] > 1, F.concat(F.lit(f' {n}="'), m[n].cast("string"), F.lit('"'))), F.lit(""))
-        return F.when(~none(r, c), F.concat(F.lit("<td"), attribute("rowspan"), attribute("colspan"), F.lit(">"), F.coalesce(of(r, c)["html"], F.lit("")), F.lit("</td>")))
-
-    head = lambda lines: F.concat(F.slice(lines, 1, 1), F.array(F.concat(F.lit("| "), F.array_join(F.transform(upto("n_cols"), lambda c: F.lit("---")), " | "), F.lit(" |"))), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))))
-    md = grid(lambda r, c: F.coalesce(of(r, c)["md"], F.lit("")), " | ", "| ", " |")
-    one_line = lambda r, c: F.regexp_replace(F.replace(F.coalesce(of(r, c)["plain"], F.lit("")), F.lit("\n"), F.lit(" ")), r"(?U)^\s+|\s+$", "")
-    gfm = grid(lambda r, c: F.replace(one_line(r, c), F.lit("|"), F.lit("\\|")), " | ", "| ", " |")
-    title = lambda c: F.when(one_line(F.lit(0), c) != "", one_line(F.lit(0), c)).otherwise(F.concat(F.lit("col"), c.cast("string")))
-    pairs = F.transform(F.filter(upto("n_rows"), lambda r: r > 0), lambda r: F.array_join(F.transform(upto("n_cols"), lambda c: F.concat(title(c), F.lit(": "), F.coalesce(of(r, c)["plain"], F.lit("")))), "\n"))
-    nested = F.coalesce(F.exists(F.map_values("found"), lambda v: v["has_table"]), F.lit(False))
-    no_rows = F.col("n_rows") == 0
-    simple = (F.size("merges") == 0) & (F.size("null_slots") == 0) & F.coalesce(F.forall(F.map_values("found"), lambda v: v["simple"]), F.lit(True))
-    merged = F.concat(F.lit("\n[merged: "), F.array_join(F.transform("merges", lambda m: F.concat(F.lit("cell (row "), m["row"].cast("string"), F.lit(", col "), m["col"].cast("string"), F.lit(") spans "), m["rowspan"].cast("string"), F.lit("x"), m["colspan"].cast("string"))), "; "), F.lit("]"))
-    out = joined.withColumns({
-        "merges": F.coalesce("merges", F.array().cast(dict(tables.dtypes)["merges"])), "null_slots": F.coalesce("null_slots", F.array().cast(dict(tables.dtypes)["null_slots"])),
-    })
-    return out.withColumns({
-        "table_html": F.concat(F.lit("<table>"), F.array_join(grid(td, "", "<tr>", "</tr>"), ""), F.lit("</table>")),
-        "table_md": F.when(F.col("n_cols") == 0, F.lit("")).otherwise(F.array_join(head(md), "\n")),
-        "table_simple": simple,
-        "table_text": F.when(no_rows, F.lit("")).when(nested, F.array_join(pairs, "\n\n")).otherwise(F.array_join(head(gfm), "\n")),
-        # the model's view: cells joined by bars, spans listed below
-        "table_plain": F.concat(F.array_join(grid(lambda r, c: F.coalesce(of(r, c)["plain"], F.lit("")), " | ", "", ""), "\n"), F.when(F.size("merges") > 0, merged).otherwise(F.lit(""))),
-    }).drop("found")
 
 
 def block_md() -> Column:
