@@ -8,7 +8,7 @@ error instead of failing the job.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,8 @@ _extra: dict[str, Decoder] = {}
 _routes: dict[str, str] = {}
 #: Rows of an Arrow batch on the way to the decoders.
 ROWS = 64
+#: Block rows that a decoder's task holds before it hands them on.
+BLOCKS = 4096
 
 
 def register(fmt: str, decoder: Decoder, suffixes: tuple[str, ...] = (), mimetypes: tuple[str, ...] = ()) -> None:
@@ -59,6 +61,11 @@ def decoder_for(fmt: str) -> Decoder:
     return found.decode
 
 
+def registered() -> tuple[dict[str, Decoder], dict[str, str]]:
+    """What was registered beside the built-in formats: decoders, and the formats of file endings and media types."""
+    return dict(_extra), dict(_routes)
+
+
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """doc_id (file name without ending), source_path, fmt, content, raw_sha256 of every file below a path; fmt is null for unknown endings."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
@@ -77,6 +84,30 @@ def unsupported(files: DataFrame) -> DataFrame:
     return files.where("fmt is null").select("doc_id", "source_path", reason.alias("reason"))
 
 
+def decoded(docs: Iterable[tuple[str, str, bytes]], extra: dict[str, Decoder], with_errors: bool) -> Iterator[tuple[list[ir.Node], list[str | None]]]:
+    """Block rows of (doc_id, fmt, content), and the error of each row, some BLOCKS at a time; extra: registered decoders."""
+    decoders: dict[str, Decoder] = {}
+    rows: list[ir.Node] = []
+    errors: list[str | None] = []
+    for name, kind, raw in docs:
+        try:
+            if kind not in decoders:
+                decoders[kind] = extra.get(kind) or decoder_for(kind)
+            found, error = list(ir.flatten(name, decoders[kind](raw))), None
+        except Exception as e:
+            if not with_errors:
+                raise ValueError(f"document {name!r}: {e}") from e
+            found, error = [{"doc_id": name}], f"{type(e).__name__}: {e}"
+        for at in range(0, len(found), BLOCKS):
+            rows += found[at : at + BLOCKS]
+            errors += [error] * (len(rows) - len(errors))
+            if len(rows) >= BLOCKS:
+                yield rows, errors
+                rows, errors = [], []
+    if rows:
+        yield rows, errors
+
+
 def blocks(docs: DataFrame, fmt: str | None = None, doc_id: str = "doc_id", content: str = "content", with_errors: bool = False) -> DataFrame:
     """Block rows of docs. fmt: one format for all rows, else the column fmt. with_errors adds a column error, null but for rows that stand for a failed document."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(1000, max(ROWS, 1))) if fmt is None else "1000")
@@ -87,24 +118,9 @@ def blocks(docs: DataFrame, fmt: str | None = None, doc_id: str = "doc_id", cont
     schema = ir.SCHEMA + (", error string" if with_errors else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoders: dict[str, Decoder] = {}
-        for batch in batches:
-            out, errors = [], []
-            for name, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                try:
-                    if kind not in decoders:
-                        decoders[kind] = extra.get(kind) or decoder_for(kind)
-                    found = list(ir.flatten(name, decoders[kind](raw)))
-                    out += found
-                    errors += [None] * len(found)
-                except Exception as e:
-                    if not with_errors:
-                        raise ValueError(f"document {name!r}: {e}") from e
-                    out.append({"doc_id": name})
-                    errors.append(f"{type(e).__name__}: {e}")
-            made = ir.batch(out)
-            if with_errors:
-                made = pa.RecordBatch.from_arrays([*made.columns, pa.array(errors, pa.string())], names=[*ir.COLUMNS, "error"])
-            yield made
+        each = (x for batch in batches for x in zip(*(batch.column(i).to_pylist() for i in range(3))))
+        for rows, errors in decoded(each, extra, with_errors):
+            made = ir.batch(rows)
+            yield pa.RecordBatch.from_arrays([*made.columns, pa.array(errors, pa.string())], names=[*ir.COLUMNS, "error"]) if with_errors else made
 
     return rows.mapInArrow(run, schema)
