@@ -227,3 +227,15 @@ def test_words_meet_boxes_by_bins(spark):
     grid = spark.range(400).selectExpr("'d' doc_id", "0 page", "cast(id as int) seq", "id * 7 % 400 + 0.25D x0", "id * 7 % 400 + 0.75D x1", "id * 11 % 500 + 0.25D top", "id * 11 % 500 + 0.75D bottom", "'w' text")
     candidates = pdf_layout.binned(grid).join(pdf_layout.box_index(cells, ["table_no"]), ["doc_id", "page", "_across", "_down"]).count()
     assert candidates <= 400 * 36
+
+
+def test_box_index_is_never_broadcast(spark):
+    """Small files that an explode makes large: neither join of words with boxes collects the boxes at the driver."""
+    place = ["cast(id as string) doc_id", "cast(id as int) page", "id + 1.0D x0", "id + 2.0D x1", "id + 1.0D top", "id + 2.0D bottom"]
+    cells = spark.range(2).selectExpr(*place, "explode(sequence(1, 3)) table_no")
+    words = spark.range(2).selectExpr(*place, "cast(id as int) seq", "'w' text")
+    for made in (pdf_layout.texts_in_boxes(words, cells, ["table_no"]), pdf_layout.words_in_boxes(words, cells, ["table_no"]).where("text <> ''"), pdf_layout.outside_tables(words, cells)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    # a box that ends where a bin begins is not in that bin, unless its edge belongs to it
+    box = spark.sql("select 'd' doc_id, 0 page, 0 table_no, 40.0D x0, 40.0D top, 50.0D x1, 50.0D bottom")
+    assert pdf_layout.box_index(box, ["table_no"], closed=False).count() == 1 and pdf_layout.box_index(box, ["table_no"]).count() == 4
