@@ -189,3 +189,19 @@ def test_html_long_lines_take_time_in_proportion():
         assert len(html.decode("<p>é <b>x</b></p>".encode() * n)) == n
         took.append(time.process_time() - began)
     assert took[1] < 3 * took[0] + 0.3
+
+
+def test_html_runs_of_many_words_take_linear_time():
+    """Unmarked text is one run from the start; a marked word stays a run of its own."""
+    import time
+
+    from blockloom.sources import html
+
+    def took(n: int) -> float:
+        began = time.perf_counter()
+        (block,) = html.decode(("<p>" + "word " * n + "<b>x y</b></p>").encode())
+        assert len(block["runs"]) == 4 and len(block["text"]) == 5 * n + 3
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(400_000) < 4
