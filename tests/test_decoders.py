@@ -205,3 +205,19 @@ def test_html_runs_of_many_words_take_linear_time():
 
     took(10)
     assert took(400_000) < 4
+
+
+def test_large_word_documents_are_not_held_whole():
+    """Neither the tree nor the nodes of a body: memory beyond its bytes stays small, and the rows are whole."""
+    import tracemalloc
+
+    from blockloom import ir
+    from blockloom.sources import decode, docx
+
+    raw = word("<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>some words</w:t></w:r></w:p>" * 20_000)
+    tracemalloc.start()
+    parts = list(decode._packed(ir.flatten("d", docx.decode(raw))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts) == 5 and peak < 30e6
+    assert sum(len(rows) for rows, _ in decode.decoded([("d", "docx", raw)], {}, False)) == 20_000
