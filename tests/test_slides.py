@@ -10,7 +10,7 @@ from blockloom import ir, queries, queries_written
 from blockloom.operators import headings
 
 
-@pytest.mark.parametrize("name", ["pptx_blocks"])
+@pytest.mark.parametrize("name", ["pptx_blocks", "pptx_tables"])
 def test_decks_are_decoded_once(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
