@@ -106,11 +106,11 @@ def _views(t: Column, views: Column) -> Column:
 
 
 def block_md() -> Column:
-    """The Markdown of a top-level block outside of lists."""
+    """The Markdown of a top-level block outside of lists, from its inline content _md."""
     hashes = F.repeat(F.lit("#"), F.least(F.greatest("level", F.lit(1)), F.lit(6)))
     described = F.when(F.length("table_description") > 0, F.concat(F.lit("\n\n*"), C.escape_md("table_description"), F.lit("*")))
     table = F.concat(F.when(F.col("table_simple"), F.col("table_md")).otherwise(F.col("table_html")), F.coalesce(described, F.lit("")))
-    inline = C.inline_fragment("text", "runs")
+    inline = F.col("_md")
     return (
         F.when(F.col("type") == "heading", F.concat(hashes, F.lit(" "), inline))
         .when(F.col("type") == "code", code_md())
@@ -186,10 +186,11 @@ def _lists(rows: DataFrame) -> DataFrame:
     items = numbered(rows.where("island is not null"))
     indent = F.repeat(F.lit("  "), F.col("_level"))
     marker = F.when(F.coalesce("list_ordered", F.lit(False)), F.concat(F.col("number").cast("string"), F.lit("."))).otherwise(F.lit("-"))
-    line = F.concat(indent, marker, F.lit(" "), C.inline_fragment("text", "runs"))
+    line = F.concat(indent, marker, F.lit(" "), "_md")
     html = F.when(F.col("type") == "image", image_html()).when(F.col("type") == "table", F.col("table_html")).when(F.col("type") == "code", code_html()).otherwise(C.inline_fragment("text", "runs", html=True))
-    entry = F.struct("ordinal", F.col("_level").alias("level"), F.coalesce("list_ordered", F.lit(False)).alias("ordered"), line.alias("md"), html.alias("html"))
-    lists = items.groupBy("doc_id", "island").agg(F.min("ordinal").alias("ordinal"), F.bool_and(F.col("type") == "paragraph").alias("simple"), F.sort_array(F.collect_list(entry)).alias("items"))
+    items = items.withColumn("_simple", F.bool_and(F.col("type") == "paragraph").over(Window.partitionBy("doc_id", "island")))
+    entry = F.struct("ordinal", F.col("_level").alias("level"), F.coalesce("list_ordered", F.lit(False)).alias("ordered"), line.alias("md"), F.when(~F.col("_simple"), html).alias("html"))
+    lists = items.groupBy("doc_id", "island").agg(F.min("ordinal").alias("ordinal"), F.bool_and("_simple").alias("simple"), F.sort_array(F.collect_list(entry)).alias("items"))
     plain = lists.where("simple").select("doc_id", "ordinal", F.array_join(F.transform("items", lambda x: x["md"]), "\n").alias("md"))
 
     @F.pandas_udf("string")
@@ -200,9 +201,24 @@ def _lists(rows: DataFrame) -> DataFrame:
     return plain.unionByName(rich)
 
 
+#: Columns that no rendering reads.
+UNREAD = ("span", "heading_path", "provenance", "source_crop", "locator", "signals", "describe_status", "describe_attempts", "mime")
+
+
+def with_inline(blocks: DataFrame) -> DataFrame:
+    """Blocks with their inline content as Markdown in _md, made where they are, not in the few tasks of what is grouped later.
+
+    What rendering doesn't read is left out, so it is also what is worth keeping: runs stay in cells and lists only, each
+    mark once, as marks that are never closed pile up over a page.
+    """
+    once = F.transform("runs", lambda r: F.struct(r["text"].alias("text"), F.array_distinct(r["marks"]).alias("marks"), r["link"].alias("link")))
+    inside = F.col("parent_uid").isNotNull() | F.col("list_id").isNotNull()
+    return blocks.withColumn("runs", once).withColumns({"_md": C.inline_fragment("text", "runs"), "runs": F.when(inside, F.col("runs"))}).drop(*UNREAD)
+
+
 def parts(blocks: DataFrame) -> DataFrame:
     """doc_id, ordinal, md: the pieces of every document's Markdown."""
-    top = with_tables(blocks).where("parent_uid is null")
+    top = with_tables(blocks if "_md" in blocks.columns else with_inline(blocks)).where("parent_uid is null")
     rows = list_islands(top)
     single = rows.where("island is null").select("doc_id", "ordinal", block_md().alias("md")).where("md <> ''")
     return single.unionByName(_lists(rows))
