@@ -19,10 +19,13 @@ from ..operators import blocks as B
 #: Fields that a block's row takes over as they are.
 _PLAIN = tuple(c for c in ir.COLUMNS if c not in ("doc_id", "ordinal", "uid", "parent_uid", "cell_row", "cell_col", "cell_pos", "id", "n_rows", "n_cols", "merges", "null_slots", "locator", "runs", "signals"))
 _TABLE = f"struct<n_rows:int,n_cols:int,cells:array<array<variant>>,merges:{ir.COLUMNS['merges']}>"
-_BLOCK = "struct<" + ",".join(f"{c}:{ir.COLUMNS[c]}" for c in (*_PLAIN, "id", "runs")) + f",locator:variant,table:{_TABLE}>"
+#: All of a block but its runs, which are most of it: they are read apart, and only where they are asked for.
+_BLOCK = "struct<" + ",".join(f"{c}:{ir.COLUMNS[c]}" for c in (*_PLAIN, "id")) + f",locator:variant,table:{_TABLE}>"
 _NODES = "array<struct<b:variant,path:array<int>>>"
 #: Fields whose values have to be of their type; any scalar will do for a string.
-_TYPED = tuple(c for c in (*_PLAIN, "runs") if ir.COLUMNS[c] != "string")
+_TYPED = tuple(c for c in _PLAIN if ir.COLUMNS[c] != "string")
+#: Runs as far as they can be at fault: a list whose elements have texts.
+_RUNS = "array<struct<text:string>>"
 
 
 def _at(v: Column, path: str, kind: str = "variant") -> Column:
@@ -51,10 +54,10 @@ def _cells(b: Column) -> Column:
 
 
 def _inside(slot: Column) -> Column:
-    """The blocks of a table's slot: null, a string (version 1), or an object with blocks."""
+    """The blocks of a table's slot: null, a string (version 1), or an object with blocks. The schema of a slot, with all that is inside, is made for those without blocks only."""
     said = slot.cast("string")
     alone = F.array(F.to_variant_object(F.struct(F.lit("paragraph").alias("type"), said.alias("text"))))
-    return _or_empty(F.when(_string(slot), F.when(said != "", alone)).when(_object(slot), _at(slot, "$.blocks", "array<variant>")), "array<variant>")
+    return _or_empty(F.coalesce(_at(slot, "$.blocks", "array<variant>"), F.when(_string(slot), F.when(said != "", alone))), "array<variant>")
 
 
 def _below(node: Column) -> Column:
@@ -65,14 +68,9 @@ def _below(node: Column) -> Column:
 
 
 def _levels(json: str) -> Column:
-    """At least as many as tables lie in each other: a level opens three brackets (cells, row, blocks)."""
-    plain = F.regexp_replace(F.regexp_replace(json, r"(?s)\\.", ""), r'"[^"]*"', "")
-    open_now = lambda acc, c: acc["now"] + F.when(c == "[", F.lit(1)).otherwise(F.lit(-1))
-    deepest = F.aggregate(
-        F.split(F.regexp_replace(plain, r"[^\[\]]+", ""), "(?!^)"), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda acc, c: F.struct(open_now(acc, c).alias("now"), F.greatest(acc["top"], open_now(acc, c)).alias("top")), lambda acc: acc["top"],
-    )
-    return (deepest / 3).cast("int")
+    """At least as many as tables lie in each other: each has a key for its cells, whose letters are plain or escaped."""
+    times = lambda said: (F.octet_length(json) - F.octet_length(F.replace(F.col(json), F.lit(said), F.lit("")))) / len(said)
+    return (times("cells") + times("\\u006") + times("\\u007")).cast("int")
 
 
 def _nodes(v: Column, json: str) -> Column:
@@ -81,7 +79,7 @@ def _nodes(v: Column, json: str) -> Column:
     start = F.struct(F.array().cast(_NODES).alias("done"), top.alias("todo")).cast(f"struct<done:{_NODES},todo:{_NODES}>")
     turn = lambda acc, _: F.when(F.size(acc["todo"]) == 0, acc).otherwise(F.struct(F.concat(acc["done"], acc["todo"]).alias("done"), F.flatten(F.transform(acc["todo"], _below)).alias("todo")))
     every = F.aggregate(F.sequence(F.lit(0), _levels(json) + 1), start, turn, lambda acc: acc["done"])
-    order = lambda nodes: F.array_sort(F.transform(nodes, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i"))))
+    order = lambda nodes: F.sort_array(F.transform(nodes, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i"))))
     return let(every, lambda nodes: F.transform(order(nodes), lambda o: nodes[o["i"]]))
 
 
@@ -99,32 +97,37 @@ def _where(path: Column) -> Column:
 
 
 def _fault(node: Column) -> Column:
-    """Path and reason why a block can't be read; null if it can."""
-    b, path = node["b"], node["path"]
+    """Path and reason why a block can't be read; null if it can. What has a field is an object: schemas, with all that is inside, are made of odd values only."""
+    reason = let(node["b"], lambda b: _reason(b, F.size(node["path"]) == 1))
+    return F.when(reason.isNotNull(), F.concat(_where(node["path"]), reason))
+
+
+def _reason(b: Column, top: Column) -> Column:
     need = lambda name, v: F.when(_absent(_at(v, f"$.{name}")), F.lit(f": required field '{name}' missing"))
-    wrong = lambda name, v, kind, of="": F.when(_at(v, f"$.{name}", kind).isNull() & ~_absent(_at(v, f"$.{name}")), F.lit(f"{of}.{name}: expected {kind.split('<')[0].replace('array', 'a list')}"))
+    no_list = lambda name, of="": F.lit(f"{of}.{name}: expected a list")
+    wrong = lambda name, v, kind, of="": F.when(_at(v, f"$.{name}", kind).isNull() & ~_absent(_at(v, f"$.{name}")), no_list(name, of) if kind.startswith("array") else F.lit(f"{of}.{name}: expected {kind.split('<')[0]}"))
     kind = _at(b, "$.type", "string")
-    runs = _or_empty(_at(b, "$.runs", ir.COLUMNS["runs"]), ir.COLUMNS["runs"])
+    in_runs = lambda runs: F.coalesce(F.when(runs.isNull() & ~_absent(_at(b, "$.runs")), no_list("runs")), F.when(F.exists(runs, lambda r: r["text"].isNull()), F.lit(".runs: required field 'text' missing")))
 
     def in_table(table: Column) -> Column:
-        in_slot = lambda x: F.when(~_absent(x) & ~_string(x), F.when(~_object(x), F.lit(": expected an object")).otherwise(F.coalesce(need("blocks", x), wrong("blocks", x, "array<variant>"))))
+        fine = lambda x: _at(x, "$.blocks[0].type", "string").isNotNull()
+        in_slot = lambda x: F.when(~fine(x) & ~_absent(x) & ~_string(x), F.when(~_object(x), F.lit(": expected an object")).otherwise(F.coalesce(need("blocks", x), wrong("blocks", x, "array<variant>"))))
         in_row = lambda line, r: F.when(line.isNull(), F.array(F.concat(r.cast("string"), F.lit("]: expected a list")))).otherwise(F.transform(line, lambda x, c: F.concat(r.cast("string"), F.lit("]["), c.cast("string"), F.lit("]"), in_slot(x))))
         rows = F.filter(F.flatten(F.transform(_cells(b), in_row)), lambda x: x.isNotNull())
         return F.coalesce(
-            F.when(~_object(table), F.lit(".table: expected an object")), need("n_rows", table), need("n_cols", table),
+            F.when(_absent(table), F.lit(": required field 'table' missing")), F.when(_at(table, "$.n_rows").isNull() & ~_object(table), F.lit(".table: expected an object")), need("n_rows", table), need("n_cols", table),
             *[wrong(*x, of=".table") for x in (("n_rows", table, "int"), ("n_cols", table, "int"), ("cells", table, "array<variant>"))], F.concat(F.lit(".table.cells["), F.try_element_at(rows, F.lit(1))),
         )
 
-    reason = F.coalesce(
-        F.when(~_object(b), F.lit(": expected an object")),
+    return F.coalesce(
+        F.when(kind.isNull() & ~_object(b), F.lit(": expected an object")),
         need("type", b),
         F.when(~F.coalesce(kind.isin(*ir.BLOCK_TYPES), F.lit(False)), F.concat(F.lit(".type: unknown block type '"), F.coalesce(kind, F.lit("")), F.lit("'"))),
-        F.when(F.size(path) == 1, need("id", b)),
+        F.when(top, need("id", b)),
         *[wrong(c, b, ir.COLUMNS[c]) for c in _TYPED],
-        F.when(F.exists(runs, lambda r: r["text"].isNull()), F.lit(".runs: required field 'text' missing")),
-        F.when(kind == "table", F.coalesce(need("table", b), in_table(_at(b, "$.table")))),
+        let(_at(b, "$.runs", _RUNS), in_runs),
+        F.when(kind == "table", let(_at(b, "$.table"), in_table)),
     )
-    return F.when(reason.isNotNull(), F.concat(_where(path), reason))
 
 
 def blocks(docs: DataFrame, column: str = "json", with_errors: bool = False) -> DataFrame:
@@ -144,11 +147,12 @@ def blocks(docs: DataFrame, column: str = "json", with_errors: bool = False) ->
         rows = rows.withColumn("nodes", F.coalesce(ended, F.col("nodes")))
     else:
         rows = rows.withColumn("nodes", F.when(F.col("error").isNull(), F.col("nodes")).otherwise(F.array(F.lit(None)).cast(_NODES)))
-    rows = rows.select("doc_id", "error", F.posexplode("nodes").alias("at", "node")).withColumn("x", _at(F.col("node.b"), "$", _BLOCK))
+    # not posexplode: Spark would infer that nodes isn't empty, and parse and check every document anew below the projections to know it
+    rows = rows.select("doc_id", "error", F.posexplode_outer("nodes").alias("at", "node")).where("at is not null").withColumn("x", _at(F.col("node.b"), "$", _BLOCK))
 
-    path, x, table = F.col("node.path"), F.col("x"), F.col("x.table")
+    path, x, table, said = F.col("node.path"), F.col("x"), F.col("x.table"), _at(F.col("node.b"), "$.runs", ir.COLUMNS["runs"])
     nested, is_table = F.size(path) > 1, F.col("x.type") == "table"
-    runs = F.when(F.size(x["runs"]) > 0, F.transform(x["runs"], lambda r: F.struct(r["text"].alias("text"), F.coalesce(r["marks"], F.array().cast("array<string>")).alias("marks"), r["link"].alias("link"))))
+    runs = let(said, lambda rs: F.when(F.size(rs) > 0, F.transform(rs, lambda r: F.struct(r["text"].alias("text"), F.coalesce(r["marks"], F.array().cast("array<string>")).alias("marks"), r["link"].alias("link")))))
     merges = F.transform(table["merges"], lambda m: F.struct(m["row"].alias("row"), m["col"].alias("col"), F.coalesce(m["rowspan"], F.lit(1)).alias("rowspan"), F.coalesce(m["colspan"], F.lit(1)).alias("colspan")))
     slots = F.flatten(F.transform(table["cells"], lambda line, r: F.filter(F.transform(line, lambda s, c: F.when(_absent(s), F.struct(r.alias("row"), c.alias("col")))), lambda s: s.isNotNull())))
     made = {c: x[c] for c in _PLAIN} | {

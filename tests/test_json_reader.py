@@ -93,3 +93,21 @@ def test_many_tables_cost_in_proportion(spark):
     docs = frame(spark, {**HEAD, "blocks": [{"type": "table", "id": f"t{i}", "table": cells} for i in range(3000)]})
     got = blocks_json.blocks(docs).agg(F.count("*").alias("n"), F.countDistinct("uid").alias("u"), F.max("ordinal").alias("m")).first()
     assert tuple(got) == (6000, 6000, 5999)
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    """Nothing that Spark infers of the blocks makes it parse or check a document a second time, or read runs that nobody asks for."""
+    path = str(tmp_path / "docs.parquet")
+    frame(spark, {**HEAD, "blocks": [{"type": "paragraph", "id": "p", "text": "t"}]}, {**HEAD}).write.parquet(path)
+    rows = B.top_level(blocks_json.blocks(spark.read.parquet(path)), "paragraph").select("doc_id", "ordinal", "text")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "(link," not in plan
+    assert [tuple(r) for r in rows.collect()] == [("0", 0, "t")]
+
+
+def test_levels_without_brackets(spark):
+    """Levels are told by keys of cells, also of keys that are spelled with escapes."""
+    body = json.dumps({**HEAD, "blocks": [nested(9)]})
+    for spelled in ("cells", r"\u0063ells", r"cel\u006Cs", r"cell\u0073"):
+        rows = blocks_json.blocks(frame(spark, body.replace('"cells"', f'"{spelled}"'))).collect()
+        assert len(rows) == 19 and {r.text for r in rows} >= {"level 9", "after 8"}
