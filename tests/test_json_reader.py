@@ -111,3 +111,10 @@ def test_levels_without_brackets(spark):
     for spelled in ("cells", r"\u0063ells", r"cel\u006Cs", r"cell\u0073"):
         rows = blocks_json.blocks(frame(spark, body.replace('"cells"', f'"{spelled}"'))).collect()
         assert len(rows) == 19 and {r.text for r in rows} >= {"level 9", "after 8"}
+
+
+def test_texts_of_runs(spark):
+    """Null is no text; any other value is one, as it is written."""
+    cases = [("a", None), (7, None), (True, None), (1.5, None), ("", None), ([1], None), ({"a": 1}, None), (None, 1)]
+    rows = blocks_json.blocks(frame(spark, *({**HEAD, "blocks": [{"type": "paragraph", "id": "p", "text": "t", "runs": [{"text": "x"}, {"text": t}]}]} for t, _ in cases)), with_errors=True)
+    assert {r.doc_id: r.error for r in rows.collect()} == {str(i): e and "blocks[0].runs: required field 'text' missing" for i, (_, e) in enumerate(cases)}
